@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.llm.bpe_codec import round_trip_digests
 from cairn.llm.near_dedup import near_duplicates
 from cairn.llm.token_counts import token_counts
 
@@ -25,9 +26,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
 
 
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
     "op2_near_dedup": op2_near_dedup,
     "op5_token_counts": op5_token_counts,
+    "op9_bpe_codec": op9_bpe_codec,
 }
 
 ORACLES: dict[str, str] = {}
