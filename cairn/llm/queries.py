@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.bpe_codec import round_trip_digests
 from cairn.llm.near_dedup import near_duplicates
+from cairn.llm.sharding import assign_shards
+from cairn.llm.sharding import oracle as shards_oracle
 from cairn.llm.token_counts import token_counts
+from cairn.llm.warc import archive_and_read
+
+#: A shard's limit.
+SHARD_BYTES = 16 << 20
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,10 +36,23 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign_shards(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+    return placed.select(placed.key.alias("doc_id"), "bytes", "depth", "shard")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(_table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 QUERIES: dict[str, Query] = {
     "op2_near_dedup": op2_near_dedup,
+    "op3_sharding": op3_sharding,
     "op5_token_counts": op5_token_counts,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_sharding": shards_oracle(SHARD_BYTES),
+}
