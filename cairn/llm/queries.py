@@ -12,6 +12,7 @@ from cairn.llm.near_dedup import near_duplicates
 from cairn.llm.sharding import assign_shards
 from cairn.llm.sharding import oracle as shards_oracle
 from cairn.llm.token_counts import token_counts
+from cairn.llm.toxicity import toxicity
 from cairn.llm.warc import archive_and_read
 
 #: A shard's limit.
@@ -32,6 +33,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_sharding": op3_sharding,
     "op5_token_counts": op5_token_counts,
+    "op6_toxicity": op6_toxicity,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_warc": op10_warc,
 }
