@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.bpe_codec import round_trip_digests
+from cairn.llm.decontaminate import contamination
 from cairn.llm.near_dedup import near_duplicates
+from cairn.llm.quality import quality_rules
 from cairn.llm.sharding import assign_shards
 from cairn.llm.sharding import oracle as shards_oracle
 from cairn.llm.token_counts import token_counts
@@ -25,6 +27,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +43,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -51,10 +61,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
     "op3_sharding": op3_sharding,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op8_quality": op8_quality,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_warc": op10_warc,
 }

@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.llm.bpe_codec import encode
+from cairn.llm.decontaminate import drop_contaminated
 from cairn.llm.near_dedup import drop_near_duplicates
+from cairn.llm.quality import drop_low_quality
+from cairn.llm.toxicity import drop_toxic
 from cairn.session import scratch_path
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go; labels come from the labels table."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the robust distance reject go."""
+    return drop_low_quality(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
     return drop_near_duplicates(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, ids)``: the token ids of every document that is left."""
+    return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
+    ("toxicity", toxicity),
+    ("quality", quality),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("tokenize", tokenize),
 ]
 
 #: SQL can't express the stages: tests hold the run against a brute-force version.
