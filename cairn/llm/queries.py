@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm.bpe_codec import round_trip_digests
 from cairn.llm.decontaminate import contamination
+from cairn.llm.licenses import license_matches, templates
 from cairn.llm.near_dedup import near_duplicates
+from cairn.llm.ngram_model import train_and_score
 from cairn.llm.quality import quality_rules
 from cairn.llm.sharding import assign_shards
 from cairn.llm.sharding import oracle as shards_oracle
@@ -35,6 +37,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(_table(spark, sf_dir, "documents"), templates(spark))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
 
@@ -43,6 +49,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_score(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -64,8 +74,10 @@ QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
     "op3_sharding": op3_sharding,
+    "op4_licenses": op4_licenses,
     "op5_token_counts": op5_token_counts,
     "op6_toxicity": op6_toxicity,
+    "op7_ngram_scores": op7_ngram_scores,
     "op8_quality": op8_quality,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_warc": op10_warc,
