@@ -40,6 +40,7 @@ class Vocabulary:
         self._core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe
         self.longest = max(map(len, self.ranks))
         self.token_bytes = {i: b for b, i in self.ranks.items()}
+        self.lengths = {i: len(b) for b, i in self.ranks.items()}
 
     def encode_word(self, word: bytes) -> list[int]:
         """Token ids of one match of the pattern."""
@@ -60,7 +61,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 def pieces(text: str) -> list[str]:
-    """``text`` cut before single spaces that stand between other characters.
+    """``text`` cut before single spaces, and around single line feeds, that stand between other characters.
 
     No match of the pattern crosses such a cut and none looks beyond it, so a piece's encoding is
     the same wherever it stands.
@@ -69,5 +70,11 @@ def pieces(text: str) -> list[str]:
         return []
     if _RUN.search(text):
         return _SAFE.split(text)
-    head, *rest = text.split(" ")
-    return [head, *map(" ".__add__, rest)]
+    out: list[str] = []
+    for line in text.split("\n"):
+        head, *rest = line.split(" ")
+        out.append(head)
+        out.extend(map(" ".__add__, rest))
+        out.append("\n")
+    out.pop()
+    return out

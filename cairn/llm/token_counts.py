@@ -14,13 +14,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.bpe import Vocabulary, pieces, vocabulary
 
 #: Pieces whose counts a worker keeps; beyond it the store starts anew.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 400_000
+#: Pairs of tokens of which a worker keeps whether the merges leave them apart.
+KEPT_PAIRS = 1_000_000
+
+
+_SPACE = regex.compile(r"\s")
 
 
 class PrefixCounter(dict):
@@ -29,32 +35,52 @@ class PrefixCounter(dict):
     def __init__(self, vocab: Vocabulary):
         super().__init__()
         self.vocab = vocab
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
 
     def _pair_stays(self, left: int, right: int) -> bool:
-        stays = self._apart.get((left, right))
+        key = left << 32 | right
+        stays = self._apart.get(key)
         if stays is None:
             both = self.vocab.token_bytes[left] + self.vocab.token_bytes[right]
-            if len(self._apart) > 2_000_000:
+            if len(self._apart) > KEPT_PAIRS:
                 self._apart.clear()
-            stays = self._apart[left, right] = self.vocab.encode_word(both) == [left, right]
+            stays = self._apart[key] = self.vocab.encode_word(both) == [left, right]
         return stays
 
     def word(self, word: str) -> list[int]:
-        """Token counts of ``word``'s prefixes by code point, ``word`` being one match of the pattern."""
+        """Token counts of ``word``'s prefixes by code point, ``word`` being one match of the pattern.
+
+        Where one of the word's own tokens ends the count is known. Within a token the prefix most
+        often ends in a shorter token from the same place; else all that could end it are tried.
+        """
         data, ranks = word.encode(), self.vocab.ranks
-        counts, last = [0] * (len(data) + 1), [-1] * (len(data) + 1)
-        for i in range(1, len(data) + 1):
-            for k in range(max(0, i - self.vocab.longest), i):
-                token = ranks.get(data[k:i])
-                if token is not None and (not k or self._pair_stays(last[k], token)):
-                    counts[i], last[i] = counts[k] + 1, token
-                    break
-        return counts[1:] if len(data) == len(word) else [c for i, c in enumerate(counts) if i and (i == len(data) or data[i] & 0xC0 != 0x80)]
+        n = len(data)
+        counts, lasts = [0] * (n + 1), [0] * (n + 1)
+        start, left = 0, -1
+        for j, token in enumerate(self.vocab.encode_word(data), 1):
+            end = start + self.vocab.lengths[token]
+            for i in range(start + 1, end):
+                t = ranks.get(data[start:i])
+                if t is not None and (not start or self._pair_stays(left, t)):
+                    counts[i], lasts[i] = j, t
+                    continue
+                for k in range(max(0, i - self.vocab.longest), i):
+                    t = ranks.get(data[k:i])
+                    if t is not None and (not k or self._pair_stays(lasts[k], t)):
+                        counts[i], lasts[i] = counts[k] + 1, t
+                        break
+            counts[end], lasts[end] = j, token
+            start, left = end, token
+        return counts[1:] if n == len(word) else [c for i, c in enumerate(counts) if i and (i == n or data[i] & 0xC0 != 0x80)]
 
     def _count(self, piece: str) -> list[int]:
-        if self.vocab.words.match(piece).end() == len(piece) > 1 and piece[0] != "'" and not piece[1].isspace():
-            return self.word(piece)
+        if "'" not in piece and not _SPACE.search(piece, 1) and piece != " ":
+            first, *rest = self.vocab.words.findall(piece)
+            out = self.word(first)
+            for word in rest:
+                base = out[-1]
+                out += [base + c for c in self[word]]
+            return out
         out, base, run_base, run = [], 0, 0, ""
         for match in self.vocab.words.finditer(piece):
             word = match.group()
