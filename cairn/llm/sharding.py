@@ -107,8 +107,8 @@ def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: st
 
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int, key: str = "doc_id", text: str = "text") -> None:
-    """``docs`` as Parquet below ``path``, a folder to a shard. Keys must be unique for the join back."""
-    placed = assign_shards(docs, max_bytes, key, text).select(F.col("key").alias(key), "shard")
+    """``docs`` as Parquet below ``path``, a folder to a shard, named ``b`` and its bits. Keys must be unique for the join back."""
+    placed = assign_shards(docs, max_bytes, key, text).select(F.col("key").alias(key), F.concat(F.lit("b"), "shard").alias("shard"))
     docs.join(placed, key).repartition("shard").write.partitionBy("shard").parquet(path)
 
 
