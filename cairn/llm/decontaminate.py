@@ -33,10 +33,11 @@ def _kind(w: Column) -> Column:
     """The placeholder or literal that stands for a token."""
     low = F.lower(w)
     first = F.substring(w, 1, 1)
-    capital = ((w >= "A") & (w < "[")) | ((w >= "\x80") & (F.lower(first) != first))
-    name = capital & ((F.char_length(w) == 1) | (F.upper(w) != w)) & ~low.isin(NO_NAMES)
-    plain = F.when(low.isin(NUMBERS), NUMBER).when(low.isin(UNITS), UNIT)
-    return F.when((w >= "0") & (w < ":"), NUMBER).otherwise(F.coalesce(plain, F.when(name, NAME), low))
+    listed = F.when(low.isin(NUMBERS), NUMBER).when(low.isin(UNITS), UNIT)
+    name = ((F.char_length(w) == 1) | (F.upper(w) != w)) & ~low.isin(NO_NAMES)
+    plain = F.when(low.isin(NUMBERS + UNITS), listed).otherwise(low)
+    capital = (w < "[") | ((w >= "\x80") & (F.lower(first) != first))
+    return F.when((w >= "a") & (w < "\x80"), plain).when(w < ":", NUMBER).when(capital & name & ~low.isin(NUMBERS + UNITS), NAME).otherwise(plain)
 
 
 # The windows are exploded with the outer form: for the other one the optimizer would put a filter on
@@ -44,13 +45,8 @@ def _kind(w: Column) -> Column:
 
 
 def _windows(kinds: str) -> Column:
-    """Hashes of the windows of ``kinds``; null where fewer than ``LEAST_LITERAL`` are literals."""
-    at = [lambda i, k=k: F.get(kinds, i + k) for k in range(WINDOW)]
-
-    def one(i: Column) -> Column:
-        literals = sum(((a(i) >= "\x02").cast("int") for a in at), F.lit(0))
-        return F.when(literals >= LEAST_LITERAL, F.xxhash64(*[a(i) for a in at]))
-
+    """Hashes of the windows of ``kinds``, an array of the tokens' own hashes."""
+    one = lambda i: F.xxhash64(*[F.get(kinds, i + k) for k in range(WINDOW)])
     return F.when(F.size(kinds) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(kinds) - WINDOW), one)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -73,17 +69,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     named = named.withColumn("version", F.xxhash64("text"))
     items = materialize(_tokenised(benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null"), "text"), "items")
-    index = items.withColumn("w", _windows("kinds")).select("item_id", F.posexplode_outer("w").alias("item_pos", "w")).where("w is not null")
-    index = materialize(index, "item-windows")
+    hashed = items.withColumn("h", F.transform("kinds", lambda k: F.xxhash64(k))).withColumn("w", _windows("h"))
+    every = hashed.select("item_id", "kinds", F.posexplode_outer("w").alias("item_pos", "w")).where("w is not null")
+    # documents' windows need no such test: one that equals an item's has as many literals
+    literals = F.size(F.filter(F.slice("kinds", F.col("item_pos") + 1, F.lit(WINDOW)), lambda k: k >= "\x02"))
+    index = materialize(every.where(literals >= LEAST_LITERAL).select("item_id", "item_pos", "w"), "item-windows")
     sizes = index.groupBy("item_id").agg(F.count_distinct("item_pos").alias("of"))
 
-    windows = _tokenised(named, "text").withColumn("w", _windows("kinds")).select("doc_id", "version", F.posexplode_outer("w").alias("doc_pos", "w"))
+    hashed = named.select("doc_id", "version", F.transform(tokens(F.col("text")), lambda w: F.xxhash64(_kind(w))).alias("h"))
+    windows = hashed.withColumn("w", _windows("h")).select("doc_id", "version", F.posexplode_outer("w").alias("doc_pos", "w"))
     hits = windows.where("w is not null").join(small_side(index, 40), "w")
     aligned = hits.groupBy("doc_id", "version", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("found"))
     aligned = materialize(aligned, "alignments")
 
     ids = small_side(aligned.select("doc_id").distinct(), 16)
-    texts = _tokenised(named.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "version"]), "text").select("doc_id", "version", F.col("words").alias("doc_words"))
+    texts = named.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "version"]).select("doc_id", "version", tokens(F.col("text")).alias("doc_words"))
     places = F.array_distinct(F.flatten(F.transform("found", lambda p: F.sequence(p, p + (WINDOW - 1)))))
     joined = aligned.join(texts, ["doc_id", "version"]).join(items.select("item_id", F.col("words").alias("item_words"), "kinds"), "item_id")
     with_slots = joined.withColumn("at", F.filter(places, lambda p: F.get("kinds", p) < "\x02"))
