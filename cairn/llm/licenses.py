@@ -56,21 +56,17 @@ def _shingled(rows: DataFrame, text: str) -> DataFrame:
     return hashed.withColumn("shingles", F.when(F.size("_h") >= SHINGLE, runs).otherwise(F.array().cast("array<bigint>"))).drop("_h")
 
 
-def _band(b: int) -> Column:
-    """Band ``b`` of each window: the lesser of its two shingles' hashes under permutation ``b``."""
-    permuted = F.transform("shingles", lambda s: F.xxhash64(s, F.lit(b)))
-    pairs = F.zip_with(permuted, F.slice(F.col("shingles"), 2, F.greatest(F.size("shingles") - 1, F.lit(1))), lambda x, s: F.when(s.isNull(), x).otherwise(F.least(x, F.xxhash64(s, F.lit(b)))))
-    # the last shingle alone is no window, unless it is the text's only one
-    return F.when(F.size("shingles") > 1, F.slice(pairs, 1, F.size("shingles") - 1)).otherwise(pairs)
-
-
 def _keys(shingled: DataFrame, *keep: str) -> DataFrame:
-    """A row per window and band; ``band`` salts the key."""
-    rows = None
-    for b in range(BANDS):
-        one = shingled.select(*keep, F.posexplode_outer(_band(b)).alias("at", "key")).where("key is not null")
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """A row per window and band, ``key``: the lesser hash of the window's two shingles under the band's permutation.
+
+    Windows become rows first, so that the bands' arithmetic is compiled. A text's only shingle is
+    a window alone. The outer explode keeps the optimizer from evaluating the array a second time.
+    """
+    second = F.slice(F.col("shingles"), F.lit(2), F.greatest(F.size("shingles") - 1, F.lit(1)))
+    windows = shingled.select(*keep, F.size("shingles").alias("n"), F.posexplode_outer(F.arrays_zip(F.col("shingles").alias("x"), second.alias("y"))).alias("at", "s"))
+    real = windows.where("s.x is not null and (s.y is not null or n = 1)").select(*keep, F.col("s.x").alias("x"), F.coalesce("s.y", "s.x").alias("y"))
+    bands = F.array(*[F.least(F.xxhash64("x", F.lit(b)), F.xxhash64("y", F.lit(b))) for b in range(BANDS)])
+    return real.select(*keep, F.explode(bands).alias("key"))
 
 
 def license_matches(docs: DataFrame, notices: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,10 +82,7 @@ def license_matches(docs: DataFrame, notices: DataFrame, doc_id: str = "doc_id",
     known = materialize(known.where(F.size("wanted") > 0), "license-notices")
     index = materialize(_keys(known, "license", "notice").select("license", "notice", "key").distinct(), "license-index")
 
-    shingled = _shingled(named, "text")
-    asked = shingled.select("doc_id", "version", "shingles", F.array(*[F.array_distinct(_band(b)) for b in range(BANDS)]).alias("bands"))
-    keys = asked.select("doc_id", "version", F.explode_outer(F.flatten("bands")).alias("key"))
-    found = keys.join(small_side(index, 60), "key").select("doc_id", "version", "license", "notice").distinct()
+    found = _keys(_shingled(named, "text"), "doc_id", "version").join(small_side(index, 60), "key").select("doc_id", "version", "license", "notice").distinct()
     found = materialize(found, "license-candidates")
 
     ids = small_side(found.select("doc_id").distinct(), 16)
