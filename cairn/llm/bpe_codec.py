@@ -1,7 +1,7 @@
 """Byte-level BPE over a corpus: each distinct word is encoded once.
 
 1. A task cuts its texts into the pattern's matches and numbers the distinct ones, chunk by chunk
-   (a chunk is some 32 MB of text): a text is then the sequence of its words' numbers by position.
+   (a chunk is some 16 million characters): a text is then the sequence of its words' numbers by position.
 2. Each chunk's distinct words are shuffled by word, packed by bucket, so all chunks' copies of a
    word meet; there a word is encoded once, and its ids go back to every chunk that asked.
 3. Number sequences and answers meet by chunk, and each text's ids are put together by position.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from cairn.llm.bpe import pieces, vocabulary
 from cairn.llm.words import text_buffer
 
-#: Bytes of text to a chunk; and texts from which ids are put together at once.
-CHUNK_BYTES, SOME_TEXTS = 32 << 20, 64
+#: Code points of text to a chunk; and texts from which ids are put together at once.
+CHUNK_CHARS, SOME_TEXTS = 16 << 20, 64
 
 
 def pack_numbers(values: np.ndarray) -> bytes:
@@ -95,7 +95,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], find) -> Iterator[_Chunk]:
             part = batch.slice(i, SOME_TEXTS)
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 chunk.add(doc_id, text or "")
-                if chunk.size >= CHUNK_BYTES:
+                if chunk.size >= CHUNK_CHARS:
                     yield chunk
                     chunk = _Chunk(find)
     if chunk.rows:

@@ -130,3 +130,20 @@ def test_numbers_pack():
 
     for values in ([], [0], [127, 128, 16383, 16384, 2**28, 2**34], list(range(300))):
         assert unpack_numbers(pack_numbers(np.array(values, np.int64))).tolist() == values
+
+
+def test_chunks_end_by_size(monkeypatch):
+    import pyarrow as pa
+
+    from cairn.llm import bpe_codec
+
+    monkeypatch.setattr(bpe_codec, "CHUNK_CHARS", 40)
+    texts = [f"some words {i} and more" for i in range(9)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(11), pa.int64()), "text": texts})
+    chunks = list(bpe_codec._chunks(iter([batch]), str.split))
+    assert len(chunks) == 5 and [i for c in chunks for i, _ in c.rows] == list(range(11))
+    for c in chunks:
+        words = list(c.numbers)
+        for i, packed in c.rows:
+            assert [words[n] for n in unpack_numbers(packed)] == (texts[i] or "").split()
+    assert len({c.name() for c in chunks}) == 5
