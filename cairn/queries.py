@@ -296,19 +296,29 @@ def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(hexed.select("item_id", "pos", *[d.alias(f"d{i}") for i, d in enumerate(partial.descriptors_of_hex("hex"))]), "descriptors")
 
 
+def _classed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Descriptors of the class representatives, and each other member with its representative."""
+    described = _described(spark, sf_dir)
+    classed = materialize(partial.classes(described), "classes")
+    copies = classed.where("item_id <> class_id").select(F.col("class_id").alias("a"), F.col("item_id").alias("b"))
+    return materialize(partial.representatives(described, classed), "representatives"), copies
+
+
 @query()
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partial.candidates(_described(spark, sf_dir))
+    """All candidate pairs of class representatives; beside them, of relation copy, each further member with its representative."""
+    described, copies = _classed(spark, sf_dir)
+    found = partial.candidates(described).withColumn("relation", F.lit("candidate"))
+    return found.unionByName(copies.withColumn("relation", F.lit("copy")), allowMissingColumns=True)
 
 
 @query()
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of one item in another: candidates that exact copies haven't joined yet, aligned."""
-    described = _described(spark, sf_dir)
-    whole = described.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("pos", "d0", "d1").cast("decimal(38,0)")).alias("h"))
-    first = whole.groupBy("n", "h").agg(F.min("item_id").alias("a"))
-    labels = whole.join(first, ["n", "h"]).select(F.col("item_id").alias("node"), F.col("a").alias("component"))
-    return partial.containment_pairs(described, partial.across_components(partial.candidates(described), labels))
+    """Passages of one class representative in another, aligned; members of a class as in ``lsh_candidates``."""
+    described, copies = _classed(spark, sf_dir)
+    found = partial.containment_pairs(described, partial.candidates(described)).withColumn("relation", F.lit("contained"))
+    whole = copies.select("*", *[F.lit(1.0).alias(f"coverage_of_{x}") for x in "ab"], F.lit("copy").alias("relation"))
+    return found.unionByName(whole, allowMissingColumns=True)
 
 
 # Ledger

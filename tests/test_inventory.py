@@ -234,6 +234,23 @@ def test_containment(spark):
     assert [(r.a, r.b) for r in partial.candidates(described).collect()] == [(1, 2)]
 
 
+def test_candidates_of_a_passage_that_many_items_share(spark, monkeypatch):
+    """Thirty items share a passage, four of them are copies of others: every pair is found, whatever a bucket holds."""
+    rng = np.random.default_rng(6)
+    passage = rng.integers(-(2**63), 2**63, (20, 4))
+    texts = [np.vstack([rng.integers(-(2**63), 2**63, (8, 4)), passage]) for _ in range(30)]
+    rows = [(i, k, *map(int, d)) for i, ds in enumerate(texts + texts[:4]) for k, d in enumerate(ds)]
+    described = spark.createDataFrame(rows, "item_id long, pos int, d0 long, d1 long, d2 long, d3 long")
+    classed = partial.classes(described)
+    assert {(r.item_id, r.class_id) for r in classed.collect()} == {(i, i % 30) for i in range(34)}
+    for block in (256, 7):
+        monkeypatch.setattr(partial, "BLOCK", block)
+        got = partial.candidates(partial.representatives(described, classed)).collect()
+        assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+        assert all(r.votes >= 8 * 20 for r in got)
+    assert partial.key_bits(3 * 10**9) == 33
+
+
 def test_review(spark):
     members = spark.createDataFrame([("g", "/1", 1, 5), ("g", "/2", 2, 6), ("h", "/3", 1, 7), ("h", "/4", 2, 8), ("h", "/5", 3, 9)], "group_id string, path string, rank int, size long")
     paths_of = lambda df: sorted(r.path for r in df.collect())
