@@ -9,7 +9,8 @@ A linear scan (Ruzzo and Tompa 1999) finds every maximal segment of a text whose
 drift for each word, sum highest. How high a clean text's best segment gets follows an extreme-value
 law: P(max > x) = 1 - exp(-K n exp(-lambda x)) for n words. lambda solves E[exp(lambda * weight)] = 1
 over clean words, K is fitted to clean texts' maxima. Segments of small E-value are significant; a
-text's score is a logistic function of the log of its expected count of such segments.
+text's evidence is the sum over all its significant segments of -log10 of their E-values (or that of
+the best one, where none is significant), its score a logistic function of the evidence.
 
 Counts are kept by hash in a table of fixed size, so the model that is broadcast has a bound.
 """
@@ -32,8 +33,8 @@ CELLS, BLOCKS = 1 << HASH_BITS, 64
 PRIOR, DRIFT = 10.0, 1.0
 #: Bins of word weights; and the range in which evidence counts: beyond it a text is no clearer.
 WEIGHT_BINS, EVIDENCE = 400, (-3.0, 10.0)
-#: Segments are reported up to this E-value.
-E_VALUE = 0.01
+#: Segments count, and are reported, up to this E-value.
+E_VALUE = 0.1
 
 
 def _cells(words: Words) -> list[np.ndarray]:
@@ -63,8 +64,22 @@ class Model:
         """log10 of 1 / (expected segments as good as ``best`` in clean texts of ``n`` words)."""
         return (self.decay * best - np.log(self.scale * np.maximum(n, 1))) / np.log(10)
 
-    def score(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.slope * (np.clip(self.log_expected(best, n), *EVIDENCE) - self.middle)))
+    def evidence(self, weights: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, dict[int, list[tuple[int, int, float, float]]]]:
+        """Each text's summed evidence; and by text its significant segments ``(start, end, sum, e_value)``.
+
+        Only a text whose best segment is significant can have others that are.
+        """
+        n, least, found = np.diff(bounds), -np.log10(E_VALUE), {}
+        total = self.log_expected(best_segments(weights, bounds), n)
+        for k in np.flatnonzero(total >= least).tolist():
+            own = maximal_segments(weights[bounds[k] : bounds[k + 1]])
+            logs = self.log_expected(np.array([w for _, _, w in own]), n[k])
+            found[k] = [(*segment, float(10.0 ** -min(e, 300))) for segment, e in zip(own, logs.tolist(), strict=True) if e >= least]
+            total[k] = max(total[k], logs[logs >= least].sum())
+        return total, found
+
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.slope * (np.clip(evidence, *EVIDENCE) - self.middle)))
 
 
 def best_segments(weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -79,7 +94,7 @@ def best_segments(weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def maximal_segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments ``(start, end, sum)``, in order: none can be extended, none overlap."""
-    found: list[list] = []  # start, end, sum before, sum up to the end
+    found: list[list] = []  # start, end, sum before, sum up to the end, the last one before that begins lower
     total = 0.0
     for i, w in enumerate(weights.tolist()):
         if w <= 0:
@@ -90,13 +105,13 @@ def maximal_segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+                found.append([*new, j])
                 break
             new = [found[j][0], new[1], found[j][2], new[3]]
             del found[j:]
-    return [(a, b, high - low) for a, b, low, high in found]
+    return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +219,25 @@ def fit(texts: DataFrame) -> Model:
     if len(clean):  # the mean of K n exp(-decay x) over clean maxima is 1 under the law
         decayed = clean[:, 2] * np.exp(-first.decay * clean[:, 1])
         first.scale = float(clean[:, 3].sum() / max((decayed * clean[:, 3]).sum(), 1e-300))
-    evidence = np.clip(first.log_expected(table[:, 1], table[:, 2]), *EVIDENCE)
-    slope, middle = _logistic(evidence, table[:, 0], table[:, 3])
+    shared = spark.sparkContext.broadcast(first)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts by label and evidence, in hundredths."""
+        model, seen = shared.value, {}
+        for batch in batches:
+            label = batch.column(1).to_numpy()
+            for i, j, words in portions(batch.column(0)):
+                evidence = np.clip(model.evidence(model.weights(words) - DRIFT, words.bounds)[0], *EVIDENCE)
+                for key in zip(label[i:j].tolist(), np.round(evidence * 100).astype(int).tolist(), strict=True):
+                    seen[key] = seen.get(key, 0) + 1
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*[(*k, c) for k, c in seen.items()], strict=True)], ["kind", "a", "n"])
+
+    weighed = texts.where("fold = 1").select("text", "toxic").mapInArrow(weigh, "kind long, a long, n long")
+    rows = weighed.groupBy("kind", "a").agg(F.sum("n").alias("n")).collect()  # at most 2 * 1301 rows
+    shared.unpersist()
+    table = np.array([(r.kind, r.a / 100, r.n) for r in rows] or np.empty((0, 3)), float).reshape(-1, 3)
+    slope, middle = _logistic(table[:, 1], table[:, 0], table[:, 2])
     final = _model(toxic.sum(axis=0), uses.sum(axis=0))
     final.decay, final.scale, final.slope, final.middle = first.decay, first.scale, slope, middle
     return final
@@ -257,16 +289,11 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         model = shared.value
         for batch in batches:
             for i, j, words in portions(batch.column(1)):
-                weights, n = model.weights(words) - DRIFT, words.counts()
-                best = best_segments(weights, words.bounds)
-                evidence = model.log_expected(best, n)
-                columns = {"doc_id": batch.column(0).slice(i, j - i), "score": pa.array(model.score(best, n)), "evidence": pa.array(evidence)}
+                weights = model.weights(words) - DRIFT
+                evidence, found = model.evidence(weights, words.bounds)
+                columns = {"doc_id": batch.column(0).slice(i, j - i), "score": pa.array(model.score(evidence)), "evidence": pa.array(evidence)}
                 if segments:
-                    passages = []
-                    for k in range(j - i):
-                        own = maximal_segments(weights[words.bounds[k] : words.bounds[k + 1]]) if 10.0 ** -min(evidence[k], 300) <= E_VALUE else []
-                        rated = [(a, b, w, float(10.0 ** -np.clip(model.log_expected(np.array(w), np.array(n[k])), -300, 300))) for a, b, w in own]
-                        passages.append([dict(zip(("start", "end", "weight", "e_value"), r, strict=True)) for r in rated if r[3] <= E_VALUE])
+                    passages = [[dict(zip(("start", "end", "weight", "e_value"), r, strict=True)) for r in found.get(k, [])] for k in range(j - i)]
                     columns["passages"] = pa.array(passages, kind)
                 yield pa.RecordBatch.from_pydict(columns)
 

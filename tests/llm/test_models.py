@@ -37,6 +37,18 @@ def test_segments():
         assert math.isclose(best, max([0.0, *(s for _, _, s in got)]), abs_tol=1e-9)
 
 
+def test_evidence_of_several_segments_adds_up():
+    model = toxicity.Model(np.zeros(0), np.zeros(0), 0.5, decay=1.0, scale=0.1, slope=2.0, middle=4.0)
+    calm, vile = [-1.0] * 20, [3.0, 3.0, 2.0]
+    one, three = calm + vile + calm * 2 + [-1.0] * 6, calm[:15] + (vile + calm[:15]) * 3
+    assert len(one) == len(three) == 69
+    got, found = model.evidence(np.array(calm + one + three), np.array([0, 20, 89, 158]))
+    each = float(model.log_expected(np.array(8.0), np.array(69)))
+    assert 1 < each < model.middle and np.allclose(got[1:], [each, 3 * each])
+    assert [(a, b) for a, b, _, _ in found[2]] == [(15, 18), (33, 36), (51, 54)] and 0 not in found and len(found[1]) == 1
+    assert (model.score(got) >= 0.5).tolist() == [False, False, True]
+
+
 def test_toxicity_is_learned(spark):
     rng = random.Random(4)
     words = [f"word{i}" for i in range(300)]
