@@ -102,12 +102,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signatures(spark, sf_dir).select("*", F.concat(F.lit("/img/"), F.col("item_id").cast("string")).alias("path"), F.timestamp_seconds(F.col("item_id")).alias("mtime"), F.when(F.col("item_id") % 50 == 0, F.lit("same")).otherwise(F.col("item_id").cast("string")).alias("digest"))
 
 
-def shingles(spark: SparkSession, sf_dir: str, most: int = 400) -> DataFrame:
-    """Hashes of five-word runs of documents and of benchmark items (from 10**9 on), in order; ``most`` of each item."""
+def shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of five-word runs of documents and of benchmark items (from 10**9 on), in order; all of each item."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
     bench = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("item_id"), "text")
     words = docs.unionByName(bench).select("item_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
-    runs = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(0), F.least(F.size("w") - 5, F.lit(most - 1))), lambda i: F.sha2(F.array_join(F.slice("w", i + 1, F.lit(5)), " "), 256)))
+    runs = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.sha2(F.array_join(F.slice("w", i + 1, F.lit(5)), " "), 256)))
     return words.select("item_id", F.posexplode_outer(runs).alias("pos", "hex")).where("hex is not null")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cairn.functions import dates, paths
 from cairn.operators import components, groups, hamming, ledger, partial, review
-from cairn.plans import layout
+from cairn.plans import layout, views
+from cairn.queries import QUERIES
 from cairn.sources import inventory, store
 from cairn.streaming import runs
 
@@ -251,6 +252,32 @@ def test_candidates_of_a_passage_that_many_items_share(spark, monkeypatch):
     assert partial.key_bits(3 * 10**9) == 33
 
 
+def test_passage_far_into_a_long_text(spark, tmp_path, monkeypatch):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    long, part = words("a", 1200), words("a", 1200)[700:1000]
+    spark.createDataFrame([(1, " ".join(long)), (2, " ".join(part)), (3, None), (4, "too short")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(words("b", 30)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = views.shingles(spark, str(tmp_path)).groupBy("item_id").count().collect()
+    assert {r.item_id: r["count"] for r in got} == {1: 1196, 2: 296, 10**9 + 1: 26}
+    (r,) = QUERIES["containment"](spark, str(tmp_path)).collect()
+    assert (r.a, r.b, r.inliers, round(r.coverage_of_a, 6), r.coverage_of_b, r.relation) == (1, 2, 296, round(296 / 1196, 6), 1.0, "contained")
+
+
+def test_blocks_match_as_the_whole_matrix(monkeypatch):
+    rng = np.random.default_rng(8)
+    large = rng.integers(0, 2**64, (90, 4), np.uint64)
+    large[50] = large[10]
+    small = large[5:65].copy()
+    small[::3, 0] ^= np.uint64(0xFF)
+    small[1::7, 2] ^= np.uint64((1 << 64) - 1)
+    far = np.bitwise_count(small[:, None] ^ large[None]).sum(axis=2, dtype=np.int64)
+    near = np.sort(far, axis=1)
+    want = [(i, int(far[i].argmin())) for i in range(60) if near[i, 0] < partial.RATIO * near[i, 1] and near[i, 0] < partial.NEAREST]
+    for size in (1 << 22, 200):
+        monkeypatch.setattr(partial, "MATRIX", size)
+        assert partial.match(small, large) == want
+
+
 def test_review(spark):
     members = spark.createDataFrame([("g", "/1", 1, 5), ("g", "/2", 2, 6), ("h", "/3", 1, 7), ("h", "/4", 2, 8), ("h", "/5", 3, 9)], "group_id string, path string, rank int, size long")
     paths_of = lambda df: sorted(r.path for r in df.collect())
