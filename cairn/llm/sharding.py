@@ -78,27 +78,28 @@ def _overflow(rows: DataFrame, max_bytes: int) -> DataFrame:
     return placed.withColumn("overflow", F.floor((F.col("before") + F.col("inside")) / F.lit(max_bytes)).cast("long"))
 
 
-def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """``(key, bytes, depth, prefix, overflow, shard)`` per row of ``docs``.
 
     bytes is the text's size in UTF-8 (null: 0). shard names the bucket: the prefix's bits, and a
     number for what a single key has beyond one shard. Every shard holds at most ``max_bytes``,
     except that a row larger than that stands alone or ends an overflow shard, as rows are never
     cut. Null keys are hashed together as one key of their own; repeated rows are rows; an empty
-    table has no shards; other columns are ignored.
+    table has no shards; other columns are ignored, or with ``carry`` kept in the struct ``row``.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
-    hashed = docs.select(F.col(key).alias("key"), size.alias("bytes"), hash_bits(F.col(key)).alias("h"))
+    rest = ["row"] * carry
+    hashed = docs.select(F.col(key).alias("key"), size.alias("bytes"), hash_bits(F.col(key)).alias("h"), *[F.struct("*").alias(r) for r in rest])
     found = materialize(directory(hashed.select("h", "bytes"), max_bytes), "shard-directory")
     depths = [r[0] for r in found.select("depth").distinct().orderBy("depth").collect()]
     if not depths:
-        return hashed.select("key", "bytes", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("overflow"), F.lit("").alias("shard"))
+        return hashed.select("key", "bytes", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("overflow"), *rest, F.lit("").alias("shard"))
     #: At most 61 depths: a row asks for its prefix at each depth in use, and one answers.
     tries = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix("h", d).alias("prefix")) for d in depths]))
-    keyed = hashed.select("key", "bytes", "h", tries.alias("at")).select("key", "bytes", "h", "at.depth", "at.prefix")
+    keyed = hashed.select("key", "bytes", "h", *rest, tries.alias("at")).select("key", "bytes", "h", *rest, "at.depth", "at.prefix")
     placed = keyed.join(small_side(found, 32), ["depth", "prefix"])
     whole = placed.where("not overfull").withColumn("overflow", F.lit(0).cast("long"))
-    columns = ["key", "bytes", "depth", "prefix", "overflow"]
+    columns = ["key", "bytes", "depth", "prefix", "overflow", *rest]
     if found.where("overfull").take(1):
         whole = whole.select(columns).unionByName(_overflow(placed.where("overfull"), max_bytes).select(columns))
     bits = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
@@ -107,9 +108,9 @@ def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: st
 
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int, key: str = "doc_id", text: str = "text") -> None:
-    """``docs`` as Parquet below ``path``, a folder to a shard, named ``b`` and its bits. Keys must be unique for the join back."""
-    placed = assign_shards(docs, max_bytes, key, text).select(F.col("key").alias(key), F.concat(F.lit("b"), "shard").alias("shard"))
-    docs.join(placed, key).repartition("shard").write.partitionBy("shard").parquet(path)
+    """``docs`` as Parquet below ``path``, a folder to a shard, named ``b`` and its bits. Every row is written once, whatever its key."""
+    placed = assign_shards(docs, max_bytes, key, text, carry=True).select("row.*", F.concat(F.lit("b"), "shard").alias("shard"))
+    placed.repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 def oracle(max_bytes: int, deepest: int = 40) -> str:

@@ -40,6 +40,15 @@ def test_shards_of_one_hot_key(spark):
     assert sharding.assign_shards(df.limit(0), 4000).count() == 0
 
 
+def test_shards_are_written_with_null_and_repeated_keys(spark, tmp_path):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, "x" * 40, i) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    sharding.write_shards(df, str(tmp_path / "out"), 1000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.select(*df.columns).collect()), key=repr) == sorted(rows, key=repr)
+    assert back.groupBy("shard").agg(F.sum(F.length("text")).alias("b")).where("b >= 1040").count() == 0
+
+
 def test_shards_are_written(spark, tmp_path):
     df = spark.createDataFrame([(i, "x" * 50) for i in range(100)], "doc_id long, text string")
     sharding.write_shards(df, str(tmp_path / "out"), 1000)
