@@ -10,10 +10,15 @@ J is retrieved with 1 - (1 - J)**8.
 
 Retrieved templates are then verified: of a template's shingles, the share that stands in the
 stretch of text around the windows that retrieved it, exactly, must reach ``LEAST_CONTAINED`` per cent.
+
+A notice of fewer than five words is one shingle of its own length and is found where it stands
+whole; texts are cut at the lengths that such notices have.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +39,13 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
 }
+#: Notices of fewer than five words.
+SHORT_TEMPLATES = {"All-rights-reserved": ["All rights reserved."]}
 
 
 def templates(spark: SparkSession) -> DataFrame:
     """``(license, notice, text)``: the built-in notices; any table of this form can take their place."""
-    rows = [(name, i, text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
+    rows = [(name, i, text) for name, texts in (TEMPLATES | SHORT_TEMPLATES).items() for i, text in enumerate(texts)]
     return spark.createDataFrame(rows, "license string, notice int, text string")
 
 
@@ -69,15 +76,27 @@ def _keys(shingled: DataFrame, *keep: str) -> DataFrame:
     return real.select(*keep, F.explode(bands).alias("key"))
 
 
+def _short_runs(rows: DataFrame, text: str, lengths: list[int], *keep: str) -> DataFrame:
+    """A row per word and length, ``key``: the run of that many words from word ``at`` on."""
+    hashed = rows.select(*keep, _hashed(F.col(text)).alias("h"))
+    nth = [F.slice("h", k + 1, F.greatest(F.size("h") - k, F.lit(0))).alias(f"w{k}") for k in range(max(lengths))]
+    windows = hashed.select(*keep, F.posexplode_outer(F.arrays_zip(*nth)).alias("at", "s")).where("s.w0 is not null")
+    runs = [F.when(F.col(f"s.w{n - 1}").isNotNull(), F.xxhash64(F.lit(n), *[F.col(f"s.w{k}") for k in range(n)])) for n in lengths]
+    return windows.select(*keep, "at", F.explode(F.array(*runs)).alias("key")).where("key is not null")
+
+
 def license_matches(docs: DataFrame, notices: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, license, containment, at_word)`` per document and license found in it.
 
     ``notices`` has (license, notice, text). containment is that of the license's best notice, at_word
-    where the stretch that holds it begins, in words. Notices and texts of under five words match
-    nothing, nor do null ones; rows without doc_id can't be reported. Rows that repeat a doc_id are
+    where the stretch that holds it begins, in words. Notices of under five words must stand whole.
+    Notices and texts that are null or without words match nothing; rows without doc_id can't be reported. Rows that repeat a doc_id are
     searched each, and reported once. Other columns are ignored.
     """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null").withColumn("version", F.xxhash64("text"))
+    words = notices.select("license", "text").withColumn("length", F.size(_hashed(F.col("text"))))
+    short = materialize(words.where(F.col("length").between(1, SHINGLE - 1)), "license-short")
+    lengths = sorted(r[0] for r in short.select("length").distinct().collect())  # under five
     known = _shingled(notices.select("license", "notice", "text"), "text").withColumn("wanted", F.array_distinct("shingles"))
     known = materialize(known.where(F.size("wanted") > 0), "license-notices")
     index = materialize(_keys(known, "license", "notice").select("license", "notice", "key").distinct(), "license-index")
@@ -95,5 +114,11 @@ def license_matches(docs: DataFrame, notices: DataFrame, doc_id: str = "doc_id",
     inside = F.transform("hits", lambda h, k: F.struct(F.size(F.array_distinct(F.transform(stretch(h, k), lambda g: g["s"]))).alias("n"), (-h["i"]).alias("i")))
     best = at.withColumn("best", F.array_max(inside)).withColumn("containment", F.col("best.n") / F.size("wanted"))
     enough = best.where(F.col("best.n") * 100 >= F.size("wanted") * LEAST_CONTAINED)
-    top = enough.groupBy("doc_id", "license").agg(F.max(F.struct("containment", "best.i")).alias("b"))
+    enough = enough.select("doc_id", "license", "containment", F.col("best.i").alias("i"))
+    if lengths:
+        wanted = [_short_runs(short.where(F.col("length") == n), "text", [n], "license").select("license", "key") for n in lengths]
+        index = small_side(materialize(reduce(DataFrame.unionByName, wanted).distinct(), "license-short-index"), 60)
+        stands = _short_runs(named, "text", lengths, "doc_id").join(index, "key").groupBy("doc_id", "license").agg((-F.min("at")).alias("i"))
+        enough = enough.unionByName(stands.select("doc_id", "license", F.lit(1.0).alias("containment"), "i"))
+    top = enough.groupBy("doc_id", "license").agg(F.max(F.struct("containment", "i")).alias("b"))
     return top.select("doc_id", "license", F.col("b.containment").alias("containment"), (-F.col("b.i")).cast("long").alias("at_word"))

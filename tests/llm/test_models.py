@@ -190,6 +190,15 @@ def test_licenses(spark):
     assert licenses.license_matches(df.limit(0), licenses.templates(spark)).count() == 0
 
 
+def test_licenses_of_few_words(spark):
+    texts = ["One two.\nAll rights reserved.", "ALL RIGHTS  RESERVED", "all rights", "all rights are reserved", "all rights reserved " * 2 + "x y", "Copyleft", None, "", "Licensed under CC BY 4.0. All rights reserved."]
+    docs = spark.createDataFrame([(i, t, "a", "b", 0) for i, t in enumerate(texts)], DOCS)
+    own = spark.createDataFrame([("Left", 0, "Copyleft!"), ("None", 0, ""), ("None", 1, None)], "license string, notice int, text string")
+    got = licenses.license_matches(docs, licenses.templates(spark).unionByName(own)).collect()
+    rights = "All-rights-reserved"
+    assert {(r.doc_id, r.license, r.containment, r.at_word) for r in got} == {(0, rights, 1.0, 2), (1, rights, 1.0, 0), (4, rights, 1.0, 0), (5, "Left", 1.0, 0), (8, rights, 1.0, 6), (8, "CC-BY-4.0", 1.0, 0)}
+
+
 def test_words_hash_alike_wherever_they_stand():
     texts = [b"Ab c  AB", b"", b" x\n\xc3\xa9 ab", b"\x0b\x0b", b"c"]
     ends = np.cumsum([0, *map(len, texts)])
