@@ -58,7 +58,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stored=True)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

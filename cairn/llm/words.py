@@ -1,7 +1,7 @@
 """Words and their 64-bit hashes, vectorised over the buffers of Arrow text columns.
 
 A word is a run of bytes outside space and 0x09-0x0D; A-Z count as a-z. A word's hash is a
-polynomial over its bytes: with running sums over the whole buffer, each word costs two lookups.
+polynomial over its bytes: with running sums over a block of text, each word costs two lookups.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ _SEP[[32, *range(9, 14)]] = True
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 _STEP = _rng.integers(1, 1 << 62, 64, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
+#: Bytes of text that are worked on at once; a block ends with a word, so only a longer word makes it longer.
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,42 +32,80 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _power_table(base: int, n: int) -> np.ndarray:
+    a = np.full(n, base, _U)
+    a[0] = 1
+    return np.multiply.accumulate(a)
+
+
+_powers = [_power_table(base, 2 * BLOCK) for base in (_P, _P_INV)]
+
+
 def _tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, 1 << 20)
-        for i, base in enumerate((_P, _P_INV)):
-            a = np.full(n, base, _U)
-            a[0] = 1
-            _powers[i] = np.multiply.accumulate(a)
-    return _powers
+    """Powers up to ``n``; those beyond two blocks are made for one use and not kept."""
+    return _powers if n <= 2 * BLOCK else [_power_table(base, n) for base in (_P, _P_INV)]
+
+
+def _block_bounds(data: np.ndarray) -> list[tuple[int, int]]:
+    n, bounds, a = len(data), [], 0
+    while n - a > 2 * BLOCK:
+        b = a + BLOCK
+        while b < n and not len(gap := np.flatnonzero(_SEP[data[b : b + BLOCK]])):
+            b += BLOCK
+        b = n if b >= n else b + int(gap[0]) + 1
+        bounds.append((a, b))
+        a = b
+    return [*bounds, (a, n)] if n > a or not bounds else bounds
 
 
 class Words:
-    """The words of some texts: ``hashes``, byte bounds ``starts``/``ends``, and ``bounds`` by text."""
+    """The words of some texts: ``hashes``, byte bounds ``starts``/``ends``, and ``bounds`` by text.
+
+    Per byte of text a long text costs what its words do, some 24 bytes a word; all else is held by block.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        n = len(data)
-        power, inverse = _tables(n + 1)
+        self._data, self._offsets = data, offsets
+        self._blocks = _block_bounds(data)
+        self._only = None
+        found = []
+        for a, b in self._blocks:
+            block = self._scan(a, b)
+            found.append((block[0] + a, block[1] + a, self._hashed(block, 1 << 40)))
+        if len(found) == 1:
+            self._only = block
+        self.starts, self.ends, self.hashes = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*found, strict=True))
+        self.bounds = np.searchsorted(self.starts, offsets)
+
+    def _scan(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and running sums of a block."""
+        data, n = self._data[a:b], b - a
         sep = _SEP[data]
         edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
+        inside = self._offsets[np.searchsorted(self._offsets, a) : np.searchsorted(self._offsets, b, "right")]
+        edge[inside - a] = True
         before = np.ones(n, bool)
         before[1:] = sep[:-1]
         after = np.ones(n, bool)
         after[:-1] = sep[1:]
-        self.starts = np.flatnonzero(~sep & (before | edge[:-1]))
-        self.ends = np.flatnonzero(~sep & (after | edge[1:])) + 1
-        self._sums = np.zeros(n + 1, _U)
-        np.cumsum(_BYTES[data] * power[:n], out=self._sums[1:])
-        self._inverse = inverse
-        self.bounds = np.searchsorted(self.starts, offsets)
-        self.hashes = self.prefix_hashes(1 << 62)
-
-    def prefix_hashes(self, n_bytes: int) -> np.ndarray:
-        """Hashes of each word's first ``n_bytes`` bytes."""
-        ends = np.minimum(self.ends, self.starts + min(n_bytes, 1 << 40))
-        h = (self._sums[ends] - self._sums[self.starts]) * self._inverse[self.starts]
-        return mix(h + (ends - self.starts).astype(_U))
+        starts = np.flatnonzero(~sep & (before | edge[:-1]))
+        ends = np.flatnonzero(~sep & (after | edge[1:])) + 1
+        sums = np.zeros(n + 1, _U)
+        np.cumsum(_BYTES[data] * _tables(n + 1)[0][:n], out=sums[1:])
+        return starts, ends, sums
+
+    @staticmethod
+    def _hashed(block: tuple[np.ndarray, np.ndarray, np.ndarray], n_bytes: int) -> np.ndarray:
+        starts, ends, sums = block
+        ends = np.minimum(ends, starts + n_bytes)
+        h = (sums[ends] - sums[starts]) * _tables(len(sums))[1][starts]
+        return mix(h + (ends - starts).astype(_U))
+
+    def by_block(self, *limits: int) -> Iterator[list[np.ndarray]]:
+        """Block by block, hashes of each word's first so many bytes, one array a limit."""
+        for a, b in self._blocks:
+            block = self._only or self._scan(a, b)
+            yield [self._hashed(block, min(n, 1 << 40)) for n in limits]
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
@@ -94,7 +133,8 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
+    if not pa.types.is_large_binary(column.type):
+        column = column.cast(pa.large_string())
     if column.null_count:
         column = pc.fill_null(column, "")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
@@ -102,8 +142,8 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def portions(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, Words]]:
-    """(first row, end row, words) over ``column``, each about ``size`` bytes: bounds working memory."""
+def portions(column: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, Words]]:
+    """(first row, end row, words) over ``column``, each about ``size`` bytes or one longer text: bounds working memory."""
     data, offsets = text_buffer(column)
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -7,6 +7,7 @@ import random
 import re
 import string
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -132,18 +133,57 @@ def test_numbers_pack():
         assert unpack_numbers(pack_numbers(np.array(values, np.int64))).tolist() == values
 
 
-def test_chunks_end_by_size(monkeypatch):
+def test_chunks_end_by_size():
     import pyarrow as pa
 
-    from cairn.llm import bpe_codec
+    from cairn.llm import bpe, bpe_codec
 
-    monkeypatch.setattr(bpe_codec, "CHUNK_CHARS", 40)
     texts = [f"some words {i} and more" for i in range(9)] + [None, ""]
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(11), pa.int64()), "text": texts})
-    chunks = list(bpe_codec._chunks(iter([batch]), str.split))
-    assert len(chunks) == 5 and [i for c in chunks for i, _ in c.rows] == list(range(11))
-    for c in chunks:
-        words = list(c.numbers)
-        for i, packed in c.rows:
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "text": pa.array([texts[i] for i in ids], pa.string())}) for ids in (range(4), range(4, 11))]
+    parts = list(bpe.portions_of_text(iter(batches), 1, 40))
+    assert len(parts) == 5 and [i for p in parts for i in p.column(0).to_pylist()] == list(range(11))
+    chunks = [bpe_codec._Chunk(p, str.split) for p in parts]
+    for part, chunk in zip(parts, chunks, strict=True):
+        words = [w.decode() for w in chunk.words.to_pylist()]
+        for i, packed in zip(part.column(0).to_pylist(), chunk.sequences().to_pylist(), strict=True):
             assert [words[n] for n in unpack_numbers(packed)] == (texts[i] or "").split()
     assert len({c.name() for c in chunks}) == 5
+
+
+def test_pieces_encode_apart(encoding):
+    """Whatever white space a text has, its pieces' ids make up the text's ids."""
+    import pyarrow as pa
+
+    from cairn.llm.bpe import Pieces
+
+    rng = random.Random(11)
+    signs = ["a", "b1", "é", "的", "'s", ".", " ", " ", "  ", "\n", "\n", "\n\n", "\r\n", "\t", "\u00a0", "\u2003", "\u3000", "\u0085", "\x1c", "\u1680", "\u205f", "à", "\u2028", "😀"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [None]
+    pieces = Pieces(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        own = [pieces.distinct[i] for i in pieces.index[pieces.bounds[k] : pieces.bounds[k + 1]]]
+        assert "".join(own) == (text or "")
+        assert [i for p in own for i in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text or "")
+
+
+def test_decoding_in_blocks_and_unknown_ids(spark, encoding, monkeypatch):
+    import pyarrow as pa
+    import pytest
+
+    from cairn.llm import bpe_codec
+
+    monkeypatch.setattr(bpe_codec, "BLOCK_IDS", 3)
+    monkeypatch.setattr(bpe_codec, "_texts", lambda batches: iter([(pa.array([7, None, 8], pa.int64()), np.arange(8, dtype=np.int32), np.array([0, 7, 7, 8]))]))
+    (batch,) = bpe_codec._in_blocks(iter([]))
+    assert batch.to_pydict() == {"doc_id": [7, 7, 7, None, 8], "ids": [[0, 1, 2], [3, 4, 5], [6], [], [7]], "head": [True, False, False, True, True]}
+    rows = spark.createDataFrame([(1, [50256 + 9])], "k int, ids array<int>")
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        decode(rows, RANKS, public_tokenizers.PATTERN).collect()
+    texts = ["two words", "", None, "ab " * 70000]
+    both = bpe_codec.encode_and_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, public_tokenizers.PATTERN).collect()
+    for r in both:
+        text = texts[r.doc_id] or ""
+        assert r.ids == encoding.encode_ordinary(text) and r.n_tokens == len(r.ids)
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    plain = decode(encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    assert {r.doc_id: bytes(r.decoded).decode() for r in plain.collect()} == {i: t or "" for i, t in enumerate(texts)}
