@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,20 +11,35 @@ from pyspark.sql import functions as F
 
 #: A side may be broadcast up to this many bytes, by the row count times a stated row width.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of an Arrow batch between Spark and its Python workers.
+BATCH_BYTES = 8 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where it is unset (a single machine, tests) a temporary folder becomes the setting.
+    Where it is unset on a local master (a single machine, tests) a temporary folder becomes the
+    setting; on a cluster, whose executors couldn't see that folder, this is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` for what runs from now on, unless the session has a setting of its own.
+
+    Texts are large rows: at Spark's default of 64 MB an executor would hold several such batches for each Python worker.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") in ("67108864b", "67108864", "64MB"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -43,3 +59,10 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
     """
     most = max(1, limit // row_bytes)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def without(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``df`` without the rows whose ``key`` is among ``found``'s, whatever other columns either has. Null keys stay."""
+    gone = materialize(found.select(F.col(key).alias("key")).where("key is not null").distinct(), "gone")
+    gone = small_side(gone, 16)
+    return df.join(gone, df[key] == gone["key"], "left_anti")
