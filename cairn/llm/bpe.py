@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import regex
 import tiktoken
 
-from cairn.llm.words import text_buffer
+from cairn.llm.words import BLOCK, text_buffer
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14), *range(28, 32)]] = True
@@ -97,7 +97,12 @@ class Pieces:
     def __init__(self, column: pa.Array):
         data, offsets = text_buffer(column)
         data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-        starts = piece_starts(data, offsets)
+        found, i = [], 0
+        while i < len(offsets) - 1:  # the masks take some ten bytes a byte of text
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK, "right")) - 1)
+            found.append(piece_starts(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) + offsets[i])
+            i = j
+        starts = np.concatenate(found or [np.empty(0, np.int64)])
         ends = np.append(starts, len(data))
         every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
         coded = every.dictionary_encode()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.bpe import Pieces, gather, portions_of_text, vocabulary
 from cairn.llm.words import mix, text_buffer
-from cairn.session import materialize
+from cairn.session import bounded_batches, materialize
 
 #: Bytes of text to a chunk; texts from which ids are put together at once; ids to a row, and to a portion, when they are decoded.
 CHUNK_BYTES, SOME_TEXTS, BLOCK_IDS, PORTION_IDS = 8 << 20, 64, 1 << 16, 2 << 20
@@ -120,6 +120,7 @@ def _buckets(words: pa.Array, n: int) -> np.ndarray:
 def _parts(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, stored: bool) -> DataFrame:
     """Answers (kind 0) and texts (kind 1), chunk by chunk and answers first."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     n_buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     given = given if stored else materialize(given, "texts")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from cairn.llm.words import mix, portions, shingle_sets
 from cairn.operators.components import connected_components
-from cairn.session import materialize, small_side
+from cairn.session import bounded_batches, materialize, small_side, without
 
 N, LONG_N, BANDS, ROWS, PER_LONG = 160, 2048, 40, 4, 32
 #: Percent, as the link rule has it; and the lowest estimates that are still verified, by signature.
@@ -146,6 +146,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component and the flag. A row without doc_id has a null component and is kept. Other columns
     of ``docs`` are ignored, whatever their names. Texts are read whole.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body"))
     rows = materialize(texts.mapInArrow(_features, FEATURES), "dedup-features")
     known = rows.where("class is not null and doc_id is not null")
@@ -196,6 +197,4 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that another one of their component stands for."""
-    gone = near_duplicates(docs, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = small_side(materialize(gone, "dedup-gone"), 16)
-    return docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    return without(docs, near_duplicates(docs, doc_id, text).where("not kept").withColumnRenamed("doc_id", doc_id), doc_id)

@@ -7,10 +7,14 @@ vector; the minimum covariance determinant of each (language, source) tells how
 texts spread, whatever up to half of the texts look like.
 
 Concentration steps start from medians and quartiles, as in deterministic MCD (Hubert, Rousseeuw
-and Verdonck 2012). Each step keeps the half of a group's texts that lie nearest, by a histogram of
-log distances in steps of one per cent, and takes the mean and covariance of these: two
-aggregations, so that no group is ever gathered or sorted in a task. A reweighting step ends it.
-Groups of under ``LEAST_GROUP`` texts take their language's estimate, and small languages that of all texts.
+and Verdonck 2012). Each step keeps the half of a group's texts that lie nearest and takes the mean
+and covariance of these, until neither changes. A step is one aggregation by group and log distance, in
+bins of one per cent, that sums texts, vectors and their products: running sums over the bins give
+the half's moments, so no group is ever gathered or sorted in a task. A reweighting step ends it.
+
+Estimates are regularised as in MRCD (Boudt, Rousseeuw, Vanduffel and Verdonck 2020), towards the
+level above: a group's moments are mixed with its language's as ``PRIOR`` further texts, and a
+language's with those of all texts. So every group has an estimate of its own, whatever its size.
 """
 
 from __future__ import annotations
@@ -21,19 +25,21 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.session import materialize, small_side
+from cairn.session import materialize, small_side, without
 
 WORD_GAP, SYMBOLS = r"[\x20\x09-\x0D]+", "#*$%&|<>"
 #: Word counts below which, and percentages of repeated words above which, the base rules reject.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 X = ("x1", "x2", "x3", "x4")
 P = len(X)
-PSEUDO, LEAST_GROUP, STEPS = 200.0, 200, 4
+#: Uses at the language's share; texts at the moments of the level above; steps at most, and the change, in spreads, at which they end.
+PSEUDO, PRIOR, STEPS, CHANGE = 200.0, 100.0, 25, 0.05
 #: The least variance of a direction: what lies nearly in a plane isn't judged by finer distances.
 LEAST_VARIANCE = 1e-5
-#: A sound text is rejected with this probability, were vectors normal.
+#: A sound text is rejected with this probability, were vectors normal: statistics of real texts have longer tails.
 REJECT = 1e-12
-_BINS_PER_E = 100
+#: Bins of log distances, and of single statistics for the start.
+_BINS_PER_E, _BINS_PER_UNIT = 100, 200
 
 
 def _chi2(x: float, freedom: int) -> float:
@@ -119,11 +125,6 @@ def _vectors(counts: DataFrame) -> DataFrame:
     return rows.select("_row", "_lang", "_source", *x)
 
 
-def _groups() -> Column:
-    """A row's groups: its language and source, its language, all."""
-    return F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("_lang").alias("l"), F.col("_source").alias("s")), F.struct(F.lit(1).alias("level"), F.col("_lang").alias("l"), F.lit("").alias("s")), F.struct(F.lit(2).alias("level"), F.lit("").alias("l"), F.lit("").alias("s"))))
-
-
 def _distance(rows: DataFrame) -> Column:
     """Squared Mahalanobis distance, by forward substitution in the Cholesky factor ``c11``, ``c21``, ..."""
     y: list[Column] = []
@@ -133,73 +134,113 @@ def _distance(rows: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, [v * v for v in y])
 
 
-def _cholesky(moments: DataFrame, scale: float) -> DataFrame:
-    """``m1..`` and ``s11..`` to ``m1..`` and ``c11..``, the covariance being times ``scale``."""
+_PAIRS = [(i, j) for i in range(1, P + 1) for j in range(1, i + 1)]
+KEY = ["_lang", "_source"]
+
+
+def _cholesky(moments: DataFrame) -> DataFrame:
+    """``m1..`` and ``s11..`` to ``m1..`` and ``c11..``."""
     out = moments
-    for i in range(1, P + 1):
-        for j in range(1, i + 1):
-            rest = reduce(lambda a, k: a - F.col(f"c{i}{k}") * F.col(f"c{j}{k}"), range(1, j), F.coalesce(F.col(f"s{i}{j}"), F.lit(0.0)) * scale)
-            out = out.withColumn(f"c{i}{j}", F.sqrt(F.greatest(rest, F.lit(LEAST_VARIANCE))) if i == j else rest / F.col(f"c{j}{j}"))
-    return out.drop(*[f"s{i}{j}" for i in range(1, P + 1) for j in range(1, i + 1)])
+    for i, j in _PAIRS:
+        rest = reduce(lambda a, k: a - F.col(f"c{i}{k}") * F.col(f"c{j}{k}"), range(1, j), F.col(f"s{i}{j}"))  # noqa: B023
+        out = out.withColumn(f"c{i}{j}", F.sqrt(F.greatest(rest, F.lit(LEAST_VARIANCE))) if i == j else rest / F.col(f"c{j}{j}"))
+    return out.drop(*[f"s{i}{j}" for i, j in _PAIRS])
+
+
+def _sums() -> list[Column]:
+    """Texts, vectors and products of vectors, summed."""
+    return [F.count(F.lit(1)).cast("double").alias("k"), *[F.sum(x).alias(f"a{i}") for i, x in enumerate(X, 1)], *[F.sum(F.col(X[i - 1]) * F.col(X[j - 1])).alias(f"b{i}{j}") for i, j in _PAIRS]]
+
+
+_SUMMED = ["k", *[f"a{i}" for i in range(1, P + 1)], *[f"b{i}{j}" for i, j in _PAIRS]]
 
 
-KEY = ["level", "l", "s"]
+def _regularised(sums: DataFrame, scale: float) -> DataFrame:
+    """Sums by group to centre and covariance, times ``scale``; each mixed with its language's, and that with all texts'."""
+    of = lambda rows, key: rows.groupBy(*key).agg(*[F.sum(c).alias(c) for c in _SUMMED])
 
+    def moments(rows: DataFrame, to: str) -> DataFrame:
+        """``rows`` with own moments mixed with those of prefix ``to``, if any."""
+        mean = lambda i: F.col(f"a{i}") / F.col("k")
+        mixed = (lambda own, above: (F.col("k") * own + PRIOR * F.col(above)) / (F.col("k") + PRIOR)) if to else lambda own, above: own
+        centre = [mixed(mean(i), f"{to}m{i}").alias(f"m{i}") for i in range(1, P + 1)]
+        spread = [mixed((F.col(f"b{i}{j}") / F.col("k") - mean(i) * mean(j)) * scale, f"{to}s{i}{j}").alias(f"s{i}{j}") for i, j in _PAIRS]
+        return rows.select(*[c for c in rows.columns if c in (*KEY, "n")], *centre, *spread)
 
-def _moments(rows: DataFrame) -> DataFrame:
-    means = [F.avg(x).alias(f"m{i + 1}") for i, x in enumerate(X)]
-    spreads = [F.covar_pop(X[i - 1], X[j - 1]).alias(f"s{i}{j}") for i in range(1, P + 1) for j in range(1, i + 1)]
-    return rows.groupBy(*KEY).agg(*means, *spreads)
+    named = [f"m{i}" for i in range(1, P + 1)] + [f"s{i}{j}" for i, j in _PAIRS]
+    languages = of(sums, KEY[:1])
+    whole = moments(of(languages, []), "")
+    above = F.broadcast(whole.select(*[F.col(c).alias(f"w_{c}") for c in named]))  # one row
+    languages = moments(languages.join(above), "w_")
+    tied = sums.join(languages.select("_lang", *[F.col(c).alias(f"l_{c}") for c in named]), "_lang")
+    return moments(tied, "l_")
+
+
+def _start(vectors: DataFrame) -> DataFrame:
+    """Medians and quartiles by group as sums of as many texts: centre and diagonal, by histograms of each statistic."""
+    each = vectors.select(*KEY, F.posexplode(F.array(*X)).alias("i", "x")).groupBy(*KEY, "i", F.floor(F.col("x") * _BINS_PER_UNIT).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
+    order = Window.partitionBy(*KEY, "i")
+    placed = each.withColumn("up", F.sum("k").over(order.orderBy("bin"))).withColumn("n", F.sum("k").over(order))
+    reached = [F.min(F.when(F.col("up") >= F.col("n") * q, F.col("bin"))).alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75))]
+    of = placed.groupBy(*KEY, "i").agg(F.max("n").cast("double").alias("k"), *reached)
+    m, s = (F.col("q1") + 0.5) / _BINS_PER_UNIT, ((F.col("q2") - F.col("q0") + 1) / _BINS_PER_UNIT / 1.349) ** 2
+    one = lambda value, i: F.max(F.when(F.col("i") == i - 1, value))
+    means = [one(F.col("k") * m, i).alias(f"a{i}") for i in range(1, P + 1)]
+    products = [(one(F.col("k") * (m * m + s), i) if i == j else one(m, i) * one(m, j) * F.max("k")).alias(f"b{i}{j}") for i, j in _PAIRS]
+    return of.groupBy(*KEY).agg(F.max("k").alias("k"), *means, *products)
+
+
+def _half(vectors: DataFrame, now: DataFrame) -> DataFrame:
+    """Sums over the nearer half of each group: all bins of distances up to the one in which the half ends."""
+    near = vectors.join(small_side(now, 200), KEY)
+    bins = near.groupBy(*KEY, F.floor(F.log(_distance(vectors) + 1e-12) * _BINS_PER_E).alias("bin")).agg(*_sums())  # at most some 5,000 bins a group
+    up = Window.partitionBy(*KEY).orderBy("bin")
+    placed = bins.withColumn("before", F.sum("k").over(up) - F.col("k")).withColumn("n", F.sum("k").over(Window.partitionBy(*KEY)))
+    return placed.where(F.col("before") < F.floor((F.col("n") + P + 1) / 2)).groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in _SUMMED])
+
+
+def _moved(old: DataFrame, new: DataFrame) -> float:
+    """The largest step of any centre, in spreads, or change of any spread."""
+    both = old.select(*KEY, *[F.col(c).alias(f"o_{c}") for c in old.columns if c not in KEY]).join(new, KEY)
+    steps = [F.abs(F.col(f"m{i}") - F.col(f"o_m{i}")) / F.col(f"c{i}{i}") for i in range(1, P + 1)] + [F.abs(F.log(F.col(f"c{i}{i}") / F.col(f"o_c{i}{i}"))) for i in range(1, P + 1)]
+    return both.agg(F.max(F.greatest(*steps))).first()[0] or 0.0
 
 
 def estimates(vectors: DataFrame) -> DataFrame:
-    """Per group its size and the reweighted MCD's centre and Cholesky factor."""
-    grouped = materialize(vectors.select(_groups().alias("g"), *X).select("g.*", *X), "quality-vectors")
-    start = grouped.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i + 1}") for i, x in enumerate(X)])
-    spread = [(((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349) ** 2).alias(f"s{i}{i}") for i in range(1, P + 1)]
-    zero = [F.lit(0.0).alias(f"s{i}{j}") for i in range(1, P + 1) for j in range(1, i)]
-    start = start.select(*KEY, "n", *[F.get(f"q{i}", F.lit(1)).alias(f"m{i}") for i in range(1, P + 1)], *spread, *zero)
-    sizes = start.select(*KEY, "n")
-    now = materialize(_cholesky(start.drop("n"), 1.0), "quality-start")
-    sizes = materialize(sizes, "quality-sizes")
+    """Per (language, source) the reweighted MCD's centre ``m1..`` and Cholesky factor ``c11..``."""
+    now = materialize(_cholesky(_regularised(_start(vectors), 1.0)), "quality-start")
     for _ in range(STEPS):
-        near = grouped.join(small_side(now, 200), KEY).withColumn("bin", F.floor(F.log(_distance(grouped) + 1e-12) * _BINS_PER_E))
-        bins = near.groupBy(*KEY, "bin").agg(F.count(F.lit(1)).alias("k"))  # at most some 5,000 bins a group
-        up_to = bins.withColumn("k", F.sum("k").over(Window.partitionBy(*KEY).orderBy("bin"))).join(small_side(sizes, 64), KEY)
-        last = up_to.where(F.col("k") >= F.floor((F.col("n") + P + 1) / 2)).groupBy(*KEY).agg(F.min("bin").alias("last"))
-        last = small_side(materialize(last, "quality-last"), 64)
-        half = near.join(last, KEY).where("bin <= last")
-        now = materialize(_cholesky(_moments(half), _consistency(0.5)), "quality-step")
-    near = grouped.join(small_side(now, 200), KEY).where(_distance(grouped) <= _chi2_quantile(0.975, P))
-    final = _cholesky(_moments(near), _consistency(0.975))
-    return materialize(final.join(sizes, KEY), "quality-estimates")
-
-
-def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+        old, now = now, materialize(_cholesky(_regularised(_half(vectors, now), _consistency(0.5))), "quality-step")
+        if _moved(old, now) < CHANGE:
+            break
+    near = vectors.join(small_side(now, 200), KEY).where(_distance(vectors) <= _chi2_quantile(0.975, P))
+    sums = near.groupBy(*KEY).agg(*_sums())
+    final = materialize(_cholesky(_regularised(sums, _consistency(0.975))), "quality-estimates")
+    # a group none of whose texts lies within the quantile keeps its concentration step
+    return final.unionByName(now.join(final, KEY, "left_anti"))
+
+
+def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", reject: float = REJECT) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance)`` per row.
 
     kept is false where base_failed (under 50 words, or over half of them in repeated 3-word windows)
-    or where distance, the squared robust distance, is beyond the chi-squared quantile of 1 - ``REJECT``;
+    or where distance, the squared robust distance, is beyond the chi-squared quantile of 1 - ``reject``;
     distance is null where base_failed. Null text counts as empty; null languages and sources are
-    groups of their own. Repeated rows count each; a null doc_id is kept; other columns are ignored.
+    groups of their own. Repeated rows count each; a null doc_id is kept; an empty table gives no rows;
+    other columns are ignored. A text costs some 100 bytes a word while its row is worked on.
     """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("\0")).alias("_lang"), F.coalesce(F.col(source).cast("string"), F.lit("\0")).alias("_source"), F.col(text).alias("text"))
     counts = text_counts(named).withColumn("base_failed", base_failed()).withColumn("_row", F.monotonically_increasing_id())
     counts = materialize(counts, "quality-counts")
     vectors = materialize(_vectors(counts), "quality-rows")
-    found = estimates(vectors)
-    ready = F.col("n") >= LEAST_GROUP
-    #: The first level that is large enough; that of all texts otherwise.
-    levels = found.where(ready | (F.col("level") == 2))
-    tried = vectors.select("*", _groups().alias("g")).select("_row", *X, "g.*").join(small_side(levels, 200), KEY)
-    ranked = tried.groupBy("_row").agg(F.min_by(_distance(tried), "level").alias("distance"))
+    found = materialize(estimates(vectors), "quality-found")
+    near = vectors.join(small_side(found, 200), KEY)
+    ranked = near.select("_row", _distance(near).alias("distance"))
     out = counts.join(ranked, "_row", "left")
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= _chi2_quantile(1 - REJECT, P))
+    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= _chi2_quantile(1 - reject, P))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that the rules reject; all rows of a rejected doc_id go."""
-    bad = quality_rules(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    bad = small_side(materialize(bad, "quality-rejected"), 16)
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    return without(docs, quality_rules(docs).where("not kept"), "doc_id")

@@ -19,8 +19,8 @@ from cairn.llm.token_counts import token_counts
 from cairn.llm.toxicity import toxicity
 from cairn.llm.warc import archive_and_read
 
-#: A shard's limit.
-SHARD_BYTES = 16 << 20
+#: A shard's limit: what a loader takes at a time.
+SHARD_BYTES = 1 << 20
 
 Query = Callable[[SparkSession, str], DataFrame]
 

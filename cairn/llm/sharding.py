@@ -12,6 +12,7 @@ shard goes to overflow shards, dealt by running byte sums that are formed per pa
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,18 +65,31 @@ def directory(hashed: DataFrame, max_bytes: int) -> DataFrame:
         low, high = high + 1, min(BITS, high + 8)
 
 
+#: Size classes of rows, by shares of a shard: rows up to the first share, and the bytes between two
+#: shards' beginnings. A shard's last row begins before that and so ends within the limit.
+CLASSES = ((1 / 8, 7 / 8), (1 / 2, 1 / 2))
+
+
 def _overflow(rows: DataFrame, max_bytes: int) -> DataFrame:
-    """Numbers the shards of overfull hashes: a row's shard is its first byte's place over the limit.
+    """Numbers the shards of overfull hashes, each within the limit unless a single row is beyond it.
 
-    Places are running sums within a partition, after the sums of the partitions before it, so no
-    task sees a whole key. A shard may pass the limit by less than one row.
+    Rows of a size class follow each other; a row's shard is the place of its first byte over the
+    class's width. Rows of over half a shard stand alone. Places are running sums within a
+    partition, after the sums of the partitions before it, so no task sees a whole key. Shards but
+    the last of a class are filled to three eighths at least, those of small rows to three quarters.
     """
-    rows = materialize(rows.withColumn("part", F.spark_partition_id()), "shard-overfull")
-    parts = rows.groupBy("h", "part").agg(F.sum("bytes").alias("b"))
-    before = parts.withColumn("before", F.coalesce(F.sum("b").over(Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.sum("bytes").over(Window.partitionBy("h", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
-    placed = rows.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before.drop("b"), ["h", "part"])
-    return placed.withColumn("overflow", F.floor((F.col("before") + F.col("inside")) / F.lit(max_bytes)).cast("long"))
+    size = F.col("bytes")
+    nth = reduce(lambda rest, k: F.when(size <= int(CLASSES[k][0] * max_bytes), k).otherwise(rest), reversed(range(len(CLASSES))), F.lit(len(CLASSES)))
+    alone = F.col("class") == len(CLASSES)
+    width = reduce(lambda rest, k: F.when(F.col("class") == k, max(1, int(CLASSES[k][1] * max_bytes))).otherwise(rest), range(len(CLASSES)), F.lit(1))
+    rows = rows.withColumn("class", nth).withColumn("place", F.when(alone, F.lit(1).cast("long")).otherwise(size)).withColumn("part", F.spark_partition_id())
+    rows = materialize(rows, "shard-overfull")
+    parts = rows.groupBy("h", "class", "part").agg(F.sum("place").alias("b"))
+    before = parts.withColumn("before", F.coalesce(F.sum("b").over(Window.partitionBy("h", "class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.sum("place").over(Window.partitionBy("h", "class", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1))
+    placed = rows.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before.drop("b"), ["h", "class", "part"])
+    turn = F.floor((F.col("before") + F.col("inside")) / width).cast("long")
+    return placed.withColumn("overflow", turn * (len(CLASSES) + 1) + F.col("class"))
 
 
 def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
@@ -83,8 +97,7 @@ def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: st
 
     bytes is the text's size in UTF-8 (null: 0). shard names the bucket: the prefix's bits, and a
     number for what a single key has beyond one shard. Every shard holds at most ``max_bytes``,
-    except that a row larger than that stands alone or ends an overflow shard, as rows are never
-    cut. Null keys are hashed together as one key of their own; repeated rows are rows; an empty
+    except that a row larger than that stands alone, as rows are never cut. Null keys are hashed together as one key of their own; repeated rows are rows; an empty
     table has no shards; other columns are ignored, or with ``carry`` kept in the struct ``row``.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.bpe import Pieces, Vocabulary, gather, portions_of_text, vocabulary
+from cairn.session import bounded_batches
 
 #: Pieces whose counts, and pairs of tokens whose test, a worker keeps; beyond it the store starts anew.
 KEPT_PIECES, KEPT_PAIRS = 600_000, 400_000
@@ -191,6 +192,7 @@ def prefix_tables(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_i
                 flat, ends = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["doc_id", "prefix_tokens"])
 
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return given.mapInArrow(run, "doc_id long, prefix_tokens array<int>")
 
@@ -226,5 +228,6 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512, doc
             n_bytes = pc.fill_null(pc.binary_length(column), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), n_bytes, pa.array(total), pa.array(total > limit), pa.array(chars)], ["doc_id", "n_bytes", "n_tokens", "over_limit", "chars_within_limit"])
 
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return given.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chars_within_limit long")

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.words import Words, portions
-from cairn.session import materialize, small_side
+from cairn.session import bounded_batches, small_side, without
 
 GRAINS, HASH_BITS = (4, 6, 1 << 30), 19
 CELLS, BLOCKS = 1 << HASH_BITS, 64
@@ -37,8 +38,10 @@ WEIGHT_BINS, EVIDENCE = 400, (-3.0, 10.0)
 E_VALUE = 0.1
 
 
-def _cells(words: Words) -> list[np.ndarray]:
-    return [(words.prefix_hashes(g) & np.uint64(CELLS - 1)).astype(np.int64) for g in GRAINS]
+def _cells(words: Words) -> Iterator[list[np.ndarray]]:
+    """Block by block, each word's cell at each grain."""
+    for hashes in words.by_block(*GRAINS):
+        yield [(h & np.uint64(CELLS - 1)).astype(np.int64) for h in hashes]
 
 
 @dataclass
@@ -55,10 +58,13 @@ class Model:
 
     def weights(self, words: Words) -> np.ndarray:
         """Log-odds of each word against the overall share."""
-        share = np.full(len(words.starts), self.share)
-        for g, cells in enumerate(_cells(words)):
-            share = (self.toxic[g][cells] + PRIOR * share) / (self.uses[g][cells] + PRIOR)
-        return np.log(share / (1 - share)) - np.log(self.share / (1 - self.share))
+        out = []
+        for block in _cells(words):
+            share = np.full(len(block[0]), self.share)
+            for g, cells in enumerate(block):
+                share = (self.toxic[g][cells] + PRIOR * share) / (self.uses[g][cells] + PRIOR)
+            out.append(np.log(share / (1 - share)) - np.log(self.share / (1 - self.share)))
+        return np.concatenate(out)
 
     def log_expected(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
         """log10 of 1 / (expected segments as good as ``best`` in clean texts of ``n`` words)."""
@@ -96,7 +102,8 @@ def maximal_segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments ``(start, end, sum)``, in order: none can be extended, none overlap."""
     found: list[list] = []  # start, end, sum before, sum up to the end, the last one before that begins lower
     total = 0.0
-    for i, w in enumerate(weights.tolist()):
+    blocks = (weights[a : a + (1 << 16)].tolist() for a in range(0, len(weights), 1 << 16))
+    for i, w in enumerate(chain.from_iterable(blocks)):
         if w <= 0:
             total += w
             continue
@@ -120,12 +127,13 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic, fold = (batch.column(k).to_numpy() for k in (1, 2))
         for i, j, words in portions(batch.column(0)):
-            of_word = np.repeat(np.arange(i, j), words.counts())
-            for g, cells in enumerate(_cells(words)):
-                for f in (0, 1):
-                    mine = fold[of_word] == f
-                    for label in (0, 1):
-                        on = cells[mine & (toxic[of_word] == label)]
+            kind, done = np.repeat((2 * fold + toxic)[i:j].astype(np.int8), words.counts()), 0
+            for block in _cells(words):
+                own = kind[done : done + len(block[0])]
+                done += len(own)
+                for g, cells in enumerate(block):
+                    for f, label in ((0, 0), (0, 1), (1, 0), (1, 1)):
+                        on = cells[own == 2 * f + label]
                         if len(on):
                             at = totals.setdefault((f, g, label), np.zeros(CELLS, np.int64))
                             at += np.bincount(on, minlength=CELLS)
@@ -191,7 +199,7 @@ def fit(texts: DataFrame) -> Model:
     middles = np.linspace(-10, 10, WEIGHT_BINS)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Clean words' weights by bin; and texts by their best segment (in tenths), length (in twelfths of an octave) and label."""
+        """Clean words' weights by bin; and clean texts' words and number by their best segment, in tenths."""
         model, by_weight, by_text = shared.value, np.zeros(WEIGHT_BINS, np.int64), {}
         for batch in batches:
             label = batch.column(1).to_numpy()
@@ -199,26 +207,26 @@ def fit(texts: DataFrame) -> Model:
                 weights = model.weights(words) - DRIFT
                 clean = np.repeat(label[i:j] == 0, words.counts())
                 by_weight += np.bincount(np.clip(np.round((weights[clean] + 10) / 20 * (WEIGHT_BINS - 1)), 0, WEIGHT_BINS - 1).astype(int), minlength=WEIGHT_BINS)
-                best, n = np.minimum(best_segments(weights, words.bounds), 500), words.counts()
-                for key in zip(label[i:j].tolist(), np.round(best * 10).astype(int).tolist(), np.round(12 * np.log2(np.maximum(n, 1))).astype(int).tolist(), strict=True):
-                    by_text[key] = by_text.get(key, 0) + 1
-        rows = [(-1, k, 0, int(c)) for k, c in enumerate(by_weight) if c] + [(*k, c) for k, c in by_text.items()]
+                of_clean = label[i:j] == 0
+                best = np.round(np.minimum(best_segments(weights, words.bounds)[of_clean], 500) * 10).astype(int)
+                for k, n in zip(best.tolist(), np.maximum(words.counts()[of_clean], 1).tolist(), strict=True):
+                    had = by_text.get(k, (0, 0))
+                    by_text[k] = had[0] + n, had[1] + 1
+        rows = [(0, k, int(c), 0) for k, c in enumerate(by_weight) if c] + [(1, k, *v) for k, v in by_text.items()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["kind", "a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["kind", "a", "n", "texts"])
 
-    tallied = texts.where("fold = 1").select("text", "toxic").mapInArrow(profile, "kind long, a long, b long, n long")
-    rows = tallied.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()  # bins: at most some 10^5
+    tallied = texts.where("fold = 1").select("text", "toxic").mapInArrow(profile, "kind long, a long, n long, texts long")
+    rows = tallied.groupBy("kind", "a").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).collect()  # at most 400 + 5,001 rows
     shared.unpersist()
     by_weight = np.zeros(WEIGHT_BINS)
     for r in rows:
-        if r.kind < 0:
+        if r.kind == 0:
             by_weight[r.a] = r.n
-    table = np.array([(r.kind, r.a / 10, 2 ** (r.b / 12), r.n) for r in rows if r.kind >= 0] or np.empty((0, 4)), float).reshape(-1, 4)
+    clean = np.array([(r.a / 10, r.n, r.texts) for r in rows if r.kind == 1] or np.empty((0, 3)), float).reshape(-1, 3)
     first.decay = _decay(by_weight, middles)
-    clean = table[table[:, 0] == 0]
     if len(clean):  # the mean of K n exp(-decay x) over clean maxima is 1 under the law
-        decayed = clean[:, 2] * np.exp(-first.decay * clean[:, 1])
-        first.scale = float(clean[:, 3].sum() / max((decayed * clean[:, 3]).sum(), 1e-300))
+        first.scale = float(clean[:, 2].sum() / max((clean[:, 1] * np.exp(-first.decay * clean[:, 0])).sum(), 1e-300))
     shared = spark.sparkContext.broadcast(first)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,8 +313,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, segments: bool = False) -> Data
     """``(doc_id, held_out, score, predicted, evidence)`` for every row of ``docs``.
 
     held_out rows (crc32 of doc_id as text divisible by five) are never learned from; a null
-    doc_id has held_out null and is scored. Repeated rows score alike; other columns are ignored.
+    doc_id has held_out null and is scored. Repeated rows score alike; an empty table gives no rows, and
+    without labels of both kinds nothing is predicted toxic; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     scored = score(docs, fit(labelled(docs, labels)), segments=segments)
     rest = ["passages"] * segments
     return scored.select("doc_id", (held_out_by("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", *rest)
@@ -314,6 +324,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, segments: bool = False) -> Data
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that are predicted toxic; all rows of such a doc_id go."""
-    toxic = toxicity(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_toxic")).distinct()
-    toxic = small_side(materialize(toxic, "toxic"), 16)
-    return docs.join(toxic, F.col("doc_id") == F.col("_toxic"), "left_anti")
+    return without(docs, toxicity(docs, labels).where("predicted = 1"), "doc_id")

@@ -40,6 +40,18 @@ def test_shards_of_one_hot_key(spark):
     assert sharding.assign_shards(df.limit(0), 4000).count() == 0
 
 
+def test_no_shard_of_a_hot_key_passes_the_limit(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([7, 7, 7, None, i]), "x" * rng.choice([0, 1, 90, 499, 500, 501, 1999, 2000, 2001, 3000, 4000, 4001, 9000])) for i in range(600)]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4000).collect()
+    assert sorted((r.key or -1, r.bytes) for r in got) == sorted((k or -1, len(t)) for k, t in rows)
+    shards = {}
+    for r in got:
+        shards.setdefault(r.shard, []).append(r.bytes)
+    assert all(sum(s) <= 4000 or len([b for b in s if b]) == 1 for s in shards.values())
+    assert len(shards) <= 3 * sum(map(sum, shards.values())) / 4000
+
+
 def test_shards_are_written_with_null_and_repeated_keys(spark, tmp_path):
     rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, "x" * 40, i) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string, extra int")
@@ -116,6 +128,30 @@ def test_contamination(spark):
     assert decontaminate.contamination(docs.limit(0), items).count() == 0 and decontaminate.contamination(docs, items.limit(0)).count() == 0
 
 
+def test_slots_of_any_length_and_short_items(spark):
+    items = [
+        (1, "Mary Ann Smith bought 12 apples at the market and Mary Ann Smith ate 3 apples on the way home"),
+        (2, "Solve for x: 3 + 4"),
+        (3, "Anna kauft 5 Bücher und Anna liest zwei Stunden lang jeden Abend"),
+        (4, "1,000 + 2,500"), (5, "?!"), (6, None),
+        (7, "which river runs slowly past the old stone mill near our town and joins the sea in spring"),
+    ]
+    texts = [
+        (10, "Bob bought 15 apples at the market and Tom ate 4 apples on the way home"),
+        (11, "Bob bought 15 apples at the market and Bob ate 4 apples on the way home"),
+        (12, "José María de Ruiz bought 1,500 apples at the market and José María de Ruiz ate 4 apples on the way home"),
+        (13, "so: solve for x: 3 + 4 now"), (14, "solve for x: 3 + 5"), (15, "1,000 + 2,500 is 3,500"), (16, "1,000 + 2,600"),
+        (17, "Karl kauft 17 Bücher und Karl liest drei Stunden lang jeden Abend"),
+        (18, "which river runs slowly past the old stone mill near our own town and joins the sea in early spring"),
+        (19, None), (20, ""),
+    ]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contamination(docs, bench).collect()}
+    assert {k for k in got if k[1] != 1} == {(13, 2), (14, 2), (15, 4), (17, 3), (18, 7)}
+    assert (11, 1) in got and (10, 1) not in got and got[11, 1] == "reparameterised"
+    assert got[13, 2] == got[15, 4] == got[18, 7] == "verbatim" and got[17, 3] == got[14, 2] == "reparameterised"
+
+
 @needs_tables
 def test_planted_passages_are_found(spark):
     docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
