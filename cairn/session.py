@@ -66,3 +66,17 @@ def without(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
     gone = materialize(found.select(F.col(key).alias("key")).where("key is not null").distinct(), "gone")
     gone = small_side(gone, 16)
     return df.join(gone, df[key] == gone["key"], "left_anti")
+
+
+def join_counted(rows: DataFrame, found: DataFrame, key: str, n: str, total: int, row_bytes: int = 64) -> DataFrame:
+    """``rows`` left-joined with ``found``, a row a key whose column ``n`` tells how many of the ``total`` rows have it.
+
+    Keys of over a hundred-thousandth of all rows are at most 100,000 and are broadcast, so that no
+    task gets a hot key's rows; the others join by a shuffle.
+    """
+    least = max(500, total // 100_000)
+    hot = small_side(materialize(found.where(F.col(n) > least).withColumn("_hot", F.lit(True)), "hot-keys"), row_bytes)
+    tried = rows.join(hot, key, "left")
+    columns = [*rows.columns, *[c for c in found.columns if c not in rows.columns]]
+    cold = tried.where("_hot is null").select(*rows.columns).join(found.where(F.col(n) <= least), key, "left")
+    return tried.where("_hot").select(columns).unionByName(cold.select(columns))
