@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from cairn.llm.words import mix, portions, shingle_sets
 from cairn.operators.components import connected_components
-from cairn.session import bounded_batches, materialize, small_side, without
+from cairn.session import bounded_batches, join_counted, materialize, small_side, without
 
 N, LONG_N, BANDS, ROWS, PER_LONG = 160, 2048, 40, 4, 32
+#: Pairs that get a text's set from one key.
+PAIRS_A_KEY = 100
 #: Percent, as the link rule has it; and the lowest estimates that are still verified, by signature.
 THRESHOLD, LEAST_ESTIMATE, LEAST_LONG_ESTIMATE = 75, 0.5, 0.69
 _U = np.uint64
@@ -132,7 +134,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The candidates ``(a, b)`` whose full sets meet the threshold. Sets travel to b's key along with a's."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = texts.join(small_side(ids, 16), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    # a text in very many pairs is dealt out: its set goes to a key for some hundred of them
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_KEY).cast("int").alias("parts")).where("parts > 1")
+    parts = small_side(materialize(parts, "dedup-hubs"), 16)
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = pairs.join(parts, "a", "left").select("a", "b", part.alias("part"))
+    lots = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")).join(parts, "a", "left")
+    lots = lots.select("a", "x", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    both = dealt.join(lots, ["a", "part"]).join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y")).cast("long")
     return both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("total")).where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * THRESHOLD).select("a", "b").distinct()
 
@@ -151,8 +160,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = materialize(texts.mapInArrow(_features, FEATURES), "dedup-features")
     known = rows.where("class is not null and doc_id is not null")
 
-    first = known.groupBy("class").agg(F.min("doc_id").alias("rep"))
-    member = materialize(known.select("doc_id", "class").join(first, "class").select("doc_id", "rep").distinct(), "dedup-members")
+    total = rows.count()
+    first = materialize(known.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "dedup-first")
+    classed = join_counted(known.select("doc_id", "class"), first, "class", "n", total)
+    member = materialize(classed.select("doc_id", "rep").distinct(), "dedup-members")
     reps = known.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature", "bands").dropDuplicates(["id", "n", "signature", "bands"])
     reps = materialize(reps, "dedup-classes")
     signs = reps.select("id", "n", "signature")
@@ -189,7 +200,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     final = labels.join(second.select(F.col("node").alias("component"), F.col("component").alias("last")), "component", "left").select("node", F.coalesce("last", "component").alias("component"))
     final = final.union(second.join(labels, "node", "left_anti").select("node", "component"))
 
-    of_class = member.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
+    sizes = first.groupBy("rep").agg(F.sum("n").alias("n")).join(final.withColumnRenamed("node", "rep"), "rep")
+    of_class = join_counted(member, sizes, "rep", "n", total).groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = rows.select("doc_id", "n_shingles").join(of_class, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
