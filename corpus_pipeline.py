@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm.bpe_codec import encode
+from cairn.llm.bpe_codec import encode_and_decode
 from cairn.llm.decontaminate import drop_contaminated
 from cairn.llm.near_dedup import drop_near_duplicates
 from cairn.llm.quality import drop_low_quality
@@ -34,8 +34,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, ids)``: the token ids of every document that is left."""
-    return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)``: token ids of every document that is left, and digests of them and of what they decode to."""
+    return encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stored=True)
 
 
 STAGES = [
