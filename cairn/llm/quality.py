@@ -6,15 +6,16 @@ shrunk towards its language's share by ``PSEUDO`` uses and made even by arcsine
 vector; the minimum covariance determinant of each (language, source) tells how vectors of sound
 texts spread, whatever up to half of the texts look like.
 
-Concentration steps start from medians and quartiles, as in deterministic MCD (Hubert, Rousseeuw
+Concentration steps start from medians and median deviations, as in deterministic MCD (Hubert, Rousseeuw
 and Verdonck 2012). Each step keeps the half of a group's texts that lie nearest and takes the mean
 and covariance of these, until neither changes. A step is one aggregation by group and log distance, in
 bins of one per cent, that sums texts, vectors and their products: running sums over the bins give
 the half's moments, so no group is ever gathered or sorted in a task. A reweighting step ends it.
 
-Estimates are regularised as in MRCD (Boudt, Rousseeuw, Vanduffel and Verdonck 2020), towards the
-level above: a group's moments are mixed with its language's as ``PRIOR`` further texts, and a
-language's with those of all texts. So every group has an estimate of its own, whatever its size.
+Estimates are regularised as in MRCD (Boudt, Rousseeuw, Vanduffel and Verdonck 2020): a group's
+moments are mixed, as with ``PRIOR`` further texts, with a fixed target, the medians and deviations of
+its language's groups pooled, themselves mixed with those of all. So every group has an estimate of
+its own, whatever its size.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.session import materialize, small_side, without
+from cairn.session import BROADCAST_BYTES, materialize, small_side, without
 
 WORD_GAP, SYMBOLS = r"[\x20\x09-\x0D]+", "#*$%&|<>"
 #: Word counts below which, and percentages of repeated words above which, the base rules reject.
@@ -33,7 +34,7 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 X = ("x1", "x2", "x3", "x4")
 P = len(X)
 #: Uses at the language's share; texts at the moments of the level above; steps at most, and the change, in spreads, at which they end.
-PSEUDO, PRIOR, STEPS, CHANGE = 200.0, 100.0, 25, 0.05
+PSEUDO, PRIOR, STEPS, CHANGE = 200.0, 50.0, 25, 0.05
 #: The least variance of a direction: what lies nearly in a plane isn't judged by finer distances.
 LEAST_VARIANCE = 1e-5
 #: A sound text is rejected with this probability, were vectors normal: statistics of real texts have longer tails.
@@ -155,47 +156,53 @@ def _sums() -> list[Column]:
 _SUMMED = ["k", *[f"a{i}" for i in range(1, P + 1)], *[f"b{i}{j}" for i, j in _PAIRS]]
 
 
-def _regularised(sums: DataFrame, scale: float) -> DataFrame:
-    """Sums by group to centre and covariance, times ``scale``; each mixed with its language's, and that with all texts'."""
+_MOMENTS = [f"m{i}" for i in range(1, P + 1)] + [f"s{i}{j}" for i, j in _PAIRS]
+
+
+def _mixed(sums: DataFrame, scale: float, above: str | None) -> list[Column]:
+    """Centre and covariance, times ``scale``, of ``sums``, mixed with the moments of prefix ``above`` if there are any."""
+    mean = lambda i: F.col(f"a{i}") / F.col("k")
+    own = [mean(i) for i in range(1, P + 1)] + [(F.col(f"b{i}{j}") / F.col("k") - mean(i) * mean(j)) * scale for i, j in _PAIRS]
+    mixed = [(F.col("k") * x + PRIOR * F.col(above + c)) / (F.col("k") + PRIOR) for x, c in zip(own, _MOMENTS, strict=True)] if above is not None else own
+    return [x.alias(c) for x, c in zip(mixed, _MOMENTS, strict=True)]
+
+
+def _targets(start: DataFrame) -> DataFrame:
+    """By language what its groups' estimates are drawn to: the pooled start of its groups, itself drawn to that of all."""
     of = lambda rows, key: rows.groupBy(*key).agg(*[F.sum(c).alias(c) for c in _SUMMED])
+    languages = of(start, KEY[:1])
+    whole = of(languages, [])
+    whole = F.broadcast(whole.select(*_mixed(whole, 1.0, None)).select(*[F.col(c).alias(f"w_{c}") for c in _MOMENTS]))  # one row
+    tied = languages.join(whole)
+    return tied.select("_lang", *_mixed(tied, 1.0, "w_")).select("_lang", *[F.col(c).alias(f"l_{c}") for c in _MOMENTS])
 
-    def moments(rows: DataFrame, to: str) -> DataFrame:
-        """``rows`` with own moments mixed with those of prefix ``to``, if any."""
-        mean = lambda i: F.col(f"a{i}") / F.col("k")
-        mixed = (lambda own, above: (F.col("k") * own + PRIOR * F.col(above)) / (F.col("k") + PRIOR)) if to else lambda own, above: own
-        centre = [mixed(mean(i), f"{to}m{i}").alias(f"m{i}") for i in range(1, P + 1)]
-        spread = [mixed((F.col(f"b{i}{j}") / F.col("k") - mean(i) * mean(j)) * scale, f"{to}s{i}{j}").alias(f"s{i}{j}") for i, j in _PAIRS]
-        return rows.select(*[c for c in rows.columns if c in (*KEY, "n")], *centre, *spread)
 
-    named = [f"m{i}" for i in range(1, P + 1)] + [f"s{i}{j}" for i, j in _PAIRS]
-    languages = of(sums, KEY[:1])
-    whole = moments(of(languages, []), "")
-    above = F.broadcast(whole.select(*[F.col(c).alias(f"w_{c}") for c in named]))  # one row
-    languages = moments(languages.join(above), "w_")
-    tied = sums.join(languages.select("_lang", *[F.col(c).alias(f"l_{c}") for c in named]), "_lang")
-    return moments(tied, "l_")
+def _regularised(sums: DataFrame, targets: DataFrame, scale: float) -> DataFrame:
+    """Sums by group to centre and Cholesky factor of the covariance, times ``scale``, mixed with the language's."""
+    tied = sums.join(targets, "_lang")
+    return _cholesky(tied.select(*KEY, *_mixed(tied, scale, "l_")))
 
 
 def _start(vectors: DataFrame) -> DataFrame:
-    """Medians and quartiles by group as sums of as many texts: centre and diagonal, by histograms of each statistic."""
+    """Medians and median deviations by group as sums of as many texts: centre and diagonal, by histograms of each statistic."""
     each = vectors.select(*KEY, F.posexplode(F.array(*X)).alias("i", "x")).groupBy(*KEY, "i", F.floor(F.col("x") * _BINS_PER_UNIT).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
-    order = Window.partitionBy(*KEY, "i")
-    placed = each.withColumn("up", F.sum("k").over(order.orderBy("bin"))).withColumn("n", F.sum("k").over(order))
-    reached = [F.min(F.when(F.col("up") >= F.col("n") * q, F.col("bin"))).alias(f"q{k}") for k, q in enumerate((0.25, 0.5, 0.75))]
-    of = placed.groupBy(*KEY, "i").agg(F.max("n").cast("double").alias("k"), *reached)
-    m, s = (F.col("q1") + 0.5) / _BINS_PER_UNIT, ((F.col("q2") - F.col("q0") + 1) / _BINS_PER_UNIT / 1.349) ** 2
+    all_ = Window.partitionBy(*KEY, "i")
+    up = each.withColumn("up", F.sum("k").over(all_.orderBy("bin"))).withColumn("n", F.sum("k").over(all_))
+    middle = up.withColumn("middle", F.min(F.when(F.col("up") * 2 >= F.col("n"), F.col("bin"))).over(all_)).withColumn("off", F.abs(F.col("bin") - F.col("middle")))
+    off = middle.withColumn("up", F.sum("k").over(all_.orderBy("off")))
+    of = off.groupBy(*KEY, "i").agg(F.max("n").cast("double").alias("k"), F.max("middle").alias("middle"), F.min(F.when(F.col("up") * 2 >= F.col("n"), F.col("off"))).alias("off"))
+    m, s = (F.col("middle") + 0.5) / _BINS_PER_UNIT, ((F.col("off") + 0.5) / _BINS_PER_UNIT / 0.6745) ** 2
     one = lambda value, i: F.max(F.when(F.col("i") == i - 1, value))
     means = [one(F.col("k") * m, i).alias(f"a{i}") for i in range(1, P + 1)]
     products = [(one(F.col("k") * (m * m + s), i) if i == j else one(m, i) * one(m, j) * F.max("k")).alias(f"b{i}{j}") for i, j in _PAIRS]
     return of.groupBy(*KEY).agg(F.max("k").alias("k"), *means, *products)
 
 
-def _half(vectors: DataFrame, now: DataFrame) -> DataFrame:
+def _half(near: DataFrame) -> DataFrame:
     """Sums over the nearer half of each group: all bins of distances up to the one in which the half ends."""
-    near = vectors.join(small_side(now, 200), KEY)
-    bins = near.groupBy(*KEY, F.floor(F.log(_distance(vectors) + 1e-12) * _BINS_PER_E).alias("bin")).agg(*_sums())  # at most some 5,000 bins a group
-    up = Window.partitionBy(*KEY).orderBy("bin")
-    placed = bins.withColumn("before", F.sum("k").over(up) - F.col("k")).withColumn("n", F.sum("k").over(Window.partitionBy(*KEY)))
+    bins = near.groupBy(*KEY, F.floor(F.log(_distance(near) + 1e-12) * _BINS_PER_E).alias("bin")).agg(*_sums())  # at most some 5,000 bins a group
+    up, all_ = Window.partitionBy(*KEY).orderBy("bin"), Window.partitionBy(*KEY)
+    placed = bins.withColumn("before", F.sum("k").over(up) - F.col("k")).withColumn("n", F.sum("k").over(all_))
     return placed.where(F.col("before") < F.floor((F.col("n") + P + 1) / 2)).groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in _SUMMED])
 
 
@@ -208,16 +215,19 @@ def _moved(old: DataFrame, new: DataFrame) -> float:
 
 def estimates(vectors: DataFrame) -> DataFrame:
     """Per (language, source) the reweighted MCD's centre ``m1..`` and Cholesky factor ``c11..``."""
-    now = materialize(_cholesky(_regularised(_start(vectors), 1.0)), "quality-start")
+    start = materialize(_start(vectors), "quality-start")
+    few = start.limit(BROADCAST_BYTES // 200 + 1).count() <= BROADCAST_BYTES // 200  # as many groups in every step
+    side = F.broadcast if few else lambda groups: groups
+    targets = side(materialize(_targets(start), "quality-targets"))
+    now = materialize(_regularised(start, targets, 1.0), "quality-step")
     for _ in range(STEPS):
-        old, now = now, materialize(_cholesky(_regularised(_half(vectors, now), _consistency(0.5))), "quality-step")
+        old, now = now, materialize(_regularised(_half(vectors.join(side(now), KEY)), targets, _consistency(0.5)), "quality-step")
         if _moved(old, now) < CHANGE:
             break
-    near = vectors.join(small_side(now, 200), KEY).where(_distance(vectors) <= _chi2_quantile(0.975, P))
-    sums = near.groupBy(*KEY).agg(*_sums())
-    final = materialize(_cholesky(_regularised(sums, _consistency(0.975))), "quality-estimates")
+    near = vectors.join(side(now), KEY).where(_distance(vectors) <= _chi2_quantile(0.975, P))
+    final = materialize(_regularised(near.groupBy(*KEY).agg(*_sums()), targets, _consistency(0.975)), "quality-estimates")
     # a group none of whose texts lies within the quantile keeps its concentration step
-    return final.unionByName(now.join(final, KEY, "left_anti"))
+    return final.unionByName(now.join(final.select(*KEY), KEY, "left_anti"))
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", reject: float = REJECT) -> DataFrame:

@@ -161,11 +161,12 @@ def _counted(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Toxic and all uses, by fold, grain and cell: a table of fixed size."""
     tallied = texts.mapInArrow(_tally, "fold long, grain long, label long, block long, cells binary, counts binary")
     summed = tallied.groupBy("fold", "grain", "label", "block").applyInArrow(_add_up, "fold long, grain long, label long, block long, counts binary")
-    counts = np.zeros((2, len(GRAINS), 2, BLOCKS, CELLS // BLOCKS), np.int64)
-    for row in summed.collect():  # at most 2 * 3 * 2 * 64 rows, 50 MB in all
-        counts[row.fold, row.grain, row.label, row.block] = np.frombuffer(row.counts, np.int64)
-    counts = counts.reshape(2, len(GRAINS), 2, CELLS)
-    return counts[:, :, 1].astype(np.float32), counts.sum(axis=2).astype(np.float32)
+    counts = np.zeros((2, 2, len(GRAINS), BLOCKS, CELLS // BLOCKS), np.float32)
+    for row in summed.toLocalIterator():  # at most 2 * 3 * 2 * 64 rows, 50 MB in all, a partition at a time
+        counts[row.label, row.fold, row.grain, row.block] = np.frombuffer(row.counts, np.int64)
+    counts = counts.reshape(2, 2, len(GRAINS), CELLS)
+    counts[0] += counts[1]
+    return counts[1], counts[0]
 
 
 def _model(toxic: np.ndarray, uses: np.ndarray) -> Model:

@@ -164,24 +164,20 @@ def mcd_by_hand(groups, chi2, factor):
     n_of = lambda k: (k + 5) // 2
     halves = {}
     for g, x in groups.items():
-        mid, low, high = (np.quantile(x, q, axis=0, method="inverted_cdf") for q in (0.5, 0.25, 0.75))
-        halves[g] = (len(x), mid, np.diag(((high - low + 0.005) / 1.349) ** 2))
-
-    def mixed(raw, scale):
-        def pool(rows):
-            n = sum(r[0] for r in rows)
-            m = sum(r[0] * r[1] for r in rows) / n
-            return n, m, sum(r[0] * (r[2] + np.outer(r[1], r[1])) for r in rows) / n - np.outer(m, m)
-
-        by = {}
-        for g, r in raw.items():
-            by.setdefault(g[0], []).append(r)
-        langs = {k: pool(v) for k, v in by.items()}
-        _, wm, ws = pool(list(langs.values()))
-        to = lambda r, m, s: (r[0], (r[0] * r[1] + quality.PRIOR * m) / (r[0] + quality.PRIOR), (r[0] * r[2] * scale + quality.PRIOR * s) / (r[0] + quality.PRIOR))
-        langs = {k: to(r, wm, ws * scale) for k, r in langs.items()}
-        return {g: to(r, *langs[g[0]][1:]) for g, r in raw.items()}
-
+        mid = np.quantile(x, 0.5, axis=0, method="inverted_cdf")
+        off = np.quantile(np.abs(x - mid), 0.5, axis=0, method="inverted_cdf")
+        halves[g] = (len(x), mid, np.diag(((off + 0.0025) / 0.6745) ** 2))
+
+    def pool(rows):
+        n = sum(r[0] for r in rows)
+        m = sum(r[0] * r[1] for r in rows) / n
+        return n, m, sum(r[0] * (r[2] + np.outer(r[1], r[1])) for r in rows) / n - np.outer(m, m)
+
+    to = lambda r, m, s: (r[0], (r[0] * r[1] + quality.PRIOR * m) / (r[0] + quality.PRIOR), (r[0] * r[2] + quality.PRIOR * s) / (r[0] + quality.PRIOR))
+    langs = {k: pool([r for g, r in halves.items() if g[0] == k]) for k in {g[0] for g in halves}}
+    _, *whole = pool(list(langs.values()))
+    langs = {k: to(r, *whole)[1:] for k, r in langs.items()}
+    mixed = lambda raw, scale: {g: to((r[0], r[1], r[2] * scale), *langs[g[0]]) for g, r in raw.items()}
     distance = lambda x, e: np.einsum("ij,jk,ik->i", x - e[1], np.linalg.inv(e[2]), x - e[1])
     of = lambda x: (len(x), x.mean(axis=0), np.cov(x.T, bias=True))
     now = mixed(halves, 1.0)
