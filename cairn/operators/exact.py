@@ -35,6 +35,17 @@ def exact_groups(files: DataFrame) -> DataFrame:
     return groups.select(F.col("k.path").alias("keeper"), "copies", (F.col("bytes") + F.col("k.s")).alias("reclaimable"))
 
 
+def unreadable(files: DataFrame, content: str = "content") -> DataFrame:
+    """Files whose content can't be read (null), whose features may still be known: listed apart, in no group."""
+    return files.where(F.col(content).isNull()).drop(content)
+
+
+def totals(files: DataFrame, content: str = "content") -> DataFrame:
+    """One row: files scanned, those that can't be read, and ``report``'s columns."""
+    counts = files.agg(F.count(F.lit(1)).alias("scanned"), F.count_if(F.col(content).isNull()).alias("unreadable"))
+    return counts.join(F.broadcast(report(exact_groups(files))))  # two single rows
+
+
 def report(groups: DataFrame) -> DataFrame:
     """One row: groups, copies beyond the kept ones, their bytes."""
     none = F.lit(0)

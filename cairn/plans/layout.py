@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +15,10 @@ from cairn.sources.inventory import CATEGORIES
 
 #: Times that differ by no more are the same.
 TOLERANCE_S = 2
+#: Statuses, how each is shown, and those that nothing is left to do for.
 STATUSES = ("ready", "renamed", "check_first", "already_there", "in_place")
 STATUS_TEXT = {"ready": "Ready", "renamed": "Renamed", "check_first": "Check first", "already_there": "Already there", "in_place": "Already sorted"}
+SETTLED = ("already_there", "in_place")
 
 
 @dataclass
@@ -97,30 +100,50 @@ def destinations(files: DataFrame, options: Options) -> DataFrame:
     return chosen.withColumn("dest_folder", F.concat_ws("/", *parts))
 
 
-def _claims(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Names for the files of one folder and clash root, in scan order, beside what lies there."""
-    left = left.sort_values(["ord", "name"], kind="stable")
-    there = {n: (s, t) for n, s, t in zip(right["name_fold"], right["d_size"], right["d_mtime"], strict=True)}
-    claimed = {n.lower() for n, place in zip(left["name"], left["in_place"], strict=True) if place}
-    names, states = [], []
-    for name, size, mtime, in_place, included in zip(left["name"], left["size"], left["mtime_us"], left["in_place"], left["included"], strict=True):
-        fold, final, state = name.lower(), name, "ready"
-        if in_place:
-            state = "in_place"
-        elif included:
-            found = there.get(fold)
-            if found and found[0] == size and fold not in claimed:
-                state = "already_there" if abs(found[1] - mtime) <= TOLERANCE_S * 1_000_000 else "check_first"
+class _Root:
+    """Names taken under one folder and clash root, and where numbering goes on."""
+
+    def __init__(self):
+        self.there: dict[str, tuple[int, int]] = {}
+        self.claimed: set[str] = set()
+        self.next: dict[tuple[str, str], int] = {}
+
+    def settle(self, name: str, size: int, mtime: int) -> tuple[str, str]:
+        """A file's name and status; names once taken stay so, so the numbers below the last one never come free."""
+        fold, found = name.lower(), self.there.get(name.lower())
+        if found and found[0] == size and fold not in self.claimed:
+            self.claimed.add(fold)
+            return name, "already_there" if abs(found[1] - mtime) <= TOLERANCE_S * 1_000_000 else "check_first"
+        final, state = name, "ready"
+        if fold in self.there or fold in self.claimed:
+            head = re.match(r"(?s)^(\.*[^.].*?|\.*)(\.[^.]*)?$", name)
+            stem, ext = head[1], head[2] or ""
+            key, state = (stem.lower(), ext.lower()), "renamed"
+            n = self.next.get(key, 1)
+            while (final := f"{stem} ({n}){ext}").lower() in self.there or final.lower() in self.claimed:
+                n += 1
+            self.next[key] = n + 1
+        self.claimed.add(final.lower())
+        return final, state
+
+
+def _claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names and statuses of files, from rows by folder and clash root: what lies there, files in place, the others in scan order."""
+    key, root = None, _Root()
+    for batch in batches:
+        out = []
+        columns = [batch[c] for c in ("dest_folder", "root", "turn", "path", "name", "size", "mtime_us", "included")]
+        for folder, stem, turn, path, name, size, mtime, included in zip(*columns, strict=True):
+            if (folder, stem) != key:
+                key, root = (folder, stem), _Root()
+            if turn == 0:
+                root.there[name.lower()] = (size, mtime)
+            elif turn == 1:
+                root.claimed.add(name.lower())
+                out.append((path, name, "in_place"))
             else:
-                head = re.match(r"(?s)^(\.*[^.].*?|\.*)(\.[^.]*)?$", name)
-                n = 0
-                while final.lower() in there or final.lower() in claimed:
-                    n, state = n + 1, "renamed"
-                    final = f"{head[1]} ({n}){head[2] or ''}"
-            claimed.add(final.lower())
-        names.append(final)
-        states.append(state)
-    return pd.DataFrame({"path": left["path"], "dest_name": names, "status": states})
+                out.append((path, *(root.settle(name, size, mtime) if included else (name, "ready"))))
+        yield pd.DataFrame(out, columns=["path", "dest_name", "status"])
 
 
 def plan(files: DataFrame, dest_files: DataFrame, options: Options, excluded: DataFrame | None = None) -> DataFrame:
@@ -130,8 +153,8 @@ def plan(files: DataFrame, dest_files: DataFrame, options: Options, excluded: Da
     no name. In scan order the first claims its name, later ones get the least free number; names
     meet regardless of case. Names that only differ by numbering share a clash root; those of
     different roots never meet, so roots are decided apart. A root with one name and nothing at
-    the destination is numbered by a window; others go through a grouped Python step, each with its
-    share of the destination listing.
+    the destination is numbered by a window; others go through one Python pass over rows sorted by root,
+    which holds one root's names at a time.
     """
     placed = destinations(files, options)
     out = excluded.select(F.col("path").alias("_out")).distinct() if excluded is not None else None
@@ -155,9 +178,11 @@ def plan(files: DataFrame, dest_files: DataFrame, options: Options, excluded: Da
     number = (F.col("turn") == 1) & (F.col("nth") > 0)
     easy = easy.select("path", F.when(number, paths.numbered(F.col("name"), F.col("nth"))).otherwise(F.col("name")).alias("dest_name"), F.when(F.col("turn") == 0, "in_place").when(number, "renamed").otherwise("ready").alias("status"))
 
-    hard = marked.where("knotty").drop("knotty")
+    hard = marked.where("knotty").select(*key, F.when(F.col("in_place"), 1).otherwise(2).alias("turn"), "ord", "path", "name", "size", "mtime_us", "included")
     near = at_dest.join(hard.select(*key).distinct(), key, "left_semi")
-    knotty = hard.groupBy(*key).cogroup(near.groupBy(*key)).applyInPandas(_claims, "path string, dest_name string, status string")
+    near = near.select(*key, F.lit(0).alias("turn"), F.lit("").alias("ord"), F.lit("").alias("path"), F.col("name_fold").alias("name"), F.col("d_size").alias("size"), F.col("d_mtime").alias("mtime_us"), F.lit(False).alias("included"))
+    in_line = hard.unionByName(near).repartition(*key).sortWithinPartitions(*key, "turn", "ord", "name")
+    knotty = in_line.mapInPandas(_claims, "path string, dest_name string, status string")
     named = easy.unionByName(knotty)
     done = placed.join(named, "path")
     dest = F.when(F.col("status") == "in_place", F.col("path")).otherwise(F.concat_ws("/", "dest_folder", "dest_name"))
@@ -171,13 +196,13 @@ def plan_summary(planned: DataFrame) -> DataFrame:
     return planned.agg(
         F.count(F.lit(1)).alias("planned"), count(act, "actionable"), F.coalesce(F.sum(F.when(act, F.col("size"))), F.lit(0)).alias("bytes"),
         count(act & (status == "renamed"), "renamed"), count(act & (status == "check_first"), "check_first"),
-        count(status.isin("already_there", "in_place"), "already_there"), count(~F.col("included"), "unticked"),
+        count(status.isin("already_there", "in_place"), "already_there"), count(~F.col("included") & ~status.isin(*SETTLED), "unticked"),
     )
 
 
 def status_text(included: Column, status: Column) -> Column:
     text = F.element_at(F.create_map(*[F.lit(x) for kv in STATUS_TEXT.items() for x in kv]), status)
-    return F.when(~included, "Skipped").otherwise(text)
+    return F.when(~included & ~status.isin(*SETTLED), "Skipped").otherwise(text)
 
 
 def relative_dest(dest_folder: Column, file_name: Column, dest_name: Column, root: str) -> Column:
@@ -199,9 +224,18 @@ def sorted_plan(planned: DataFrame, by: str, descending: bool = False) -> DataFr
     return planned.orderBy(column.desc() if descending else column.asc(), "path")
 
 
-def example(planned: DataFrame) -> DataFrame:
-    """The first planned file in scan order."""
-    return planned.orderBy(paths.scan_order(F.col("path")), "name").limit(1)
+def example(planned: DataFrame, category: str | None = None) -> DataFrame:
+    """The first planned file in scan order, of ``category`` if one is chosen."""
+    chosen = planned if category is None else planned.where(F.col("category") == category)
+    return chosen.orderBy(paths.scan_order(F.col("path")), "name").limit(1)
+
+
+def checked_plan(files: DataFrame, dest_files: DataFrame, options: Options, excluded: DataFrame | None = None) -> tuple[DataFrame, str | None]:
+    """``plan``'s rows, and what is wrong with the name pattern: then the plan is empty."""
+    error = pattern_error(files.sparkSession, options.pattern, options.mode)
+    if error:
+        return plan(files.limit(0), dest_files, replace(options, pattern=""), excluded), error
+    return plan(files, dest_files, options, excluded), None
 
 
 def folders_to_create(planned: DataFrame, existing: DataFrame, root: str) -> DataFrame:
@@ -213,15 +247,37 @@ def folders_to_create(planned: DataFrame, existing: DataFrame, root: str) -> Dat
 
 
 def reconcile(planned: DataFrame, source: DataFrame, dest: DataFrame) -> DataFrame:
-    """What a run would do with each actionable row: ``outcome`` of transferred, skipped, renamed or failed.
+    """What a run does with each actionable row: ``outcome`` of transferred, skipped, renamed or failed, and ``final``.
 
     ``source`` and ``dest`` have (path, digest) as they are now. Equal content at the destination is
-    skipped, other content is written beside it under the next free number (decided anew by a plan).
+    skipped, other content is written beside it: final is its destination, or that under the least number
+    that is free, dealt in order of path. It is null where nothing is written.
     """
     now = planned.where("actionable").join(source.select("path", F.col("digest").alias("s")), "path", "left")
     met = now.join(dest.select(F.col("path").alias("dest"), F.col("digest").alias("d")), "dest", "left")
     outcome = F.when(F.col("s").isNull(), "failed").when(F.col("d").isNull(), "transferred").when(F.col("s") == F.col("d"), "skipped").otherwise("renamed")
-    return met.withColumn("outcome", outcome).drop("s", "d")
+    told = met.withColumn("outcome", outcome).drop("s", "d").withColumn("_folder", paths.parent(F.col("dest"))).withColumn("_name", paths.name(F.col("dest")))
+    # numbers taken: of names that lie there, or that other rows go to
+    taken = dest.select("path").union(told.select(F.col("dest").alias("path"))).select(paths.parent(F.col("path")).alias("_folder"), paths.name(F.col("path")).alias("_n"))
+    number = F.regexp_extract(paths.stem(F.col("_n")), r"(?s) \((\d{1,9})\)$", 1)
+    base = F.lower(F.concat(F.regexp_replace(paths.stem(F.col("_n")), r"(?s) \(\d{1,9}\)$", ""), paths.extension(F.col("_n"))))
+    numbers = taken.where(number != "").groupBy("_folder", base.alias("_base")).agg(F.collect_set(number.cast("int")).alias("_taken"))
+    nth = F.row_number().over(Window.partitionBy("_folder", "_base", "outcome").orderBy("path"))
+    placed = told.withColumn("_base", F.lower("_name")).join(numbers, ["_folder", "_base"], "left").withColumn("_nth", nth).withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
+    free = F.get(F.array_except(F.sequence(F.lit(1), F.size("_taken") + F.col("_nth")), F.col("_taken")), F.col("_nth") - 1)
+    renamed = F.concat_ws("/", F.when(F.col("_folder") != "", F.col("_folder")), paths.numbered(F.col("_name"), free))
+    final = F.when(F.col("outcome") == "transferred", F.col("dest")).when(F.col("outcome") == "renamed", renamed)
+    return placed.withColumn("final", final).drop("_folder", "_name", "_base", "_taken", "_nth")
+
+
+def ledger_events(reconciled: DataFrame) -> DataFrame:
+    """What a run writes down of ``reconciled``: a file event for each row that is written, ``seq`` by path from 2 on within a range of paths.
+
+    ``(part, seq, type, src, dst, size)``: events are in order by part and seq, so no task numbers all rows.
+    """
+    ranged = reconciled.where("final is not null").select("path", "final", "size").repartitionByRange("path").withColumn("part", F.spark_partition_id())
+    seq = F.row_number().over(Window.partitionBy("part").orderBy("path")) + 1
+    return ranged.select("part", seq.cast("long").alias("seq"), F.lit("file").alias("type"), F.col("path").alias("src"), F.col("final").alias("dst"), "size")
 
 
 def progress(planned: DataFrame, parts: int = 64) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions import dates, paths
+from cairn.functions import bits, dates, paths
 from cairn.operators import components, exact, groups, hamming, ledger, partial, review
 from cairn.plans import layout, views
 from cairn.session import materialize, scratch_path
@@ -128,6 +128,15 @@ def date_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.files(spark, sf_dir).select("file_id", *[F.concat_ws("/", *dates.layout_parts(when, k)).alias(n) for k, n in zip(dates.LAYOUTS, names, strict=True)])
 
 
+@query(f"{NAMED} select path from named where category in ('photos', 'videos', 'pdfs') and (file_id % 4 = 0 or file_id % 7 = 0 or file_id % 9 = 0)")
+def pending_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media and PDFs without a date: never dated, dated before a change, or tried in vain."""
+    every = _classified(spark, sf_dir)
+    changed = F.when(F.col("file_id") % 7 == 0, F.col("size") + 1).otherwise(F.col("size"))
+    dated = every.where("file_id % 4 > 0").select("path", changed.alias("size"), "mtime", F.when(F.col("file_id") % 9 > 0, F.lit("photo")).alias("date_source"))
+    return inventory.pending_dates(every, dated, ("photos", "videos", "pdfs")).select("path")
+
+
 # Name filters
 
 _URLS = "with n as (select page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', '') || '.Html' as name from pages) select page_id, name from n where "
@@ -182,6 +191,63 @@ def plan_sorted_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("path", layout.relative_dest(F.col("dest_folder"), F.col("name"), F.col("dest_name"), "/sorted").alias("shown"), layout.status_text(F.col("included"), F.col("status")).alias("state"))
 
 
+_SORTS = {"size": ("size", False), "date": ("mtime", False), "dest": ("lower(dest_folder || '/' || dest_name)", False), "status": ("status", True)}
+
+
+def _sorted(by: str, descending: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return layout.sorted_plan(_plan(spark, sf_dir), by, descending).limit(100).select("path", "dest")
+
+    return run
+
+
+for _by, (_column, _down) in _SORTS.items():
+    QUERIES[f"plan_sorted_by_{_by}"] = _sorted(_by, _down)
+    ORACLES[f"plan_sorted_by_{_by}"] = f"{PLANNED} select path, dest_folder || '/' || dest_name as dest from planned order by {_column}{' desc' if _down else ''}, path limit 100"
+
+_EXCLUDED = PLANNED.replace("from placed p left join at_dest", "from (select * from placed where file_id % 6 > 0) p left join at_dest") + """,
+     every as (select path, size, dest_folder || '/' || dest_name as dest, status, true as included from planned union all select path, size, dest_folder || '/' || name, 'ready', false from placed where file_id % 6 = 0)"""
+
+
+def _plan_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = _classified(spark, sf_dir)
+    return layout.plan(every, _dest_files(spark, sf_dir), OPTIONS, every.where("file_id % 6 = 0").select("path"))
+
+
+@query(f"""{_EXCLUDED} select path, dest, status, included and status <> 'already_there' as actionable,
+case when status = 'already_there' then 'Already there' when not included then 'Skipped' when status = 'renamed' then 'Renamed' when status = 'check_first' then 'Check first' else 'Ready' end as state from every""")
+def plan_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan_excluded(spark, sf_dir).select("path", "dest", "status", "actionable", layout.status_text(F.col("included"), F.col("status")).alias("state"))
+
+
+@query(f"{_EXCLUDED} select count(*) as planned, count(*) filter (included and status <> 'already_there') as actionable, count(*) filter (not included and status <> 'already_there') as unticked, count(*) filter (status = 'already_there') as already_there from every")
+def plan_summary_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.plan_summary(_plan_excluded(spark, sf_dir)).select("planned", "actionable", "unticked", "already_there")
+
+
+@query(f"{PLANNED} select path, dest_folder || '/' || dest_name as dest from planned where category = 'videos' order by list_transform(string_split(regexp_replace(path, '/[^/]*$', ''), '/'), lambda x: x), name limit 1")
+def plan_example(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.example(_plan(spark, sf_dir), "videos").select("path", "dest")
+
+
+@query(f"{NAMED} select '(' as pattern, 0::bigint as planned, true as failed union all select '^doc_1', count(*) filter (regexp_matches(name, '(?i)^doc_1')), false from named")
+def plan_bad_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans by two patterns, of which one is no regex."""
+    every, there, rows = _classified(spark, sf_dir), _dest_files(spark, sf_dir), []
+    for pattern in ("(", "^doc_1"):
+        planned, error = layout.checked_plan(every, there, layout.Options(source="/lib", dest="/sorted", pattern=pattern, mode="regex"))
+        rows.append(planned.agg(F.lit(pattern).alias("pattern"), F.count(F.lit(1)).alias("planned"), F.lit(error is not None).alias("failed")))
+    return rows[0].unionByName(rows[1])
+
+
+@query(f"{FILES} select path from files where (file_id % 5 = 0 and not starts_with(path, '/lib/src1/')) or (file_id % 7 = 0 and starts_with(path, '/lib/src1/'))")
+def exclusion_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays excluded when the files below one folder are shown and some of these are unticked."""
+    every = views.files(spark, sf_dir).select("file_id", "path")
+    shown = every.where("path like '/lib/src1/%'")
+    return review.exclusions(every.where("file_id % 5 = 0").select("path"), shown.select("path"), shown.where("file_id % 7 = 0").select("path"))
+
+
 @query(f"""{PLANNED}, p as (select distinct unnest([dest_folder[:len(dest_folder)], regexp_replace(dest_folder, '/[^/]*$', ''), regexp_replace(dest_folder, '/[^/]*/[^/]*$', '')]) as folder from planned where status <> 'already_there')
 select folder from p where folder not in (select distinct folder from at_dest)""")
 def created_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,6 +292,24 @@ def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.report(exact.exact_groups(views.files(spark, sf_dir)))
 
 
+_SPOILT = f"{FILES}, y as (select * replace (case when file_id % 29 > 0 then content end as content) from files), x as (select *, sha256(content) as digest from y where content is not null), m as (select *, count(*) over (partition by digest) as n, row_number() over (partition by digest order by size desc, mtime, length(path), path) as rank from x qualify n > 1)"
+
+
+def _spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which every 29th can't be read."""
+    return views.files(spark, sf_dir).withColumn("content", F.when(F.col("file_id") % 29 > 0, F.col("content")))
+
+
+@query(f"{_SPOILT} select (select count(*) from y) as scanned, (select count(*) from y where content is null) as unreadable, count(distinct digest) as groups, count(*) filter (rank > 1) as extra_copies, coalesce(sum(size) filter (rank > 1), 0)::bigint as reclaimable from m")
+def duplicate_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.totals(_spoilt(spark, sf_dir))
+
+
+@query(f"{_SPOILT} select path, size from y where content is null")
+def unreadable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.unreadable(_spoilt(spark, sf_dir)).select("path", "size")
+
+
 @query(f"{_COPIES} select max(path) filter (rank = 1) as keeper, count(*) as copies, coalesce(sum(size) filter (rank > 1), 0)::bigint as reclaimable from m group by digest order by reclaimable desc, keeper limit 30")
 def group_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.group_page(exact.exact_groups(views.files(spark, sf_dir)), 0)
@@ -277,10 +361,10 @@ k as (select group_id, width as k_width, pixels as k_pixels, digest as k_digest
 r as (select *, case when rank = 1 then 'keeper' when digest = k_digest then 'exact' when pixels < 0.9 * k_pixels then 'smaller' else 'similar' end as relation from m join k using (group_id))"""
 
 
-@query(f"""{_MEMBERS} select group_id, item_id, rank, relation, case relation when 'exact' then 'Identical file' when 'smaller' then 'Smaller copy, ' || round_even(100 * width / k_width, 0)::int || '% size' when 'similar' then 'Similar, edited or saved again' end as detail from r""")
+@query(f"""{_MEMBERS} select group_id, item_id, rank, relation, case when relation = 'smaller' then width / k_width end as share from r""")
 def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = groups.members(views.items(spark, sf_dir), _links(spark, sf_dir))
-    return found.select("group_id", "item_id", F.col("rank").cast("long").alias("rank"), "relation", "detail")
+    return found.select("group_id", "item_id", F.col("rank").cast("long").alias("rank"), "relation", "share")
 
 
 @query(f"{_MEMBERS} select group_id, case when bool_and(relation = 'exact') filter (rank > 1) then 'Exact copies' else 'Near-duplicates' end as title, count(*) as members, coalesce(sum(size) filter (rank > 1), 0)::bigint as reclaimable, max(path) filter (rank = 1) as keeper from r group by group_id")
@@ -288,6 +372,51 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.summaries(groups.members(views.items(spark, sf_dir), _links(spark, sf_dir)))
 
 
+_CROPS = f"""{_LINKS}, crops as (select a, b, ((a + b) % 7) / 8.0 + 0.125 as of_a, ((a * 3 + b) % 8) / 8.0 + 0.125 as of_b from links where (a + b) % 3 > 0),
+m as (select component as group_id, i.*, width * height as pixels, row_number() over (partition by component order by width * height desc, size desc, item_id % 1000000000, length(path), path) as rank from items i join labels on node = item_id),
+k as (select group_id, item_id as keeper, width as k_width, pixels as k_pixels, digest as k_digest from m where rank = 1),
+e as (select a as keeper, b as item_id, of_a as mine, of_b as theirs from crops union all select b, a, of_b, of_a from crops),
+r as (select *, case when rank = 1 then 'keeper' when digest = k_digest then 'exact' when mine < 0.9 and theirs >= 0.85 then 'cropped' when theirs < 0.9 and mine >= 0.85 then 'contains' when pixels < 0.9 * k_pixels then 'smaller' else 'similar' end as relation from m join k using (group_id) left join e using (keeper, item_id))"""
+
+
+def _cropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members with crop evidence for two links of three."""
+    links = _links(spark, sf_dir)
+    share = lambda c: (F.expr(c) % 8) / F.lit(8.0) + 0.125
+    crops = links.where("(a + b) % 3 > 0").select("a", "b", ((F.col("a") + F.col("b")) % 7 / F.lit(8.0) + 0.125).alias("coverage_of_a"), share("a * 3 + b").alias("coverage_of_b"))
+    return groups.members(views.items(spark, sf_dir), links, crops)
+
+
+@query(f"{_CROPS} select group_id, item_id, rank, relation, case relation when 'cropped' then mine when 'smaller' then width / k_width end as share from r")
+def cropped_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cropped(spark, sf_dir).select("group_id", "item_id", F.col("rank").cast("long").alias("rank"), "relation", "share")
+
+
+@query(f"{_CROPS} select group_id, case when bool_and(relation = 'exact') filter (rank > 1) then 'Exact copies' when bool_or(relation in ('cropped', 'contains')) filter (rank > 1) then 'Includes cropped versions' else 'Near-duplicates' end as title, count(*) as members from r group by group_id")
+def cropped_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.summaries(_cropped(spark, sf_dir)).select("group_id", "title", "members")
+
+
+_GRID = f"""with e as (select vec_id, list_transform(embedding[1:64], lambda x: x::double) as e from embeddings),
+w as (select list_transform(range(8), lambda k: list_transform(range(32), lambda i: cos(pi() * (2 * i + 1) * k / 64) * sqrt(2.0 / 32) / case when k = 0 then sqrt(2.0) else 1 end)) as w),
+u as (select vec_id, e, list_transform(w, lambda k: list_sum(list_transform(range(1, 33), lambda i: k[i] * e[i]))) as a, list_transform(w, lambda k: list_sum(list_transform(range(1, 33), lambda i: k[i] * e[32 + i]))) as b from e, w),
+low as (select vec_id, e, list_transform(range(64), lambda n: a[n // 8 + 1] * b[n % 8 + 1]) as low from u),
+med as (select *, list_sort(low[2:64])[32] as m, list_concat(e, e[1:8]) as v from low)"""
+
+
+@query(f"""{_GRID} select vec_id as item_id, list_aggregate(list_transform(low, lambda x: case when x > m then '1' else '0' end), 'string_agg', '') as phash,
+list_aggregate(list_transform(range(64), lambda n: case when v[(n // 8) * 9 + n % 8 + 2] > v[(n // 8) * 9 + n % 8 + 1] then '1' else '0' end), 'string_agg', '') as dhash,
+sqrt(list_sum(list_transform(e, lambda x: x * x)) / 64 - power(list_sum(e) / 64, 2)) < 0.12 as flat from med""")
+def grid_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both signatures and flatness from grids: 32 x 32 values are products of an embedding's halves, 9 x 8 its values in rows."""
+    e = views.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 64), lambda x: x.cast("double")).alias("e"))
+    grid = F.flatten(F.transform(F.slice("e", 1, 32), lambda x: F.transform(F.slice("e", 33, 32), lambda y: x * y)))
+    low = bits.with_low_frequencies(e.select("vec_id", "e", grid.alias("grid")), "grid")
+    shown = lambda c: F.lpad(F.bin(c), 64, "0")
+    rows = F.concat("e", F.slice("e", 1, 8))
+    return low.select(F.col("vec_id").alias("item_id"), shown(bits.frequency_signature(F.col("low"))).alias("phash"), shown(bits.row_gradient_signature(rows)).alias("dhash"), bits.is_flat(F.col("e"), 0.12).alias("flat"))
+
+
 # Partial copies
 
 
@@ -364,6 +493,38 @@ def emptied_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.emptied_folders(every, every.where("file_id % 97 > 60 or file_id < 500"), "/lib")
 
 
+@query(f"""{_RUNS}, ends as (select j.run_id, j.seq, j.src, j.dst from journal j join runs r using (run_id) where j.type = 'file' and r.first = 'run' and r.undone is null) select run_id, seq, src, dst from ends order by run_id, seq desc limit 200""")
+def undo_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What undoing takes back first, of the first runs by name."""
+    j = views.journal(spark, sf_dir)
+    for c in ("failed", "cancelled"):
+        j = j.withColumn(c, F.lit(None).cast("long"))
+    return ledger.undo_order(ledger.undo_outcomes(j, _present(spark, sf_dir))).select("run_id", "seq", "src", "dst").limit(200)
+
+
+@query(f"{_RUNS} select run_id, operation, strftime(started, '{DUCK_STAMP}') as started, transferred, bytes, strftime(undone, '{DUCK_STAMP}') as undone_at, interrupted from runs where first = 'run' order by runs.started desc, run_id limit 200")
+def ledger_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal appended to a ledger in two commits, read back, newest runs first."""
+    path, j = scratch_path(spark, "journals"), views.journal(spark, sf_dir)
+    for odd in (0, 1):
+        ledger.append(j.where(F.col("run_id").cast("long") % 2 == odd), path)
+    back = ledger.history(ledger.read_ledger(spark, path))
+    return back.select(F.col("run_id").cast("string").alias("run_id"), "operation", F.date_format("started", STAMP).alias("started"), "transferred", "bytes", F.date_format("undone_at", STAMP).alias("undone_at"), "interrupted")
+
+
+@query(f"{_JOURNAL} select run_id, count(*) as events, count(*) filter (type = 'file') as transferred, coalesce(sum(size) filter (type = 'file'), 0)::bigint as bytes from journal where run_id::bigint % 11 > 0 or seq < 5 group by run_id")
+def journal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals of other tools, a file to a run: with blank lines, and every eleventh cut short within its fifth line."""
+    path, j = scratch_path(spark, "journal-files"), views.journal(spark, sf_dir)
+    line = F.to_json(F.struct("type", "operation", "src", "dst", "size"))
+    cut = (F.col("run_id").cast("long") % 11 == 0) & (F.col("seq") == 5)
+    lines = j.select("run_id", "seq", F.when(cut, F.substring(line, 1, 9)).when(F.col("seq") % 6 == 0, F.concat(F.lit("\n"), line)).otherwise(line).alias("value"))
+    lines.repartition("run_id").sortWithinPartitions("run_id", "seq").select("run_id", "value").write.partitionBy("run_id").text(path)
+    back = ledger.read_journals(spark, path).withColumn("run_id", F.regexp_extract("run_id", "run_id=([^/]*)/", 1))
+    is_file = F.col("type") == "file"
+    return back.groupBy("run_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(is_file).alias("transferred"), F.coalesce(F.sum(F.when(is_file, F.col("size"))), F.lit(0)).alias("bytes"))
+
+
 # Review
 
 _MARKED = f"{_COPIES}, marks as (select path, size, digest from m where rank > 1), toggled as (select path, digest from m where size % 2 = 0)"
@@ -381,6 +542,27 @@ def marks_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _review(spark, sf_dir)[1]
 
 
+_CHOICES = f"{_MARKED}, one as (select digest from m where rank = 2 order by path limit 1), two as (select digest from m where rank = 2 order by path desc limit 1), kept as (select path from m where rank = 2 and digest in (from one))"
+
+
+@query(f"{_CHOICES} select path from m where case when digest in (from one) then path not in (from kept) when digest in (from two) then false else rank > 1 end")
+def keep_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggested marks after one group keeps its second file only and another keeps all."""
+    found = materialize(exact.exact_members(views.files(spark, sf_dir)).withColumnRenamed("digest", "group_id"), "members")
+    ends = found.where("rank = 2").agg(F.min("path"), F.max("path")).first()
+    return review.keep_group(found, review.keep_only(found, review.suggested(found), ends[0]), ends[1])
+
+
+@query(f"{_COPIES}, now as (select path from m where rank > 1 or n % 2 = 1) select digest as group_id, count(*) as members from m group by digest having bool_and(path in (select path from now))")
+def fully_marked_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of which nothing would be left, when the keepers of odd-sized groups are marked too."""
+    from pyspark.sql import Window
+
+    found = materialize(exact.exact_members(views.files(spark, sf_dir)).withColumnRenamed("digest", "group_id"), "members")
+    odd = found.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("group_id"))).where("rank = 1 and n % 2 = 1").select("path")
+    return review.fully_marked(found, review.suggested(found).union(odd))
+
+
 @query(f"{_AFTER} select digest as group_id, count(*) as members from m group by digest having bool_and(path in (select path from now))")
 def fully_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.fully_marked(*_review(spark, sf_dir))
@@ -449,6 +631,22 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("digest").agg(F.count(F.lit(1)).alias("files"), F.count("copy_of").alias("copies"))
 
 
+@query(f"{FILES} select path, case when file_id % 3 = 0 then size + 1 else size end as size, 2 as version from files where file_id % 3 = 0 or file_id % 2 = 0")
+def stream_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that takes in a listing, and then one in which some files have changed."""
+    listed, kept = scratch_path(spark, "listings"), scratch_path(spark, "store")
+    every = views.files(spark, sf_dir).select("file_id", "path", "size", "mtime")
+    every.where("file_id % 2 = 0").drop("file_id").write.parquet(f"{listed}/first")
+    listing = lambda at: spark.readStream.schema("path string, size long, mtime timestamp").parquet(f"{listed}/{at}")
+    runs.refresh_store(listing("first"), kept, 2, lambda todo: todo)
+    every.where("file_id % 3 = 0").withColumn("size", F.col("size") + 1).drop("file_id").write.parquet(f"{listed}/second")
+    more = scratch_path(spark, "store-more")
+    runs.refresh_store(listing("second"), more, 2, lambda todo: todo)
+    # the second stream's batch joins the first's folder as the next one
+    runs.read_store(spark, more).write.parquet(f"{kept}/batch=1")
+    return runs.read_store(spark, kept).select("path", "size", "version")
+
+
 # Labels
 
 _SIZES = "case when s = 1 then '1 byte' when s < 1000 then s || ' bytes' " + " ".join(f"when s < {1000 ** (p + 1)} then case when s / {1000.0 ** p} < 100 then format('{{:.1f}} {u}', s / {1000.0 ** p}) else format('{{:.0f}} {u}', s / {1000.0 ** p}) end" for p, u in ((1, "KB"), (2, "MB"), (3, "GB"))) + " end"

@@ -91,6 +91,12 @@ def classify(files: DataFrame) -> DataFrame:
     return named.join(known, "ext", "left").withColumn("category", F.coalesce("category", F.lit("other")))
 
 
+def pending_dates(files: DataFrame, dated: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """Files of the chosen ``categories`` for which the date table (path, size, mtime, date_source) has no date as they are now."""
+    known = dated.where("date_source is not null").select("path", "size", "mtime")
+    return files.where(F.col("category").isin(*categories)).join(known, ["path", "size", "mtime"], "left_anti")
+
+
 def decodable(files: DataFrame) -> DataFrame:
     return files.where(paths.suffix(paths.name(F.col("path"))).isin(*[f".{e}" for e in DECODABLE]))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -17,14 +18,14 @@ from cairn.sources import store
 def run_status(events: DataFrame) -> DataFrame:
     """Live state of each run, from a stream (or table) of ledger events: a row of state per run.
 
-    A run whose first event isn't its header is ``invalid``; one without trailer is ``open``.
+    A run whose first event isn't its header, or that was undone twice, is ``invalid``; one without trailer is ``open``.
     """
     is_ = lambda kind: F.col("type") == kind
     out = events.groupBy("run_id").agg(
         F.min_by("type", "seq").alias("first"), F.count_if(is_("file")).alias("transferred"),
         F.coalesce(F.sum(F.when(is_("file"), F.col("size"))), F.lit(0)).alias("bytes"), F.count_if(is_("end")).alias("ends"), F.count_if(is_("undo")).alias("undos"),
     )
-    state = F.when(F.col("first") != "run", "invalid").when(F.col("undos") > 0, "undone").when(F.col("ends") > 0, "finished").otherwise("open")
+    state = F.when((F.col("first") != "run") | (F.col("undos") > 1), "invalid").when(F.col("undos") > 0, "undone").when(F.col("ends") > 0, "finished").otherwise("open")
     return out.select("run_id", "transferred", "bytes", state.alias("state"))
 
 
@@ -60,18 +61,29 @@ def first_seen(files: DataFrame) -> DataFrame:
     return files.groupBy("digest").applyInPandasWithState(_first_seen, "path string, digest string, copy_of string", "first string", "append", GroupStateTimeout.NoTimeout)
 
 
+def read_store(spark: SparkSession, path: str) -> DataFrame | None:
+    """The store below ``path``, a folder to a batch: of each path the row that came last; None before the first batch."""
+    try:
+        rows = spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    columns = [c for c in rows.columns if c not in ("path", "batch")]
+    return rows.groupBy("path").agg(F.max_by(F.struct(*columns), "batch").alias("last")).select("path", "last.*")
+
+
 def refresh_store(listing: DataFrame, path: str, version: int, compute, name: str = "features") -> None:
-    """Takes new listings from a stream into the store below ``path``, a folder to a batch.
+    """Takes new listings from a stream into the store below ``path``, a folder to a batch; ``read_store`` reads it.
 
-    ``compute`` turns files into feature rows; what the store knows already isn't computed again.
+    ``compute`` turns files into feature rows; what the store knows already isn't computed again, and
+    a path that changed has its new row in place of the old one. A batch that is tried again
+    replaces its own folder.
     """
     spark = listing.sparkSession
 
     def take_in(batch: DataFrame, n: int) -> None:
-        try:
-            have = spark.read.parquet(path)
-        except Exception:  # nothing there yet
-            have = None
+        have = read_store(spark, path)
         todo = batch if have is None else store.to_do(batch, have, version)
         compute(todo).withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{path}/batch={n}")
 

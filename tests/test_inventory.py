@@ -120,6 +120,33 @@ def test_claims_equal_the_walk(spark):
         assert got == claims_by_hand(files, {k: s for k, (_, s) in there.items()}, root)
 
 
+def test_reconciled_names_and_events(spark):
+    rows = [("/s/a.jpg", "/d/a.jpg", 1), ("/s/b/a.jpg", "/d/a.jpg", 2), ("/s/c.jpg", "/d/c.jpg", 3), ("/s/e", "/d/e", 4), ("/s/f", "/d/f", 5)]
+    planned = spark.createDataFrame([(p, d, n, True) for p, d, n in rows], "path string, dest string, size long, actionable boolean")
+    source = spark.createDataFrame([("/s/a.jpg", "x"), ("/s/b/a.jpg", "y"), ("/s/c.jpg", "z"), ("/s/e", "e")], "path string, digest string")
+    there = spark.createDataFrame([("/d/a.jpg", "o"), ("/d/A (2).jpg", "o"), ("/d/c.jpg", "z")], "path string, digest string")
+    got = layout.reconcile(planned, source, there)
+    assert {r.path: (r.outcome, r.final) for r in got.collect()} == {"/s/a.jpg": ("renamed", "/d/a (1).jpg"), "/s/b/a.jpg": ("renamed", "/d/a (3).jpg"), "/s/c.jpg": ("skipped", None), "/s/e": ("transferred", "/d/e"), "/s/f": ("failed", None)}
+    events = layout.ledger_events(got).orderBy("part", "seq").collect()
+    assert [(e.src, e.dst) for e in events] == [("/s/a.jpg", "/d/a (1).jpg"), ("/s/b/a.jpg", "/d/a (3).jpg"), ("/s/e", "/d/e")]
+
+
+def test_settled_rows_are_neither_skipped_nor_unticked(spark):
+    o = layout.Options("/in", "/in")
+    files = listing(spark, ["Photos/2021/2021-01/a.jpg", "b.jpg"])
+    planned = layout.plan(files, dest(spark), o, files.select("path"))
+    shown = {r.path: r.t for r in planned.select("path", layout.status_text(F.col("included"), F.col("status")).alias("t")).collect()}
+    assert shown == {"/in/Photos/2021/2021-01/a.jpg": "Already sorted", "/in/b.jpg": "Skipped"}
+    assert layout.plan_summary(planned).first().unticked == 1
+
+
+def test_many_equal_names_take_linear_time():
+    root = layout._Root()
+    root.there["a (5).jpg"] = (9, 0)
+    names = [root.settle("a.jpg" if k % 2 else "A.jpg", 1, 0)[0] for k in range(20_000)]
+    assert names[0] == "A.jpg" and names[4] == "A (4).jpg" and names[5] == "a (6).jpg" and len({n.lower() for n in names}) == 20_000
+
+
 def test_paths(spark):
     rows = [("a.b.JPG", ".jpg"), (".bashrc", ""), ("a.", ""), ("x", ""), ("..x", ".x")]
     for name, ext in rows:
