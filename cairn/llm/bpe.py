@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import tiktoken
 
 from cairn.llm.words import BLOCK, text_buffer
 
@@ -41,6 +40,8 @@ class Vocabulary:
             lines = Path(path).read_bytes().splitlines()
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.words = regex.compile(pattern)
+        import tiktoken  # workers that only decode do without it
+
         self._core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})._core_bpe
         self.longest = max(map(len, self.ranks))
         self.token_bytes = {i: b for b, i in self.ranks.items()}

@@ -1,7 +1,7 @@
 """Byte-level BPE over a corpus: each distinct word is encoded once.
 
 1. A task cuts its texts into the pattern's matches and numbers the distinct ones, chunk by chunk
-   (a chunk is some 8 MB of text): a text is then the sequence of its words' numbers by position.
+   (a chunk is some 6 MB of text): a text is then the sequence of its words' numbers by position.
 2. Each chunk's distinct words are shuffled by word, packed by bucket, so all chunks' copies of a
    word meet; there a word is encoded once, and its ids go back to every chunk that asked.
 3. Number sequences and answers meet by chunk, and each text's ids are put together by position.
@@ -33,9 +33,9 @@ from cairn.llm.words import mix, text_buffer
 from cairn.session import bounded_batches, materialize
 
 #: Bytes of text to a chunk; texts from which ids are put together at once; ids to a row, and to a portion, when they are decoded.
-CHUNK_BYTES, SOME_TEXTS, BLOCK_IDS, PORTION_IDS = 8 << 20, 64, 1 << 16, 2 << 20
+CHUNK_BYTES, SOME_TEXTS, BLOCK_IDS, PORTION_IDS = 6 << 20, 64, 1 << 16, 1 << 20
 #: Words whose ids a worker keeps while it answers; beyond it the store starts anew.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 
 
 def _packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +244,10 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
 
 
 def token_bytes(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """``(id, bytes)``: the token-byte table, a row a token."""
+    """``(id, bytes)``: the token-byte table, a row a token. Ranks are read by Spark, from where the workers have them too."""
+    if not path.endswith(".json"):
+        line = F.split("value", " ")
+        return spark.read.text(path if "://" in path else f"file://{path}").select(line[1].cast("int").alias("id"), F.unbase64(line[0]).alias("bytes"))
     tokens = vocabulary(path, pattern).token_bytes
     return spark.createDataFrame(pa.table({"id": pa.array(list(tokens), pa.int32()), "bytes": pa.array(list(tokens.values()), pa.binary())}))
 

@@ -83,6 +83,25 @@ QUERIES: dict[str, Query] = {
     "op10_warc": op10_warc,
 }
 
+_NEAR = """
+with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
+sets as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from words),
+each as (select doc_id, unnest(s) as g from sets),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as common from each a join each b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select a, b from met join sets x on x.doc_id = a join sets y on y.doc_id = b where 100 * common >= 75 * (len(x.s) + len(y.s) - common)),
+ends as materialized (select a, b from links union select b, a from links),
+walk(node, low) as (select a, a from ends union select b, low from walk join ends on node = a),
+labels as (select node, min(low) as component from walk group by node)
+select doc_id, len(s)::bigint as n_shingles, coalesce(component, doc_id) as component_id, coalesce(component, doc_id) = doc_id as kept from sets left join labels on node = doc_id"""
+
+_ARCHIVED = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as x, min(page_id) over (partition by html) as low from p)
+select page_id, payload_bytes, array_to_string(list_transform(range(32), lambda n: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (n // 8 * 10 + 1)::int, 10))::bigint >> (35 - 5 * (n % 8))::int) & 31) + 1)::int, 1)), '') as payload_digest,
+       case when low = page_id then 'response' else 'revisit' end as record_type, case when low <> page_id then low end as refers_to from d"""
+
 ORACLES: dict[str, str] = {
+    "op2_near_dedup": _NEAR,
+    "op10_warc": _ARCHIVED,
     "op3_sharding": shards_oracle(SHARD_BYTES),
 }

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.bpe_codec import pack_numbers, unpack_numbers
 from cairn.llm.words import Words, portions
 from cairn.session import bounded_batches, small_side, without
 
@@ -135,8 +136,8 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for f, label in ((0, 0), (0, 1), (1, 0), (1, 1)):
                         on = cells[own == 2 * f + label]
                         if len(on):
-                            at = totals.setdefault((f, g, label), np.zeros(CELLS, np.int64))
-                            at += np.bincount(on, minlength=CELLS)
+                            at = totals.setdefault((f, g, label), np.zeros(CELLS, np.uint32))
+                            at += np.bincount(on, minlength=CELLS).astype(np.uint32)
     rows = []
     size = CELLS // BLOCKS
     for (f, g, label), counts in totals.items():
@@ -154,7 +155,7 @@ def _add_up(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         for cells, counts in zip(batch.column("cells"), batch.column("counts"), strict=True):
             total[np.frombuffer(cells.as_py(), np.uint16)] += np.frombuffer(counts.as_py(), np.int64)
     fold, grain, label, block = (k.as_py() for k in key)
-    yield pa.RecordBatch.from_pydict({"fold": [fold], "grain": [grain], "label": [label], "block": [block], "counts": [total.tobytes()]})
+    yield pa.RecordBatch.from_pydict({"fold": [fold], "grain": [grain], "label": [label], "block": [block], "counts": [pack_numbers(total)]})
 
 
 def _counted(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +163,8 @@ def _counted(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     tallied = texts.mapInArrow(_tally, "fold long, grain long, label long, block long, cells binary, counts binary")
     summed = tallied.groupBy("fold", "grain", "label", "block").applyInArrow(_add_up, "fold long, grain long, label long, block long, counts binary")
     counts = np.zeros((2, 2, len(GRAINS), BLOCKS, CELLS // BLOCKS), np.float32)
-    for row in summed.toLocalIterator():  # at most 2 * 3 * 2 * 64 rows, 50 MB in all, a partition at a time
-        counts[row.label, row.fold, row.grain, row.block] = np.frombuffer(row.counts, np.int64)
+    for row in summed.collect():  # at most 2 * 3 * 2 * 64 rows of some 10 kB
+        counts[row.label, row.fold, row.grain, row.block] = unpack_numbers(row.counts)
     counts = counts.reshape(2, 2, len(GRAINS), CELLS)
     counts[0] += counts[1]
     return counts[1], counts[0]
