@@ -51,6 +51,12 @@ class Vocabulary:
         return self._core.encode_single_piece(word) if word else []
 
 
+@lru_cache(maxsize=4)
+def matches(pattern: str):
+    """Finds the pattern's matches in a piece; needs no vocabulary."""
+    return regex.compile(pattern).findall
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """Loaded once per worker."""

@@ -28,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.bpe import Pieces, gather, portions_of_text, vocabulary
-from cairn.llm.words import mix, text_buffer
+from cairn.llm.bpe import Pieces, gather, matches, portions_of_text, vocabulary
+from cairn.llm.words import mix, text_buffer, tidy
 from cairn.session import bounded_batches, materialize
 
 #: Bytes of text to a chunk; texts from which ids are put together at once; ids to a row, and to a portion, when they are decoded.
@@ -127,7 +127,7 @@ def _parts(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, sto
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions_of_text(batches, 1, CHUNK_BYTES):
-            chunk = _Chunk(part, vocabulary(path, pattern).words.findall)
+            chunk = _Chunk(part, matches(pattern))
             bucket = _buckets(chunk.words, n_buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -160,16 +160,16 @@ def _parts(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, sto
 
     def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions_of_text(batches, 1, CHUNK_BYTES):
-            chunk = _Chunk(part, vocabulary(path, pattern).words.findall)
+            chunk = _Chunk(part, matches(pattern))
             name, rows, n = chunk.name(), chunk.sequences(), part.num_rows
             for i in range(0, n, SOME_TEXTS):
                 m = min(SOME_TEXTS, n - i)
                 empty = pa.nulls(m, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * m, pa.int64()), pa.array([1] * m, pa.int32()), chunk.doc_id.slice(i, m), rows.slice(i, m).cast(pa.binary()), empty, empty], schema=PARTS)
 
-    asked = given.mapInArrow(ask, "bucket int, chunk long, numbers binary, sizes binary, words binary")
-    answers = asked.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, PARTS_SQL)
-    parts = answers.unionByName(given.mapInArrow(sequence, PARTS_SQL))
+    asked = given.mapInArrow(tidy(ask), "bucket int, chunk long, numbers binary, sizes binary, words binary")
+    answers = asked.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(answer), PARTS_SQL)
+    parts = answers.unionByName(given.mapInArrow(tidy(sequence), PARTS_SQL))
     return parts.repartition("chunk").sortWithinPartitions("chunk", "kind")
 
 
@@ -240,7 +240,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     ordinary text. With ``stored``, ``docs`` reads rows of a stored table, without a shuffle
     between, so that reading twice gives the same order; else its texts are written first.
     """
-    return _parts(docs, path, pattern, doc_id, text, stored).mapInArrow(_put_together, "doc_id long, ids array<int>")
+    return _parts(docs, path, pattern, doc_id, text, stored).mapInArrow(tidy(_put_together), "doc_id long, ids array<int>")
 
 
 def token_bytes(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -350,8 +350,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
             column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*rows.flatten(), column], [*[f.name for f in rows.type], "decoded"])
 
-    asked = encoded.mapInArrow(lambda batches: _ask_tokens(batches, ids), f"row struct<{_sql_of(encoded).replace('` ', '`: ')}>, asked array<int>")
-    return _joined(asked, token_bytes(encoded.sparkSession, path, pattern)).mapInArrow(run, f"{_sql_of(encoded)}, decoded binary")
+    asked = encoded.mapInArrow(tidy(lambda batches: _ask_tokens(batches, ids)), f"row struct<{_sql_of(encoded).replace('` ', '`: ')}>, asked array<int>")
+    return _joined(asked, token_bytes(encoded.sparkSession, path, pattern)).mapInArrow(tidy(run), f"{_sql_of(encoded)}, decoded binary")
 
 
 class _Digests:
@@ -415,8 +415,8 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "
 
     Rows as for ``encode``. Long texts are decoded in blocks of ids: none is held whole after encoding.
     """
-    blocks = _parts(docs, path, pattern, doc_id, text, stored).mapInArrow(lambda batches: _ask_tokens(_in_blocks(batches), "ids"), "row struct<doc_id: long, ids: array<int>, head: boolean>, asked array<int>")
-    return _joined(blocks, token_bytes(docs.sparkSession, path, pattern)).mapInArrow(lambda batches: _digested(batches, ("doc_id",)), f"doc_id long, {DIGESTS}")
+    blocks = _parts(docs, path, pattern, doc_id, text, stored).mapInArrow(tidy(lambda batches: _ask_tokens(_in_blocks(batches), "ids")), "row struct<doc_id: long, ids: array<int>, head: boolean>, asked array<int>")
+    return _joined(blocks, token_bytes(docs.sparkSession, path, pattern)).mapInArrow(tidy(lambda batches: _digested(batches, ("doc_id",))), f"doc_id long, {DIGESTS}")
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", stored: bool = False) -> DataFrame:
@@ -426,5 +426,5 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "d
         for batch in _put_together(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([True] * batch.num_rows)], ["doc_id", "ids", "head"])
 
-    whole = _parts(docs, path, pattern, doc_id, text, stored).mapInArrow(lambda batches: _ask_tokens(heads(batches), "ids"), "row struct<doc_id: long, ids: array<int>, head: boolean>, asked array<int>")
-    return _joined(whole, token_bytes(docs.sparkSession, path, pattern)).mapInArrow(lambda batches: _digested(batches, ("doc_id", "ids")), f"doc_id long, ids array<int>, {DIGESTS}")
+    whole = _parts(docs, path, pattern, doc_id, text, stored).mapInArrow(tidy(lambda batches: _ask_tokens(heads(batches), "ids")), "row struct<doc_id: long, ids: array<int>, head: boolean>, asked array<int>")
+    return _joined(whole, token_bytes(docs.sparkSession, path, pattern)).mapInArrow(tidy(lambda batches: _digested(batches, ("doc_id", "ids"))), f"doc_id long, ids array<int>, {DIGESTS}")

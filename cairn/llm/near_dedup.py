@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.words import mix, portions, shingle_sets
+from cairn.llm.words import mix, portions, shingle_sets, tidy
 from cairn.operators.components import connected_components
 from cairn.session import bounded_batches, join_counted, materialize, small_side, without
 
@@ -133,7 +133,7 @@ def _plausible(p: str, q: str) -> Column:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The candidates ``(a, b)`` whose full sets meet the threshold. Sets travel to b's key along with a's."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(small_side(ids, 16), "id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>")
+    sets = texts.join(small_side(ids, 16), "id", "left_semi").mapInArrow(tidy(_sets), "id long, shingles array<long>")
     # a text in very many pairs is dealt out: its set goes to a key for some hundred of them
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_KEY).cast("int").alias("parts")).where("parts > 1")
     parts = small_side(materialize(parts, "dedup-hubs"), 16)
@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body"))
-    rows = materialize(texts.mapInArrow(_features, FEATURES), "dedup-features")
+    rows = materialize(texts.mapInArrow(tidy(_features), FEATURES), "dedup-features")
     known = rows.where("class is not null and doc_id is not null")
 
     total = rows.count()
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
     still = materialize(placed.join(mixed, "bucket", "left_semi"), "dedup-open")
     ids = small_side(still.select("id").distinct(), 16)
-    longer = texts.join(ids, "id", "left_semi").mapInArrow(_long_signatures, "id long, long_signature array<long>")
+    longer = texts.join(ids, "id", "left_semi").mapInArrow(tidy(_long_signatures), "id long, long_signature array<long>")
     left = materialize(still.join(reps, "id").join(longer, "id"), "dedup-open-signed")
     p, q = left.alias("p"), left.alias("q")
     first_band = F.get(F.array_intersect("p.bands", "q.bands"), F.lit(0)) == F.col("p.bucket")

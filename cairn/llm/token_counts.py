@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.bpe import Pieces, Vocabulary, gather, portions_of_text, vocabulary
+from cairn.llm.words import tidy
 from cairn.session import bounded_batches
 
 #: Pieces whose counts, and pairs of tokens whose test, a worker keeps; beyond it the store starts anew.
@@ -194,7 +195,7 @@ def prefix_tables(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_i
 
     bounded_batches(docs.sparkSession)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return given.mapInArrow(run, "doc_id long, prefix_tokens array<int>")
+    return given.mapInArrow(tidy(run), "doc_id long, prefix_tokens array<int>")
 
 
 def chars_within(prefix_tokens: str, budget: int):
@@ -230,4 +231,4 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 512, doc
 
     bounded_batches(docs.sparkSession)
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return given.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chars_within_limit long")
+    return given.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean, chars_within_limit long")

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.bpe_codec import pack_numbers, unpack_numbers
-from cairn.llm.words import Words, portions
+from cairn.llm.words import Words, portions, tidy
 from cairn.session import bounded_batches, small_side, without
 
 GRAINS, HASH_BITS = (4, 6, 1 << 30), 19
@@ -160,7 +160,7 @@ def _add_up(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def _counted(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Toxic and all uses, by fold, grain and cell: a table of fixed size."""
-    tallied = texts.mapInArrow(_tally, "fold long, grain long, label long, block long, cells binary, counts binary")
+    tallied = texts.mapInArrow(tidy(_tally), "fold long, grain long, label long, block long, cells binary, counts binary")
     summed = tallied.groupBy("fold", "grain", "label", "block").applyInArrow(_add_up, "fold long, grain long, label long, block long, counts binary")
     counts = np.zeros((2, 2, len(GRAINS), BLOCKS, CELLS // BLOCKS), np.float32)
     for row in summed.collect():  # at most 2 * 3 * 2 * 64 rows of some 10 kB
@@ -218,7 +218,7 @@ def fit(texts: DataFrame) -> Model:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["kind", "a", "n", "texts"])
 
-    tallied = texts.where("fold = 1").select("text", "toxic").mapInArrow(profile, "kind long, a long, n long, texts long")
+    tallied = texts.where("fold = 1").select("text", "toxic").mapInArrow(tidy(profile), "kind long, a long, n long, texts long")
     rows = tallied.groupBy("kind", "a").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).collect()  # at most 400 + 5,001 rows
     shared.unpersist()
     by_weight = np.zeros(WEIGHT_BINS)
@@ -243,7 +243,7 @@ def fit(texts: DataFrame) -> Model:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*[(*k, c) for k, c in seen.items()], strict=True)], ["kind", "a", "n"])
 
-    weighed = texts.where("fold = 1").select("text", "toxic").mapInArrow(weigh, "kind long, a long, n long")
+    weighed = texts.where("fold = 1").select("text", "toxic").mapInArrow(tidy(weigh), "kind long, a long, n long")
     rows = weighed.groupBy("kind", "a").agg(F.sum("n").alias("n")).collect()  # at most 2 * 1301 rows
     shared.unpersist()
     table = np.array([(r.kind, r.a / 100, r.n) for r in rows] or np.empty((0, 3)), float).reshape(-1, 3)
@@ -308,7 +308,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, score double, evidence double" + ", passages array<struct<start: long, end: long, weight: double, e_value: double>>" * segments
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, segments: bool = False) -> DataFrame:
