@@ -117,7 +117,7 @@ def _buckets(words: pa.Array, n: int) -> np.ndarray:
     return (mix(sums[offsets[1:]] - sums[offsets[:-1]]) % np.uint64(n)).astype(np.int64)
 
 
-def _parts(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, stored: bool) -> DataFrame:
+def _parts(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, stored: bool, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Answers (kind 0) and texts (kind 1), chunk by chunk and answers first."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -126,7 +126,7 @@ def _parts(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, sto
     given = given if stored else materialize(given, "texts")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in portions_of_text(batches, 1, CHUNK_BYTES):
+        for part in portions_of_text(batches, 1, chunk_bytes):
             chunk = _Chunk(part, matches(pattern))
             bucket = _buckets(chunk.words, n_buckets)
             order = np.argsort(bucket, kind="stable")
@@ -159,7 +159,7 @@ def _parts(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, sto
                 yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"]], "kind": [0], "doc_id": [None], "a": [row["numbers"]], "b": [pack_numbers(sizes)], "c": [pack_numbers(ids)]}, schema=PARTS)
 
     def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in portions_of_text(batches, 1, CHUNK_BYTES):
+        for part in portions_of_text(batches, 1, chunk_bytes):
             chunk = _Chunk(part, matches(pattern))
             name, rows, n = chunk.name(), chunk.sequences(), part.num_rows
             for i in range(0, n, SOME_TEXTS):
@@ -419,12 +419,15 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "
     return _joined(blocks, token_bytes(docs.sparkSession, path, pattern)).mapInArrow(tidy(lambda batches: _digested(batches, ("doc_id",))), f"doc_id long, {DIGESTS}")
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", stored: bool = False) -> DataFrame:
-    """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)`` per row: token ids, and the digests of ids and of what they decode to."""
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", stored: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)`` per row: token ids, and the digests of ids and of what they decode to.
+
+    Smaller chunks take less of a worker's memory and ship more copies of words. Rows as for ``encode``.
+    """
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _put_together(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([True] * batch.num_rows)], ["doc_id", "ids", "head"])
 
-    whole = _parts(docs, path, pattern, doc_id, text, stored).mapInArrow(tidy(lambda batches: _ask_tokens(heads(batches), "ids")), "row struct<doc_id: long, ids: array<int>, head: boolean>, asked array<int>")
+    whole = _parts(docs, path, pattern, doc_id, text, stored, chunk_bytes).mapInArrow(tidy(lambda batches: _ask_tokens(heads(batches), "ids")), "row struct<doc_id: long, ids: array<int>, head: boolean>, asked array<int>")
     return _joined(whole, token_bytes(docs.sparkSession, path, pattern)).mapInArrow(tidy(lambda batches: _digested(batches, ("doc_id", "ids"))), f"doc_id long, ids array<int>, {DIGESTS}")
