@@ -13,6 +13,10 @@ from cairn.llm.toxicity import drop_toxic
 from cairn.session import scratch_path
 
 
+#: Text to a chunk of the codec: what earlier stages have made of an executor's memory leaves little to the last one.
+CHUNK_BYTES = 2 << 20
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go; labels come from the labels table."""
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -35,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)``: token ids of every document that is left, and digests of them and of what they decode to."""
-    return encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stored=True)
+    return encode_and_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, stored=True, chunk_bytes=CHUNK_BYTES)
 
 
 STAGES = [
