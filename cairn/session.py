@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: A side may be broadcast up to this many bytes, by the row count times a stated row width.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of an Arrow batch between Spark and its Python workers.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
