@@ -33,7 +33,7 @@ from cairn.llm.words import mix, text_buffer, tidy
 from cairn.session import bounded_batches, materialize
 
 #: Bytes of text to a chunk; texts from which ids are put together at once; ids to a row, and to a portion, when they are decoded.
-CHUNK_BYTES, SOME_TEXTS, BLOCK_IDS, PORTION_IDS = 6 << 20, 64, 1 << 16, 1 << 20
+CHUNK_BYTES, SOME_TEXTS, BLOCK_IDS, PORTION_IDS = 6 << 20, 64, 1 << 16, 1 << 18
 #: Words whose ids a worker keeps while it answers; beyond it the store starts anew.
 KEPT_WORDS = 100_000
 
