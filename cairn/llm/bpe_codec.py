@@ -258,14 +258,12 @@ def _ids_of(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
 
 
-def _ask_tokens(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[pa.RecordBatch]:
-    """``(row, asked)``: the rows as structs, and before each portion of them a row that asks for its distinct ids."""
+def _portions(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[tuple[pa.StructArray, np.ndarray]]:
+    """Rows as structs, some ``PORTION_IDS`` ids at a time, and their distinct ids."""
 
-    def asking(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def one(held: list[pa.RecordBatch]) -> tuple[pa.StructArray, np.ndarray]:
         rows = pa.concat_arrays([pa.StructArray.from_arrays(h.columns, h.schema.names) for h in held])
-        distinct = np.unique(_ids_of(pa.Table.from_batches(held).column(ids).combine_chunks())[0]).astype(np.int32)
-        asked = pa.ListArray.from_arrays(pa.array([0, *[len(distinct)] * (len(rows) + 1)], pa.int32()), pa.array(distinct), mask=pa.array([False] + [True] * len(rows)))
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, rows.type), rows]), asked], ["row", "asked"])
+        return rows, np.unique(_ids_of(pa.Table.from_batches(held).column(ids).combine_chunks())[0]).astype(np.int32)
 
     held, n = [], 0
     for batch in batches:
@@ -274,15 +272,27 @@ def _ask_tokens(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[pa.Reco
             held.append(part)
             n += pc.sum(pc.list_value_length(part.column(ids))).as_py() or 0
             if n >= PORTION_IDS:
-                yield asking(held)
+                yield one(held)
                 held, n = [], 0
     if held:
-        yield asking(held)
+        yield one(held)
+
+
+def _ask_tokens(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[pa.RecordBatch]:
+    """``(row, asked)``: the rows as structs, and before each portion of them a row that asks for its distinct ids."""
+    for rows, distinct in _portions(batches, ids):
+        asked = pa.ListArray.from_arrays(pa.array([0, *[len(distinct)] * (len(rows) + 1)], pa.int32()), pa.array(distinct), mask=pa.array([False] + [True] * len(rows)))
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, rows.type), rows]), asked], ["row", "asked"])
+
 
+def _whole_portions(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[pa.RecordBatch]:
+    """``(rows, asked)``: a portion and its distinct ids in one row, which no reader of a table can part."""
+    for rows, distinct in _portions(batches, ids):
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part) for part in (rows, pa.array(distinct))], ["rows", "asked"])
 
-def _joined(asked: DataFrame, tokens: DataFrame) -> DataFrame:
+
+def _joined(each: DataFrame, tokens: DataFrame) -> DataFrame:
     """``(row, id, bytes)``: each portion's tokens as rows, then its texts, for which id is null."""
-    each = asked.select("row", F.explode_outer("asked").alias("id"))
     met = each.join(F.broadcast(tokens), "id", "left")  # the vocabulary bounds its size
     known = F.coalesce("bytes", F.when(F.col("id").isNotNull(), F.raise_error(F.lit("an id outside the vocabulary")).cast("binary")))
     return met.select("row", "id", known.alias("bytes"))
@@ -351,7 +361,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
             yield pa.RecordBatch.from_arrays([*rows.flatten(), column], [*[f.name for f in rows.type], "decoded"])
 
     asked = encoded.mapInArrow(tidy(lambda batches: _ask_tokens(batches, ids)), f"row struct<{_sql_of(encoded).replace('` ', '`: ')}>, asked array<int>")
-    return _joined(asked, token_bytes(encoded.sparkSession, path, pattern)).mapInArrow(tidy(run), f"{_sql_of(encoded)}, decoded binary")
+    each = asked.select("row", F.explode_outer("asked").alias("id"))
+    return _joined(each, token_bytes(encoded.sparkSession, path, pattern)).mapInArrow(tidy(run), f"{_sql_of(encoded)}, decoded binary")
 
 
 class _Digests:
@@ -416,18 +427,25 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "
     Rows as for ``encode``. Long texts are decoded in blocks of ids: none is held whole after encoding.
     """
     blocks = _parts(docs, path, pattern, doc_id, text, stored).mapInArrow(tidy(lambda batches: _ask_tokens(_in_blocks(batches), "ids")), "row struct<doc_id: long, ids: array<int>, head: boolean>, asked array<int>")
-    return _joined(blocks, token_bytes(docs.sparkSession, path, pattern)).mapInArrow(tidy(lambda batches: _digested(batches, ("doc_id",))), f"doc_id long, {DIGESTS}")
+    each = blocks.select("row", F.explode_outer("asked").alias("id"))
+    return _joined(each, token_bytes(docs.sparkSession, path, pattern)).mapInArrow(tidy(lambda batches: _digested(batches, ("doc_id",))), f"doc_id long, {DIGESTS}")
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", stored: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)`` per row: token ids, and the digests of ids and of what they decode to.
 
-    Smaller chunks take less of a worker's memory and ship more copies of words. Rows as for ``encode``.
+    Smaller chunks take less of a worker's memory and ship more copies of words. What is encoded is
+    stored before it is decoded, so a task never has workers for both. Rows as for ``encode``.
     """
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _put_together(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([True] * batch.num_rows)], ["doc_id", "ids", "head"])
 
-    whole = _parts(docs, path, pattern, doc_id, text, stored, chunk_bytes).mapInArrow(tidy(lambda batches: _ask_tokens(heads(batches), "ids")), "row struct<doc_id: long, ids: array<int>, head: boolean>, asked array<int>")
-    return _joined(whole, token_bytes(docs.sparkSession, path, pattern)).mapInArrow(tidy(lambda batches: _digested(batches, ("doc_id", "ids"))), f"doc_id long, ids array<int>, {DIGESTS}")
+    row = "struct<doc_id: long, ids: array<int>, head: boolean>"
+    parts = _parts(docs, path, pattern, doc_id, text, stored, chunk_bytes)
+    portions = materialize(parts.mapInArrow(tidy(lambda batches: _whole_portions(heads(batches), "ids")), f"rows array<{row}>, asked array<int>"), "encoded")
+    asked = F.transform("asked", lambda i: F.struct(F.lit(None).cast(row).alias("row"), i.alias("id")))
+    rows = F.transform("rows", lambda r: F.struct(r.alias("row"), F.lit(None).cast("int").alias("id")))
+    each = portions.select(F.explode(F.concat(asked, rows)).alias("at")).select("at.row", "at.id")
+    return _joined(each, token_bytes(docs.sparkSession, path, pattern)).mapInArrow(tidy(lambda batches: _digested(batches, ("doc_id", "ids"))), f"doc_id long, ids array<int>, {DIGESTS}")
