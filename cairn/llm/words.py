@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +55,15 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(a)
 
 
-_powers = [_power_table(base, 2 * BLOCK) for base in (_P, _P_INV)]
+@lru_cache(maxsize=1)
+def _powers() -> list[np.ndarray]:
+    """Made where texts are read: the driver, which imports this too, does without their 32 MB."""
+    return [_power_table(base, 2 * BLOCK) for base in (_P, _P_INV)]
 
 
 def _tables(n: int) -> list[np.ndarray]:
     """Powers up to ``n``; those beyond two blocks are made for one use and not kept."""
-    return _powers if n <= 2 * BLOCK else [_power_table(base, n) for base in (_P, _P_INV)]
+    return _powers() if n <= 2 * BLOCK else [_power_table(base, n) for base in (_P, _P_INV)]
 
 
 def _block_bounds(data: np.ndarray) -> list[tuple[int, int]]:
