@@ -40,6 +40,7 @@ class PrefixCounter(dict):
         super().__init__()
         self.vocab = vocab
         self._apart: dict[int, bool] = {}
+        self._before: tuple[bytes, list[int], list[int]] = b"", [0], [0]
 
     def _pair_stays(self, left: int, right: int) -> bool:
         both = self.vocab.token_bytes[left] + self.vocab.token_bytes[right]
@@ -49,11 +50,19 @@ class PrefixCounter(dict):
         return stays
 
     def word(self, word: str) -> list[int]:
-        """Token counts of ``word``'s prefixes by code point, ``word`` being one match of the pattern."""
+        """Token counts of ``word``'s prefixes by code point, ``word`` being one match of the pattern.
+
+        What it shares with the word before it isn't gone over again: words are best asked for in order.
+        """
         data, rank, apart, longest = word.encode(), self.vocab.ranks.get, self._apart.get, self.vocab.longest
-        n = len(data)
-        counts, lasts, at = [0] * (n + 1), [0] * (n + 1), 0
-        for i in range(1, n + 1):
+        n, (before, counts, lasts), same = len(data), self._before, 0
+        for a, b in zip(data, before, strict=False):
+            if a != b:
+                break
+            same += 1
+        counts, lasts = counts[: same + 1] + [0] * (n - same), lasts[: same + 1] + [0] * (n - same)
+        at = same - len(self.vocab.token_bytes[lasts[same]]) if same else 0
+        for i in range(same + 1, n + 1):
             # one token alone can end a prefix, so the order of trying is free: most often the last one grew, or a byte joins
             least = i - longest if i > longest else 0
             for k in (at, i - 1, *range(least, i - 1)) if at >= least else range(least, i):
@@ -61,6 +70,7 @@ class PrefixCounter(dict):
                 if t is not None and (not k or (stays if (stays := apart(lasts[k] << 32 | t)) is not None else self._pair_stays(lasts[k], t))):
                     counts[i], lasts[i], at = counts[k] + 1, t, k
                     break
+        self._before = data, counts, lasts
         return counts[1:] if n == len(word) else [c for i, c in enumerate(counts) if i and (i == n or data[i] & 0xC0 != 0x80)]
 
     def _count(self, piece: str) -> list[int]:
@@ -119,7 +129,10 @@ class _Counted:
 
     def __init__(self, counter: PrefixCounter, column: pa.Array):
         self.pieces = Pieces(column)
-        found = [counter[p] for p in self.pieces.distinct]
+        distinct = self.pieces.distinct
+        found = [counter.get(p) for p in distinct]
+        for k in sorted((k for k, f in enumerate(found) if f is None), key=distinct.__getitem__):
+            found[k] = counter[distinct[k]]
         self.lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.cumsum(self.lengths) - self.lengths
         if all(type(f) is bytes for f in found):
