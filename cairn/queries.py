@@ -633,18 +633,13 @@ def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FILES} select path, case when file_id % 3 = 0 then size + 1 else size end as size, 2 as version from files where file_id % 3 = 0 or file_id % 2 = 0")
 def stream_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store that takes in a listing, and then one in which some files have changed."""
+    """A store that takes in a listing, and then, going on with the same stream, one in which some files have changed."""
     listed, kept = scratch_path(spark, "listings"), scratch_path(spark, "store")
     every = views.files(spark, sf_dir).select("file_id", "path", "size", "mtime")
-    every.where("file_id % 2 = 0").drop("file_id").write.parquet(f"{listed}/first")
-    listing = lambda at: spark.readStream.schema("path string, size long, mtime timestamp").parquet(f"{listed}/{at}")
-    runs.refresh_store(listing("first"), kept, 2, lambda todo: todo)
-    every.where("file_id % 3 = 0").withColumn("size", F.col("size") + 1).drop("file_id").write.parquet(f"{listed}/second")
-    more = scratch_path(spark, "store-more")
-    runs.refresh_store(listing("second"), more, 2, lambda todo: todo)
-    # the second stream's batch joins the first's folder as the next one
-    runs.read_store(spark, more).write.parquet(f"{kept}/batch=1")
-    return runs.read_store(spark, kept).select("path", "size", "version")
+    for part in (every.where("file_id % 2 = 0"), every.where("file_id % 3 = 0").withColumn("size", F.col("size") + 1)):
+        part.drop("file_id").write.mode("append").parquet(listed)
+        runs.refresh_store(spark.readStream.schema("path string, size long, mtime timestamp").parquet(listed), kept, 2, lambda todo: todo)
+    return store.KeptStore(spark, kept).read().select("path", "size", "version")
 
 
 # Labels

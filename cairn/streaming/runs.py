@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from cairn.operators.ledger import LEDGER
 from cairn.session import scratch_path
 from cairn.sources import store
+from cairn.sources.store import KeptStore
 
 
 def run_status(events: DataFrame) -> DataFrame:
@@ -61,30 +61,22 @@ def first_seen(files: DataFrame) -> DataFrame:
     return files.groupBy("digest").applyInPandasWithState(_first_seen, "path string, digest string, copy_of string", "first string", "append", GroupStateTimeout.NoTimeout)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame | None:
-    """The store below ``path``, a folder to a batch: of each path the row that came last; None before the first batch."""
-    try:
-        rows = spark.read.option("mergeSchema", True).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    columns = [c for c in rows.columns if c not in ("path", "batch")]
-    return rows.groupBy("path").agg(F.max_by(F.struct(*columns), "batch").alias("last")).select("path", "last.*")
+def refresh_store(listing: DataFrame, path: str, version: int, compute: Callable[[DataFrame], DataFrame], stream: str = "listings") -> None:
+    """Takes all new listings of a stream (path, size, mtime, ...) into the store below ``path``; ``KeptStore.read`` reads it.
 
-
-def refresh_store(listing: DataFrame, path: str, version: int, compute, name: str = "features") -> None:
-    """Takes new listings from a stream into the store below ``path``, a folder to a batch; ``read_store`` reads it.
-
-    ``compute`` turns files into feature rows; what the store knows already isn't computed again, and
-    a path that changed has its new row in place of the old one. A batch that is tried again
-    replaces its own folder.
+    ``compute`` turns files into feature rows, one a path; what the store knows already isn't computed again, and a path that changed has its
+    new row in place of the old one. Of a path that a batch lists twice the later ``mtime`` counts. The stream's progress lies
+    in the store, by the name ``stream``: a later call goes on where the last one ended, and a batch that is tried again after it was
+    committed changes nothing. Streams of different names share a store; each commit has the next number of all.
     """
-    spark = listing.sparkSession
+    kept = KeptStore(listing.sparkSession, path)
 
     def take_in(batch: DataFrame, n: int) -> None:
-        have = read_store(spark, path)
-        todo = batch if have is None else store.to_do(batch, have, version)
-        compute(todo).withColumn("version", F.lit(version)).write.mode("overwrite").parquet(f"{path}/batch={n}")
-
-    listing.writeStream.option("checkpointLocation", scratch_path(spark, name)).trigger(availableNow=True).foreachBatch(take_in).start().awaitTermination()
+        if kept.has(stream, n):
+            return
+        once = batch.groupBy("path").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "path"]), F.struct("mtime", "size")).alias("r")).select("path", "r.*")
+        have = kept.read()
+        todo = once if have is None else store.to_do(once, have, version)
+        kept.commit(compute(todo).withColumn("version", F.lit(version)), stream, n)
+
+    listing.writeStream.option("checkpointLocation", f"{kept.path}/progress/{stream}").trigger(availableNow=True).foreachBatch(take_in).start().awaitTermination()

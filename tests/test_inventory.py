@@ -317,24 +317,5 @@ def test_review(spark):
     assert paths_of(review.exclusions(old, shown, spark.createDataFrame([("/2",)], "path string"))) == ["/2", "/9"]
 
 
-def test_store_refresh(spark, tmp_path):
-    rows = [(f"/x/{i}", i, JAN) for i in range(5)]
-    files = spark.createDataFrame(rows, "path string, size long, mtime timestamp")
-    files.write.parquet(str(tmp_path / "in"))
-    calls = []
-
-    def compute(df):
-        calls.append(df.count())
-        return df.select("path", "size", "mtime", F.lit(1).alias("phash"))
-
-    read = lambda: spark.readStream.schema(files.schema).parquet(str(tmp_path / "in"))
-    runs.refresh_store(read(), str(tmp_path / "store"), 3, compute)
-    runs.refresh_store(read(), str(tmp_path / "store2"), 3, compute)
-    have = spark.read.parquet(str(tmp_path / "store"))
-    assert calls == [5, 5] and have.count() == 5
-    assert store.to_do(files, have, 3).count() == 0 and store.to_do(files, have, 4).count() == 5
-    assert store.known(files, have, 3).count() == 5
-
-
 def test_wildcards_are_anchored():
     assert re.fullmatch(layout._glob("a?[!b]*").replace(r"\z", r"\Z"), "axc.txt") and not re.fullmatch(layout._glob("a?[!b]*").replace(r"\z", r"\Z"), "axb")
