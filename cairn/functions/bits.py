@@ -60,12 +60,3 @@ def with_low_frequencies(df: DataFrame, pixels: str, out: str = "low") -> DataFr
             yield batch.drop(columns=pixels).assign(**{out: list(low)})
 
     return df.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"`{out}` array<double>"]))
-
-
-def sample_bits(words: list[Column], positions: list[int]) -> Column:
-    """A key of the chosen bits of a 256-bit value that is held in four BIGINTs."""
-    key = F.lit(0).cast("long")
-    for p in positions:
-        bit = F.shiftrightunsigned(words[p // 64], 63 - p % 64).bitwiseAND(F.lit(1))
-        key = F.shiftleft(key, 1).bitwiseOR(bit)
-    return key

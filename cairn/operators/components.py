@@ -41,3 +41,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     found = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node")).union(loops.join(e.select(F.col("u").alias("node")), "node", "left_anti")).distinct()
     return found.union(roots.select("node", F.col("node").alias("component")))
+
+
+def joined_components(labels: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``labels`` (node, component) after more ``edges``: components that these join become one, named by its smallest node.
+
+    Only the new edges are run over, from component to component; earlier edges aren't looked at again. A node that had no label
+    was a component of its own; it has one now if an edge names it.
+    """
+    of = lambda end, name: labels.select(F.col("node").alias(end), F.col("component").alias(name))
+    ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
+    lifted = ends.join(of("x", "cx"), "x", "left").join(of("y", "cy"), "y", "left").select(F.coalesce("cx", "x").alias("a"), F.coalesce("cy", "y").alias("b")).distinct()
+    moved = materialize(connected_components(lifted), "moved")
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    old = labels.join(to, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return old.unionByName(moved.join(labels.select("node"), "node", "left_anti"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions import bits
+from cairn.functions import bits, windows
+from cairn.operators import partial
 from cairn.sources.inventory import CATEGORIES
 
 FILES = """
@@ -102,13 +103,30 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signatures(spark, sf_dir).select("*", F.concat(F.lit("/img/"), F.col("item_id").cast("string")).alias("path"), F.timestamp_seconds(F.col("item_id")).alias("mtime"), F.when(F.col("item_id") % 50 == 0, F.lit("same")).otherwise(F.col("item_id").cast("string")).alias("digest"))
 
 
-def shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes of five-word runs of documents and of benchmark items (from 10**9 on), in order; all of each item."""
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, and benchmark items (from 10**9 on), with their words."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
     bench = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("item_id"), "text")
-    words = docs.unionByName(bench).select("item_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w"))
-    runs = F.when(F.size("w") >= 5, F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.sha2(F.array_join(F.slice("w", i + 1, F.lit(5)), " "), 256)))
-    return words.select("item_id", F.posexplode_outer(runs).alias("pos", "hex")).where("hex is not null")
+    return docs.unionByName(bench)
+
+
+def document_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as items, as wide as they have words; the vector of a document's own number makes its signatures, and one without is flat.
+
+    Every tenth, of those that end in 3, has the signs of the first few values of its neighbour's vector changed.
+    """
+    e = signatures_of(table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 64).alias("e")))
+    own = files(spark, sf_dir).select(F.col("file_id").alias("item_id"), "path", "size", "mtime", F.sha2(F.col("content").cast("binary"), 256).alias("digest"), F.size(windows.words(F.col("content"))).cast("long").alias("width"))
+    turned = (F.col("item_id") % 10 == 3).alias("turned")
+    met = own.select("*", turned, (F.col("item_id") - turned.cast("long")).alias("vec_id")).join(e, ["vec_id", "turned"], "left")
+    return met.select("item_id", "path", "size", "mtime", "digest", "phash", "dhash", "width", F.lit(1).cast("long").alias("height"), F.col("phash").isNull().alias("flat"))
+
+
+def signatures_of(vectors: DataFrame) -> DataFrame:
+    """Both signatures of each vector (vec_id, e), as it is and with some signs changed (``turned``)."""
+    turned = F.transform("e", lambda x, i: F.when(i < 1 + F.floor(F.col("vec_id") / 10) % 8, -x).otherwise(x))
+    every = vectors.select("vec_id", "e", F.lit(False).alias("turned")).unionByName(vectors.select("vec_id", turned.alias("e"), F.lit(True).alias("turned")))
+    return every.select("vec_id", "turned", bits.frequency_signature(F.col("e")).alias("phash"), bits.gradient_signature(F.col("e")).alias("dhash"))
 
 
 # DuckDB's form of what is made of columns above.
@@ -131,3 +149,58 @@ from (select item_id, vec_id, e, list_sort(e[2:64])[32] as m from (
   union all
   select vec_id + 1000000, vec_id, list_transform(range(64), lambda i: case when i < 1 + (vec_id // 10) % 16 then -embedding[i + 1] else embedding[i + 1] end)
   from embeddings where vec_id % 10 = 0))"""
+
+
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_LEAST = ", ".join(f"min(h[{k + 1}]) over reach as m{k}" for k in range(windows.PARTS))
+_BYTES = ", ".join(f"m{k} & 255" for k in range(windows.PARTS))
+DUCK_TEXTS = "select doc_id as item_id, text from documents union all select item_id + 1000000000, text from benchmark"
+#: (item_id, pos, c): descriptors of the table ``texts`` as lists of 32 bytes.
+DUCK_DESCRIBED = f"""
+select s.item_id, s.pos, s.c from (
+  select item_id, pos, [{_BYTES}] as c, m from (
+    select item_id, pos, greatest(1, n - {windows.WIDTH - 1}) as m, {_LEAST} from (
+      select item_id, pos, h, count(*) over (partition by item_id) as n from (
+        select item_id, unnest(w) as w, unnest(range(len(w))) as pos from (select item_id, {_WORDS} as w from texts))
+      join (select w, list_transform(range({windows.PARTS}), lambda k: ('0x' || substr(sha256((k // 8)::varchar || ' ' || w), (k % 8 * 8 + 1)::int, 8))::bigint) as h
+            from (select distinct unnest({_WORDS}) as w from texts)) using (w))
+    window reach as (partition by item_id order by pos rows between current row and {windows.WIDTH - 1} following)) where pos < m) s
+join (select distinct item_id, (v % 4294967296)::bigint as pos from (
+    select item_id, pos, m, min(h1::hugeint * 4294967296 + pos) over (partition by item_id order by pos rows between current row and {windows.SPAN - 1} following) as v from (
+      select item_id, pos, h1, greatest(1, count(*) over (partition by item_id) - {windows.WIDTH - 1}) as m from (
+        select item_id, pos, ('0x' || substr(sha256('0 ' || w), 1, 8))::bigint as h1 from (select item_id, unnest(w) as w, unnest(range(len(w))) as pos from (select item_id, {_WORDS} as w from texts))))
+    where pos < m) where pos <= greatest(0, m - {windows.SPAN})) t on t.item_id = s.item_id and t.pos = s.pos"""
+_SAMPLES = "[" + ", ".join("[" + ", ".join(str(p + 1) for p in t) + "]" for t in partial.samples()) + "]"
+#: (a, b, votes) from ``described`` (item_id, pos, c).
+DUCK_CANDIDATES = f"""
+select k1.item_id as a, k2.item_id as b, count(*) as votes from keys k1 join keys k2 on k1.key = k2.key and k1.item_id < k2.item_id group by all having count(*) >= {partial.VOTES}"""
+DUCK_KEYS = f"""
+select distinct item_id, unnest(list_transform(range({partial.TABLES}), lambda t: array_to_string(list_concat([t], list_transform(list_slice(({_SAMPLES})[t + 1], 1, n), lambda p: c[p])), ' '))) as key
+from described, (select case when count(*) > 1 then ceil((log2(count(*)) + 1) / 8)::int else 1 end as n from described)"""
+_WORDS32 = ", ".join(f"(c[{4 * k + 1}] * 16777216 + c[{4 * k + 2}] * 65536 + c[{4 * k + 3}] * 256 + c[{4 * k + 4}])::bigint as e{k}" for k in range(8))
+_FAR = " + ".join(f"bit_count(xor(x.e{k}, y.e{k}))::int" for k in range(8))
+#: (a, b, inliers, coverage_of_a, coverage_of_b) from ``described``, ``pairs`` (a, b) and ``sizes`` (item_id, length). Every two descriptors with an equal sub-block are compared.
+DUCK_CONTAINED = """
+turned as (select case when y.length > x.length then a else b end as small, case when y.length > x.length then b else a end as large, least(x.length, y.length) as n_small, greatest(x.length, y.length) as n_large
+           from pairs join sizes x on x.item_id = a join sizes y on y.item_id = b),
+placed as (select * from turned where n_small >= {least} and n_small >= 0.15 * n_large),
+worded as materialized (select item_id, pos, c, {words32}, list_transform(range(16), lambda k: k * 65536 + c[2 * k + 1] * 256 + c[2 * k + 2]) as subs from described),
+distinct_ as materialized (select item_id, subs, min(pos) as j, count(*) as times, {any32} from worded group by item_id, c, subs),
+mine as (select item_id, pos, unnest(subs) as sub from worded), theirs as (select item_id, j, unnest(subs) as sub from distinct_),
+met as materialized (select distinct small, large, m.pos as i, t.j from placed join mine m on m.item_id = small join theirs t on t.item_id = large and t.sub = m.sub),
+far as (select small, large, i, met.j, y.times, {far} as d from met join worded x on x.item_id = small and x.pos = i join distinct_ y on y.item_id = large and y.j = met.j),
+ordered as (select *, row_number() over (partition by small, large, i order by d, j) as r, lead(d) over (partition by small, large, i order by d, j) as second from far),
+matches as (select small, large, i, j from ordered where r = 1 and times = 1 and d < 64 and (second is null or d < 0.8 * second)),
+stepped as (select *, j - i as o, coalesce((j - i - lag(j - i) over (partition by small, large order by j - i, i) > {drift})::int, 0) as new from matches),
+linked as (select *, sum(new) over (partition by small, large order by o, i rows unbounded preceding) as chain from stepped),
+chains as (select small, large, chain, count(*) as n, min(o) as least, min(i) as i0, max(i) as i1, arg_min(o, i) as o0, arg_max(o, i) as o1 from linked group by all),
+largest as (select *, sum(n) over (partition by small, large) as total from chains qualify row_number() over (partition by small, large order by n desc, least) = 1),
+covered as (select small, large, n as inliers, greatest(0, least(n_small, n_large - o1) - greatest(0, -o0)) / n_small as of_small, greatest(0, least(n_large, n_small + o1) - greatest(0, o0)) / n_large as of_large
+            from largest join placed using (small, large) where n >= {least} and n >= 0.3 * total and i1 - i0 + {width} >= 0.2 * n_small),
+contained as (select least(small, large) as a, greatest(small, large) as b, inliers, case when small < large then of_small else of_large end as coverage_of_a, case when small < large then of_large else of_small end as coverage_of_b
+              from covered where least(of_small, of_large) >= 0.15 and greatest(of_small, of_large) >= 0.85)"""
+
+
+def duck_contained(level: str) -> str:
+    any32 = ", ".join(f"any_value(e{k}) as e{k}" for k in range(8))
+    return DUCK_CONTAINED.replace("{words32}", _WORDS32).replace("{any32}", any32).replace("{far}", _FAR).replace("{least}", str(partial.INLIERS[level])).replace("{drift}", str(partial.DRIFT)).replace("{width}", str(windows.WIDTH))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions import bits, dates, paths
-from cairn.operators import components, exact, groups, hamming, ledger, partial, review
+from cairn.functions import bits, dates, paths, windows
+from cairn.operators import components, exact, groups, hamming, ledger, partial, report, review
 from cairn.plans import layout, views
 from cairn.session import materialize, scratch_path
 from cairn.sources import inventory, store
@@ -419,37 +419,78 @@ def grid_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Partial copies
 
+LEVEL = "loose"
+_DESCRIBED = f"with recursive every as ({views.DUCK_TEXTS}), named as (select item_id, text, min(item_id) over (partition by text) as class_id from every), texts as (select item_id, text from named where item_id = class_id), described as materialized ({views.DUCK_DESCRIBED}), keys as materialized ({views.DUCK_KEYS}), candidates as materialized ({views.DUCK_CANDIDATES})"
+_COPIED = "select class_id as a, item_id as b from named where item_id <> class_id"
+_LENGTHS = f"select item_id, len({views._WORDS}) as length from texts"
 
-def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hexed = views.shingles(spark, sf_dir)
-    return materialize(hexed.select("item_id", "pos", *[d.alias(f"d{i}") for i, d in enumerate(partial.descriptors_of_hex("hex"))]), "descriptors")
 
+def _classed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts of the class representatives, their descriptors, and each other member with its representative."""
+    every = views.texts(spark, sf_dir).withColumn("digest", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
+    classed = materialize(partial.copies(every, "digest"), "classes")
+    texts = every.join(classed.where("item_id = class_id").select("item_id"), "item_id", "left_semi")
+    return texts, materialize(windows.describe(texts), "described"), classed.where("item_id <> class_id").select(F.col("class_id").alias("a"), F.col("item_id").alias("b"))
 
-def _classed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Descriptors of the class representatives, and each other member with its representative."""
-    described = _described(spark, sf_dir)
-    classed = materialize(partial.classes(described), "classes")
-    copies = classed.where("item_id <> class_id").select(F.col("class_id").alias("a"), F.col("item_id").alias("b"))
-    return materialize(partial.representatives(described, classed), "representatives"), copies
 
-
-@query()
+@query(f"{_DESCRIBED} select a, b, votes, 'candidate' as relation from candidates union all select *, null, 'copy' from ({_COPIED})")
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidate pairs of class representatives; beside them, of relation copy, each further member with its representative."""
-    described, copies = _classed(spark, sf_dir)
+    """All candidate pairs of different texts; beside them, of relation copy, each further equal text with its representative."""
+    _, described, copies = _classed(spark, sf_dir)
     found = partial.candidates(described).withColumn("relation", F.lit("candidate"))
     return found.unionByName(copies.withColumn("relation", F.lit("copy")), allowMissingColumns=True)
 
 
-@query()
+@query(f"{_DESCRIBED}, sizes as ({_LENGTHS}), pairs as (select a, b from candidates), {views.duck_contained(LEVEL)} select *, 'contained' as relation from contained union all select a, b, null, 1.0, 1.0, 'copy' from ({_COPIED})")
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of one class representative in another, aligned; members of a class as in ``lsh_candidates``."""
-    described, copies = _classed(spark, sf_dir)
-    found = partial.containment_pairs(described, partial.candidates(described)).withColumn("relation", F.lit("contained"))
+    """Texts that hold most of another, though words were changed, put in or left out; equal texts as in ``lsh_candidates``."""
+    texts, described, copies = _classed(spark, sf_dir)
+    sizes = materialize(windows.lengths(texts), "lengths")
+    found = partial.containment_pairs(described, partial.candidates(described), sizes, LEVEL, windows.WIDTH).withColumn("relation", F.lit("contained"))
     whole = copies.select("*", *[F.lit(1.0).alias(f"coverage_of_{x}") for x in "ab"], F.lit("copy").alias("relation"))
     return found.unionByName(whole, allowMissingColumns=True)
 
 
+_REPORT = f"""with recursive every as (select doc_id as item_id, text from documents), named as (select item_id, text, min(item_id) over (partition by text) as class_id from every where text is not null),
+texts as (select item_id, text from every where item_id not in (select item_id from named where item_id <> class_id)), described as materialized ({views.DUCK_DESCRIBED}), keys as materialized ({views.DUCK_KEYS}), candidates as materialized ({views.DUCK_CANDIDATES}),
+vectors as (select vec_id, embedding[1:64] as e from embeddings), both_ways as (select vec_id, false as turned, e from vectors union all select vec_id, true, list_transform(range(64), lambda i: case when i < 1 + (vec_id // 10) % 8 then -e[i + 1] else e[i + 1] end) from vectors),
+signed as materialized (select vec_id, turned, list_aggregate(list_transform(e, lambda x: case when x > m then '1' else '0' end), 'string_agg', '')::bit as phash, list_aggregate(list_transform(range(64), lambda i: case when e[(i + 1) % 64 + 1] > e[i + 1] then '1' else '0' end), 'string_agg', '')::bit as dhash
+  from (select *, list_sort(e[2:64])[32] as m from both_ways)),
+items as materialized (select file_id as item_id, path, size, mtime, len(list_filter(string_split_regex(coalesce(content, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) as width, sha256(content) as digest, phash, dhash from ({views.DUCK_FILES}) f
+  left join signed on vec_id = file_id - (file_id % 10 = 3)::int and turned = (file_id % 10 = 3)),
+near as (select x.item_id as a, y.item_id as b from items x join items y on x.item_id < y.item_id and bit_count(xor(x.phash, y.phash)) <= 14 and bit_count(xor(x.dhash, y.dhash)) <= 20
+  and greatest(x.width, y.width) / greatest(least(x.width, y.width), 1e-6) < 1.08),
+links as (select class_id as a, item_id as b from named where item_id <> class_id union all select a, b from near),
+both_ends as (select a, b from links union select b, a from links), walk(node, low) as (select a, a from both_ends union select b, low from walk join both_ends on node = a), labels as materialized (select node, min(low) as component from walk group by node),
+ends as (select *, unnest([a, b]) as e from candidates), best as (select distinct a, b from (select * from ends qualify row_number() over (partition by e order by votes desc, a, b) <= 6)),
+pairs as (select a, b from best left join labels x on x.node = a left join labels y on y.node = b where coalesce(x.component, a) <> coalesce(y.component, b)),
+sizes as (select item_id, width as length from items), {views.duck_contained(LEVEL)},
+more_links as (select a, b from links union all select a, b from contained), more_ends as (select a, b from more_links union select b, a from more_links),
+more_walk(node, low) as (select a, a from more_ends union select b, low from more_walk join more_ends on node = a), grouped as materialized (select node as item_id, min(low) as group_id from more_walk group by node),
+ranked as (select *, row_number() over w as rank, first_value(item_id) over w as k_id, first_value(digest) over w as k_digest, first_value(width) over w as k_width from items join grouped using (item_id) window w as (partition by group_id order by width desc, size desc, mtime, length(path), path)),
+told as (select *, mine < 0.9 and theirs >= 0.85 as cropped, theirs < 0.9 and mine >= 0.85 as holds from (select r.*, coalesce(x.coverage_of_a, y.coverage_of_b) as mine, coalesce(x.coverage_of_b, y.coverage_of_a) as theirs
+  from ranked r left join contained x on x.a = k_id and x.b = item_id left join contained y on y.b = k_id and y.a = item_id)),
+members as (select group_id, item_id, path, size, rank, case when rank = 1 then 'keeper' when digest = k_digest then 'exact' when cropped then 'cropped' when holds then 'contains' when width > 0 and width < 0.9 * k_width then 'smaller' else 'similar' end as relation, mine, width / k_width as shrunk from told)"""
+
+
+def _report(spark: SparkSession, sf_dir: str) -> report.Report:
+    docs = views.document_items(spark, sf_dir)
+    texts = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return report.find_duplicates(materialize(docs, "items"), windows.describe(texts), LEVEL, windows.WIDTH)
+
+
+@query(f"{_REPORT} select group_id, item_id, path, rank, relation, case relation when 'cropped' then mine when 'smaller' then shrunk end as share from members")
+def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the search over documents: exact copies, near signatures, capped candidates, containment, groups."""
+    return _report(spark, sf_dir).members.select("group_id", "item_id", "path", "rank", "relation", "share")
+
+
+@query(f"""{_REPORT} select group_id, case when bool_and(relation = 'exact') filter (rank > 1) then 'Exact copies' when bool_or(relation in ('cropped', 'contains')) filter (rank > 1) then 'Includes cropped versions' else 'Near-duplicates' end as title,
+count(*) as members, coalesce(sum(size) filter (rank > 1), 0)::bigint as reclaimable, arg_min(path, rank) as keeper from members group by group_id""")
+def duplicate_report_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir).groups
+
+
 # Ledger
 
 _JOURNAL = f"with journal as materialized ({views.DUCK_JOURNAL})"
