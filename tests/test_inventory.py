@@ -232,79 +232,6 @@ def test_relations(spark):
     assert (g.title, g.members, g.reclaimable, g.keeper) == ("Includes cropped versions", 5, 260, "/a")
 
 
-def test_candidates_keep_the_greedy_rule():
-    rng = random.Random(2)
-    for _ in range(200):
-        n = rng.randint(2, 14)
-        pairs = {(a, b): rng.randint(6, 9) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.8}
-        order = sorted(pairs, key=lambda p: (-pairs[p], p))
-        taken, greedy, rank = [0] * n, set(), {}
-        for a, b in order:
-            if taken[a] < partial.PER_ITEM or taken[b] < partial.PER_ITEM:
-                greedy.add((a, b))
-                taken[a] += 1
-                taken[b] += 1
-        for x in range(n):
-            for k, p in enumerate([p for p in order if x in p], 1):
-                rank[p, x] = k
-        assert greedy == {p for p in order if min(rank[p, p[0]], rank[p, p[1]]) <= partial.PER_ITEM}
-
-
-def test_containment(spark):
-    rng = np.random.default_rng(4)
-    long = rng.integers(-(2**63), 2**63, (60, 4))
-    part = long[20:45].copy()
-    other = rng.integers(-(2**63), 2**63, (40, 4))
-    rows = [(i, k, *map(int, d)) for i, ds in ((1, long), (2, part), (3, other)) for k, d in enumerate(ds)]
-    described = spark.createDataFrame(rows, "item_id long, pos int, d0 long, d1 long, d2 long, d3 long")
-    got = partial.containment_pairs(described, spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")).collect()
-    assert [(r.a, r.b, r.inliers, round(r.coverage_of_a, 3), r.coverage_of_b) for r in got] == [(1, 2, 25, round(25 / 60, 3), 1.0)]
-    assert [(r.a, r.b) for r in partial.candidates(described).collect()] == [(1, 2)]
-
-
-def test_candidates_of_a_passage_that_many_items_share(spark, monkeypatch):
-    """Thirty items share a passage, four of them are copies of others: every pair is found, whatever a bucket holds."""
-    rng = np.random.default_rng(6)
-    passage = rng.integers(-(2**63), 2**63, (20, 4))
-    texts = [np.vstack([rng.integers(-(2**63), 2**63, (8, 4)), passage]) for _ in range(30)]
-    rows = [(i, k, *map(int, d)) for i, ds in enumerate(texts + texts[:4]) for k, d in enumerate(ds)]
-    described = spark.createDataFrame(rows, "item_id long, pos int, d0 long, d1 long, d2 long, d3 long")
-    classed = partial.classes(described)
-    assert {(r.item_id, r.class_id) for r in classed.collect()} == {(i, i % 30) for i in range(34)}
-    for block in (256, 7):
-        monkeypatch.setattr(partial, "BLOCK", block)
-        got = partial.candidates(partial.representatives(described, classed)).collect()
-        assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
-        assert all(r.votes >= 8 * 20 for r in got)
-    assert partial.key_bits(3 * 10**9) == 33
-
-
-def test_passage_far_into_a_long_text(spark, tmp_path, monkeypatch):
-    words = lambda name, n: [f"{name}{i}" for i in range(n)]
-    long, part = words("a", 1200), words("a", 1200)[700:1000]
-    spark.createDataFrame([(1, " ".join(long)), (2, " ".join(part)), (3, None), (4, "too short")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, " ".join(words("b", 30)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = views.shingles(spark, str(tmp_path)).groupBy("item_id").count().collect()
-    assert {r.item_id: r["count"] for r in got} == {1: 1196, 2: 296, 10**9 + 1: 26}
-    (r,) = QUERIES["containment"](spark, str(tmp_path)).collect()
-    assert (r.a, r.b, r.inliers, round(r.coverage_of_a, 6), r.coverage_of_b, r.relation) == (1, 2, 296, round(296 / 1196, 6), 1.0, "contained")
-
-
-def test_blocks_match_as_the_whole_matrix(monkeypatch):
-    rng = np.random.default_rng(8)
-    large = rng.integers(0, 2**64, (90, 4), np.uint64)
-    large[50] = large[10]
-    small = large[5:65].copy()
-    small[::3, 0] ^= np.uint64(0xFF)
-    small[1::7, 2] ^= np.uint64((1 << 64) - 1)
-    far = np.bitwise_count(small[:, None] ^ large[None]).sum(axis=2, dtype=np.int64)
-    near = np.sort(far, axis=1)
-    want = [(i, int(far[i].argmin())) for i in range(60) if near[i, 0] < partial.RATIO * near[i, 1] and near[i, 0] < partial.NEAREST]
-    for size in (1 << 22, 200):
-        monkeypatch.setattr(partial, "MATRIX", size)
-        assert partial.match(small, large) == want
-
-
 def test_review(spark):
     members = spark.createDataFrame([("g", "/1", 1, 5), ("g", "/2", 2, 6), ("h", "/3", 1, 7), ("h", "/4", 2, 8), ("h", "/5", 3, 9)], "group_id string, path string, rank int, size long")
     paths_of = lambda df: sorted(r.path for r in df.collect())
