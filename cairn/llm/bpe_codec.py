@@ -92,10 +92,10 @@ class _Chunk:
         self.doc_id = part.column(0)
         self._pieces, self._flat, self._lengths = pieces, np.array(flat, np.uint32), lengths
 
-    def name(self) -> int:
-        """By the words in order: chunks that agree in it can use each other's answers."""
+    def name(self, part: int, nth: int) -> int:
+        """By the place, the ``nth`` chunk of a partition, so equal texts in many chunks stay apart; and by the words, so that another order of rows could never pass unseen."""
         data, offsets = text_buffer(self.words)
-        h = blake2b(digest_size=8)
+        h = blake2b(digest_size=8, salt=part.to_bytes(8, "little") + nth.to_bytes(8, "little"))
         h.update(np.ascontiguousarray(offsets))
         h.update(data)
         return int.from_bytes(h.digest(), "little", signed=True)
@@ -124,14 +124,19 @@ def _parts(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, sto
     n_buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     given = given if stored else materialize(given, "texts")
+    given = given.withColumn("part", F.spark_partition_id())  # the same in both passes, which read the same files
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in portions_of_text(batches, 1, chunk_bytes):
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Chunk, int]]:
+        for nth, part in enumerate(portions_of_text(batches, 1, chunk_bytes)):
             chunk = _Chunk(part, matches(pattern))
+            yield chunk, chunk.name(part.column(2)[0].as_py(), nth)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, name in chunks(batches):
             bucket = _buckets(chunk.words, n_buckets)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            name, (data, offsets) = chunk.name(), text_buffer(chunk.words.take(pa.array(order)))
+            data, offsets = text_buffer(chunk.words.take(pa.array(order)))
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[k], cuts[k + 1]
                 row = {"bucket": [k], "chunk": [name], "numbers": [pack_numbers(np.diff(order[a:b], prepend=0))], "sizes": [pack_numbers(np.diff(offsets[a : b + 1]))], "words": [data[offsets[a] : offsets[b]].tobytes()]}
@@ -159,9 +164,8 @@ def _parts(docs: DataFrame, path: str, pattern: str, doc_id: str, text: str, sto
                 yield pa.RecordBatch.from_pydict({"chunk": [row["chunk"]], "kind": [0], "doc_id": [None], "a": [row["numbers"]], "b": [pack_numbers(sizes)], "c": [pack_numbers(ids)]}, schema=PARTS)
 
     def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in portions_of_text(batches, 1, chunk_bytes):
-            chunk = _Chunk(part, matches(pattern))
-            name, rows, n = chunk.name(), chunk.sequences(), part.num_rows
+        for chunk, name in chunks(batches):
+            rows, n = chunk.sequences(), len(chunk.doc_id)
             for i in range(0, n, SOME_TEXTS):
                 m = min(SOME_TEXTS, n - i)
                 empty = pa.nulls(m, pa.binary())

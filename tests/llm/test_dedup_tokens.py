@@ -147,7 +147,21 @@ def test_chunks_end_by_size():
         words = [w.decode() for w in chunk.words.to_pylist()]
         for i, packed in zip(part.column(0).to_pylist(), chunk.sequences().to_pylist(), strict=True):
             assert [words[n] for n in unpack_numbers(packed)] == (texts[i] or "").split()
-    assert len({c.name() for c in chunks}) == 5
+    assert len({c.name(0, i) for i, c in enumerate(chunks)}) == len({chunks[0].name(p, n) for p in range(3) for n in range(2)}) - 1 == 5
+
+
+def test_equal_texts_are_spread(spark, encoding):
+    """A thousand equal texts are many chunks, whose rows lie in many tasks."""
+    from cairn.llm import bpe_codec
+
+    text = "the same words again, " * 50
+    df = spark.range(1000).selectExpr("id as doc_id", f"'{text}' as text").repartition(4)
+    parts = bpe_codec._parts(df, RANKS, public_tokenizers.PATTERN, "doc_id", "text", False, 20_000)
+    by = parts.where("kind = 1").groupBy("chunk").count().collect()
+    assert len(by) >= 40 and max(r["count"] for r in by) <= 30 and sum(r["count"] for r in by) == 1000
+    got = encode(df, RANKS, public_tokenizers.PATTERN)
+    ids = encoding.encode_ordinary(text)
+    assert got.count() == 1000 and [list(r.ids) for r in got.select("ids").distinct().collect()] == [ids]
 
 
 def test_pieces_encode_apart(encoding):
