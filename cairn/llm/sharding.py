@@ -18,7 +18,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.session import materialize, small_side
+from cairn.session import join_counted, materialize, small_side
 
 BITS = 60
 
@@ -92,6 +92,29 @@ def _overflow(rows: DataFrame, max_bytes: int) -> DataFrame:
     return placed.withColumn("overflow", turn * (len(CLASSES) + 1) + F.col("class"))
 
 
+def _placed(hashed: DataFrame, found: DataFrame) -> DataFrame:
+    """``hashed`` with its bucket's depth, prefix and overfull: every row is joined once.
+
+    Only cells, the prefixes of the deepest depth in use, ask for a bucket at each depth; rows then join their cell, hot ones by
+    broadcast. An overfull hash stands for its cell, as the buckets beside it are no deeper.
+    """
+    deepest = found.where("not overfull").agg(F.max("depth")).first()[0] or 0
+    short = F.expr(f"shiftright(prefix, {BITS} - {deepest})")
+    n_over, n_cells = found.where("overfull").agg(F.count(F.lit(1)), F.count_distinct(short)).first()
+    if n_over > n_cells:  # two of them would share a cell
+        deepest = BITS
+    tries_at = F.when(F.col("overfull"), F.lit(deepest)).otherwise(F.col("depth"))
+    asked = found.select("depth", "prefix", "overfull", tries_at.alias("try"), F.when(F.col("overfull"), F.expr(f"shiftright(prefix, {BITS} - {deepest})")).otherwise(F.col("prefix")).alias("try_prefix"))
+    depths = [r[0] for r in asked.select("try").distinct().orderBy("try").collect()]  # at most 61
+    cell = _prefix("h", deepest)
+    cells = hashed.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    up = F.explode(F.array(*[F.struct(F.lit(d).alias("try"), F.expr(f"shiftright(cell, {deepest - d})").alias("try_prefix")) for d in depths]))
+    at = cells.select("cell", "n", up.alias("at")).select("cell", "n", "at.*").join(small_side(asked, 48), ["try", "try_prefix"]).drop("try", "try_prefix")
+    at = materialize(at, "shard-cells-placed")
+    total = at.agg(F.sum("n")).first()[0] or 0
+    return join_counted(hashed.withColumn("cell", cell), at, "cell", "n", total).drop("cell", "n")
+
+
 def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """``(key, bytes, depth, prefix, overflow, shard)`` per row of ``docs``.
 
@@ -104,13 +127,9 @@ def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: st
     rest = ["row"] * carry
     hashed = docs.select(F.col(key).alias("key"), size.alias("bytes"), hash_bits(F.col(key)).alias("h"), *[F.struct("*").alias(r) for r in rest])
     found = materialize(directory(hashed.select("h", "bytes"), max_bytes), "shard-directory")
-    depths = [r[0] for r in found.select("depth").distinct().orderBy("depth").collect()]
-    if not depths:
+    if found.isEmpty():
         return hashed.select("key", "bytes", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("overflow"), *rest, F.lit("").alias("shard"))
-    #: At most 61 depths: a row asks for its prefix at each depth in use, and one answers.
-    tries = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), _prefix("h", d).alias("prefix")) for d in depths]))
-    keyed = hashed.select("key", "bytes", "h", *rest, tries.alias("at")).select("key", "bytes", "h", *rest, "at.depth", "at.prefix")
-    placed = keyed.join(small_side(found, 32), ["depth", "prefix"])
+    placed = _placed(hashed, found)
     whole = placed.where("not overfull").withColumn("overflow", F.lit(0).cast("long"))
     columns = ["key", "bytes", "depth", "prefix", "overflow", *rest]
     if found.where("overfull").take(1):
@@ -121,9 +140,10 @@ def assign_shards(docs: DataFrame, max_bytes: int, key: str = "doc_id", text: st
 
 
 def write_shards(docs: DataFrame, path: str, max_bytes: int, key: str = "doc_id", text: str = "text") -> None:
-    """``docs`` as Parquet below ``path``, a folder to a shard, named ``b`` and its bits. Every row is written once, whatever its key."""
-    placed = assign_shards(docs, max_bytes, key, text, carry=True).select("row.*", F.concat(F.lit("b"), "shard").alias("shard"))
-    placed.repartition("shard").write.partitionBy("shard").parquet(path)
+    """``docs`` as Parquet below ``path``, a folder to a shard, named ``b`` and its bits (of column ``shard``, or ``_shard`` where ``docs`` has a column of that name). Every row is written once, whatever its key."""
+    placed = assign_shards(docs, max_bytes, key, text, carry=True).select(F.col("row"), F.concat(F.lit("b"), "shard").alias("_shard"))
+    folder = "shard" if "shard" not in docs.columns else "_shard"
+    placed.select("row.*", F.col("_shard").alias(folder)).repartition(folder).write.partitionBy(folder).parquet(path)
 
 
 def oracle(max_bytes: int, deepest: int = 40) -> str:

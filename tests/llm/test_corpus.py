@@ -58,6 +58,10 @@ def test_shards_are_written_with_null_and_repeated_keys(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"), 1000)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, back.select(*df.columns).collect()), key=repr) == sorted(rows, key=repr)
+    clash = df.withColumnRenamed("extra", "shard")
+    sharding.write_shards(clash, str(tmp_path / "clash"), 1000)
+    back = spark.read.parquet(str(tmp_path / "clash"))
+    assert sorted(map(tuple, back.select(*clash.columns).collect()), key=repr) == sorted(rows, key=repr) and back.select("_shard").distinct().count() > 3
     assert back.groupBy("shard").agg(F.sum(F.length("text")).alias("b")).where("b >= 1040").count() == 0
 
 
