@@ -14,6 +14,9 @@ unchanged, one of five words, a single shingle, is missed with a probability of
 Retrieved notices are then verified: of a notice's shingles, the share that stands in the
 stretch of text around the windows that retrieved it, exactly, must reach ``LEAST_CONTAINED`` per cent.
 
+A band of a window can only equal a notice's if its least shingles are the notice's too. So texts that share
+no shingle with any notice, all but a few, are told apart first, by a join with the notices' shingles, and are not banded.
+
 A notice of fewer than five words is one shingle of its own length and is found where it stands
 whole; texts are cut at the lengths that such notices have.
 """
@@ -75,14 +78,15 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "MPL-2.0": ["Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+    "MPL-2.0": ["Mozilla Public License Version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "EPL-2.0": ["Eclipse Public License - v 2.0", "Eclipse Public License, Version 2.0"],
     "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
 }
 #: Notices of fewer than five words.
-SHORT_TEMPLATES = {"All-rights-reserved": ["All rights reserved."], "MIT": ["MIT License Copyright (c)"]}
+SHORT_TEMPLATES = {"All-rights-reserved": ["All rights reserved."], "MIT": ["MIT License Copyright (c)"], "CC0-1.0": ["CC0 1.0 Universal"]}
 #: Identifiers that stand in tags of the form ``SPDX-License-Identifier: MIT``.
 TAGGED = "MIT Apache-2.0 GPL-3.0 GPL-2.0 LGPL-3.0 LGPL-2.1 AGPL-3.0 BSD-3-Clause BSD-2-Clause CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC0-1.0 MPL-2.0 ISC BSL-1.0 Unlicense Zlib EPL-2.0".split()
 
@@ -149,6 +153,14 @@ def _short_runs(rows: DataFrame, text: str, lengths: list[int], *keep: str) -> D
     return windows.select(*keep, "at", F.explode(F.array(*runs)).alias("key")).where("key is not null")
 
 
+def _with_known(named: DataFrame, known: DataFrame) -> DataFrame:
+    """The texts that share a shingle with a notice, as rows of their own in the shared folder."""
+    shingles = small_side(materialize(known.select(F.explode("wanted").alias("s")).distinct(), "license-shingles"), 16)
+    each = _shingled(named, "text").select("doc_id", "version", F.explode_outer("shingles").alias("s")).where("s is not null")
+    ids = materialize(each.join(shingles, "s", "left_semi").select("doc_id", "version").distinct(), "license-texts")
+    return materialize(named.join(small_side(ids, 24), ["doc_id", "version"], "left_semi"), "license-bodies")
+
+
 def license_matches(docs: DataFrame, notices: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, license, containment, at_word)`` per document and license found in it.
 
@@ -166,7 +178,8 @@ def license_matches(docs: DataFrame, notices: DataFrame, doc_id: str = "doc_id",
     known = _shingled(notices.select("license", "notice", "text"), "text").withColumn("wanted", F.array_distinct("shingles"))
     known = materialize(known.where(F.size("wanted") > 0), "license-notices")
     is_long = F.size("shingles") >= LONG + STRIDE - SHINGLE
-    shingled, found = _shingled(named, "text"), []
+    with_any = _with_known(named, known)
+    shingled, found = _shingled(with_any, "text"), []
     for keys_of, own in ((lambda x, *keep: _long_keys(x, 1 if "license" in keep else STRIDE, *keep), known.where(is_long)), (_short_keys, known.where(~is_long))):
         index = materialize(keys_of(own, "license", "notice").distinct(), "license-index")
         if index.take(1):
@@ -174,7 +187,7 @@ def license_matches(docs: DataFrame, notices: DataFrame, doc_id: str = "doc_id",
     found = materialize(reduce(DataFrame.unionByName, found, named.limit(0).selectExpr("doc_id", "version", "'' as license", "0 as notice")).distinct(), "license-candidates")
 
     ids = small_side(found.select("doc_id").distinct(), 16)
-    texts = _shingled(named.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "version"]), "text")
+    texts = _shingled(with_any.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "version"]), "text")
     both = found.join(texts, ["doc_id", "version"]).join(known.select("license", "notice", "wanted"), ["license", "notice"])
     # where the notice's shingles stand, and of these the most that fit one stretch of its length and a half
     at = both.withColumn("hits", F.filter(F.transform("shingles", lambda s, i: F.when(F.array_contains("wanted", s), F.struct(i.alias("i"), s.alias("s")))), lambda h: h.isNotNull()))
