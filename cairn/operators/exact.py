@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.ranks import running
+
 
 def with_shared_size(files: DataFrame) -> DataFrame:
     """Files whose size another file has: only these need a digest. A semi join, so no group is gathered."""
@@ -19,12 +21,12 @@ def digests(files: DataFrame, content: str = "content") -> DataFrame:
 def exact_members(files: DataFrame) -> DataFrame:
     """``(digest, rank, path, size, mtime, keep)`` of files with equal content; rank 1 is kept.
 
-    Only sizes that occur twice are digested. Null content is unreadable: in no group.
+    Only sizes that occur twice are digested. Null content is unreadable: in no group. However many copies a content has, no task ranks them all.
     """
     signed = digests(with_shared_size(files).select("path", "size", "mtime", "content")).where("digest is not null")
     shared = signed.groupBy("digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest")
-    order = Window.partitionBy("digest").orderBy(F.desc("size"), F.asc("mtime"), F.char_length("path"), "path")
-    return signed.join(shared, "digest", "left_semi").withColumn("rank", F.row_number().over(order)).withColumn("keep", F.col("rank") == 1)
+    ranked = running(signed.join(shared, "digest", "left_semi"), ["digest"], [-F.col("size"), "mtime", F.char_length("path"), "path"])
+    return ranked.withColumn("rank", F.col("rank").cast("int")).withColumn("keep", F.col("rank") == 1)
 
 
 def exact_groups(files: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import paths
+from cairn.session import materialize, small_side
 
 EVENT = "type string, id string, operation string, source string, dest string, started timestamp, path string, src string, dst string, size long, finished timestamp, transferred long, skipped long, failed long, bytes long, cancelled boolean, at timestamp, restored long, problems long"
 LEDGER = f"run_id string, seq long, {EVENT}"
@@ -23,13 +24,23 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def read_journals(spark: SparkSession, path: str) -> DataFrame:
     """Foreign journals, a JSON-lines file to a run: blank lines are passed over, all from the first broken line on is left out.
 
-    ``run_id`` is the file, ``seq`` the line. A journal is one run's events and so is read whole.
+    ``run_id`` is the file, ``seq`` the line. Spark cuts long files at line ends; a line's number is its place in its own piece and
+    the number of lines in the pieces before, so a file of any length is read by many tasks.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("run_id"), F.posexplode(F.split("value", "\n")).alias("seq", "line"))
-    parsed = whole.where(F.trim("line") != "").withColumn("e", F.from_json("line", EVENT + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"}))
-    broken = parsed.where("e._corrupt_record is not null or e is null").groupBy("run_id").agg(F.min("seq").alias("_broken"))
-    good = parsed.join(broken, "run_id", "left").where("_broken is null or seq < _broken")
-    return good.select("run_id", F.col("seq").cast("long").alias("seq"), "e.*").drop("_corrupt_record")
+    file, piece = F.col("_metadata.file_path").alias("run_id"), F.col("_metadata.file_block_start").alias("piece")
+    lines = spark.read.option("lineSep", "\n").text(path).select(file, piece, F.monotonically_increasing_id().alias("at"), "value")
+    event = F.from_json("value", EVENT + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = lines.withColumn("e", F.when(F.trim("value") != "", event)).withColumn("broken", (F.trim("value") != "") & (F.col("e").isNull() | F.col("e._corrupt_record").isNotNull()))
+    parsed = materialize(parsed.drop("value"), "journal-lines")
+    # a piece's lines follow each other in one task, so their numbers there differ as their places do
+    pieces = parsed.groupBy("run_id", "piece").agg(F.min("at").alias("start"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("broken"), F.col("at"))).alias("bad"))
+    before = F.sum("n").over(Window.partitionBy("run_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))  # a row a piece
+    placed = pieces.withColumn("offset", F.coalesce(before, F.lit(0)) - F.col("start"))
+    end = F.min(F.col("bad") + F.col("offset")).over(Window.partitionBy("run_id"))
+    placed = materialize(placed.withColumn("end", end).select("run_id", "piece", "offset", "end"), "journal-pieces")
+    seq = F.col("at") + F.col("offset")
+    good = parsed.where("e is not null").join(small_side(placed, 256), ["run_id", "piece"]).where(F.col("end").isNull() | (seq < F.col("end")))
+    return good.select("run_id", seq.alias("seq"), "e.*").drop("_corrupt_record")
 
 
 def run_summaries(journal: DataFrame) -> DataFrame:

@@ -55,11 +55,11 @@ def after_removal(members: DataFrame, removed: DataFrame) -> DataFrame:
     return left.join(groups, "group_id", "left_semi")
 
 
-def common_parent(paths: DataFrame) -> DataFrame:
-    """The longest folder that all of ``path`` lie below: what the first and the last in order share."""
-    ends = paths.select(F.split(F.regexp_extract("path", "(?s)^(.*)/[^/]*$", 1), "/").alias("p")).agg(F.min("p").alias("a"), F.max("p").alias("b"))
+def common_parent(paths: DataFrame, *by: str) -> DataFrame:
+    """The longest folder that all of ``path`` lie below, of each group ``by``: what the first and the last in order share."""
+    ends = paths.select(*by, F.split(F.regexp_extract("path", "(?s)^(.*)/[^/]*$", 1), "/").alias("p")).groupBy(*by).agg(F.min("p").alias("a"), F.max("p").alias("b"))
     shared = F.aggregate(F.sequence(F.lit(0), F.least(F.size("a"), F.size("b")) - 1), F.lit(0), lambda n, i: F.when((n == i) & (F.get("a", i) == F.get("b", i)), n + 1).otherwise(n))
-    return ends.select(F.array_join(F.slice("a", F.lit(1), shared), "/").alias("folder"))
+    return ends.select(*by, F.array_join(F.slice("a", F.lit(1), shared), "/").alias("folder"))
 
 
 def quarantine(members: DataFrame, marks: DataFrame, dest: str) -> DataFrame:

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import dates, paths
+from cairn.operators.ranks import free_numbers, running
+from cairn.session import materialize
 from cairn.sources.inventory import CATEGORIES
 
 #: Times that differ by no more are the same.
@@ -146,14 +148,52 @@ def _claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "dest_name", "status"])
 
 
+def _alike(rows: DataFrame, at_dest: DataFrame, key: list[str]) -> DataFrame:
+    """``_claims``' result for roots whose files all have one name: ``lo``, where ``held`` tells that a file in place has it.
+
+    The name goes to the first file; if it lies at the destination, to the first of the same size instead. All others are
+    numbered in order, past the numbers that lie there. Ranks and free numbers are found range by range, so a root may have any number of files.
+    """
+    there = at_dest.groupBy(*key, F.col("name_fold").alias("lo")).agg(F.min(F.struct("d_size", "d_mtime")).alias("_there"))
+    known = rows.join(there, [*key, "lo"], "left")
+    wants = F.col("included") & ~F.col("in_place") & ~F.col("held")
+    fits = wants & (F.col("_there").isNull() | (F.col("_there.d_size") == F.col("size")))
+    first = known.where(fits).groupBy(*key).agg(F.min(F.struct("ord", "name", "path")).alias("_first"))
+    met = materialize(known.join(first, key, "left").withColumn("wins", F.coalesce(F.col("_first.path") == F.col("path"), F.lit(False))), "claims")
+    late = F.abs(F.col("_there.d_mtime") - F.col("mtime_us")) <= TOLERANCE_S * 1_000_000
+    kept = met.where("in_place or not included or wins")
+    state = F.when(F.col("in_place"), "in_place").when(~F.col("included") | F.col("_there").isNull(), "ready").when(late, "already_there").otherwise("check_first")
+    numbered = met.where("not in_place and included and not wins").select(*key, "ord", "name", "path")
+    taken = _numbers(at_dest, F.col("name_fold"), *key).withColumnRenamed("base", "lo").join(rows.select(*key, "lo").distinct(), [*key, "lo"], "left_semi")
+    dealt = free_numbers(numbered, taken.select(*key, "number"), key, ["ord", "name", "path"])
+    return kept.select("path", F.col("name").alias("dest_name"), state.alias("status")).unionByName(dealt.select("path", paths.numbered(F.col("name"), F.col("number")).alias("dest_name"), F.lit("renamed").alias("status")))
+
+
+def _numbers(df: DataFrame, name: Column, *keep: str) -> DataFrame:
+    """``keep``, ``number`` and ``base`` of the names that end in a number as ``paths.numbered`` writes it; base is the folded name without it."""
+    ending = r"(?s) \((\d{1,9})\)$"
+    number = F.regexp_extract(paths.stem(name), ending, 1)
+    base = F.lower(F.concat(F.regexp_replace(paths.stem(name), ending, ""), paths.extension(name)))
+    return df.select(*keep, base.alias("base"), number.alias("number")).where("number <> '' and number not like '0%'").withColumn("number", F.col("number").cast("long"))
+
+
+def _mixed(rows: DataFrame, at_dest: DataFrame, key: list[str]) -> DataFrame:
+    """``_claims`` over roots with several names, which may take each other's numbers: in order, a root at a time."""
+    ours = rows.select(*key, F.when(F.col("in_place"), 1).otherwise(2).alias("turn"), "ord", "path", "name", "size", "mtime_us", "included")
+    near = at_dest.join(ours.select(*key).distinct(), key, "left_semi")
+    near = near.select(*key, F.lit(0).alias("turn"), F.lit("").alias("ord"), F.lit("").alias("path"), F.col("name_fold").alias("name"), F.col("d_size").alias("size"), F.col("d_mtime").alias("mtime_us"), F.lit(False).alias("included"))
+    in_line = ours.unionByName(near).repartition(*key).sortWithinPartitions(*key, "turn", "ord", "name")
+    return in_line.mapInPandas(_claims, "path string, dest_name string, status string")
+
+
 def plan(files: DataFrame, dest_files: DataFrame, options: Options, excluded: DataFrame | None = None) -> DataFrame:
     """``files`` with dest_folder, dest_name, dest, status, included and actionable.
 
     ``dest_files`` has (folder, name, size, mtime), ``excluded`` paths that stay in the plan but claim
     no name. In scan order the first claims its name, later ones get the least free number; names
     meet regardless of case. Names that only differ by numbering share a clash root; those of
-    different roots never meet, so roots are decided apart. A root with one name and nothing at
-    the destination is numbered by a window; others go through one Python pass over rows sorted by root,
+    different roots never meet, so roots are decided apart. A root with one name, however many files have it, is
+    numbered by ranks; one with several names goes through one Python pass over rows sorted by root,
     which holds one root's names at a time.
     """
     placed = destinations(files, options)
@@ -166,24 +206,9 @@ def plan(files: DataFrame, dest_files: DataFrame, options: Options, excluded: Da
     )
     key = ["dest_folder", "root"]
     at_dest = dest_files.select(F.col("folder").alias("dest_folder"), paths.clash_root(F.col("name")).alias("root"), F.lower("name").alias("name_fold"), F.col("size").alias("d_size"), F.unix_micros("mtime").alias("d_mtime"))
-    groups = keyed.groupBy(*key).agg(F.min(F.lower("name")).alias("lo"), F.max(F.lower("name")).alias("hi"))
-    groups = groups.join(at_dest.select(*key).distinct().withColumn("met", F.lit(True)), key, "left")
-    groups = groups.select(*key, ((F.col("lo") != F.col("hi")) | F.col("met").isNotNull()).alias("knotty"))
-    marked = keyed.join(groups, key)
-
-    claims = F.row_number().over(Window.partitionBy(*key, "turn").orderBy("ord", "name"))
-    held = F.max(F.col("in_place").cast("int")).over(Window.partitionBy(*key))
-    turn = F.when(F.col("in_place"), 0).when(F.col("included"), 1).otherwise(2)
-    easy = marked.where("not knotty").withColumn("turn", turn).withColumn("nth", claims + held - 1)
-    number = (F.col("turn") == 1) & (F.col("nth") > 0)
-    easy = easy.select("path", F.when(number, paths.numbered(F.col("name"), F.col("nth"))).otherwise(F.col("name")).alias("dest_name"), F.when(F.col("turn") == 0, "in_place").when(number, "renamed").otherwise("ready").alias("status"))
-
-    hard = marked.where("knotty").select(*key, F.when(F.col("in_place"), 1).otherwise(2).alias("turn"), "ord", "path", "name", "size", "mtime_us", "included")
-    near = at_dest.join(hard.select(*key).distinct(), key, "left_semi")
-    near = near.select(*key, F.lit(0).alias("turn"), F.lit("").alias("ord"), F.lit("").alias("path"), F.col("name_fold").alias("name"), F.col("d_size").alias("size"), F.col("d_mtime").alias("mtime_us"), F.lit(False).alias("included"))
-    in_line = hard.unionByName(near).repartition(*key).sortWithinPartitions(*key, "turn", "ord", "name")
-    knotty = in_line.mapInPandas(_claims, "path string, dest_name string, status string")
-    named = easy.unionByName(knotty)
+    groups = keyed.groupBy(*key).agg(F.min(F.lower("name")).alias("lo"), F.max(F.lower("name")).alias("hi"), F.max("in_place").alias("held"))
+    marked = keyed.join(groups.select(*key, (F.col("lo") != F.col("hi")).alias("knotty"), "lo", "held"), key)
+    named = _alike(marked.where("not knotty"), at_dest, key).unionByName(_mixed(marked.where("knotty"), at_dest, key))
     done = placed.join(named, "path")
     dest = F.when(F.col("status") == "in_place", F.col("path")).otherwise(F.concat_ws("/", "dest_folder", "dest_name"))
     return done.withColumn("dest", dest).withColumn("actionable", F.col("included") & ~F.col("status").isin("in_place", "already_there"))
@@ -257,42 +282,31 @@ def reconcile(planned: DataFrame, source: DataFrame, dest: DataFrame) -> DataFra
     met = now.join(dest.select(F.col("path").alias("dest"), F.col("digest").alias("d")), "dest", "left")
     outcome = F.when(F.col("s").isNull(), "failed").when(F.col("d").isNull(), "transferred").when(F.col("s") == F.col("d"), "skipped").otherwise("renamed")
     told = met.withColumn("outcome", outcome).drop("s", "d").withColumn("_folder", paths.parent(F.col("dest"))).withColumn("_name", paths.name(F.col("dest")))
+    told = materialize(told.withColumn("_base", F.lower("_name")), "outcomes")
     # numbers taken: of names that lie there, or that other rows go to
     taken = dest.select("path").union(told.select(F.col("dest").alias("path"))).select(paths.parent(F.col("path")).alias("_folder"), paths.name(F.col("path")).alias("_n"))
-    number = F.regexp_extract(paths.stem(F.col("_n")), r"(?s) \((\d{1,9})\)$", 1)
-    base = F.lower(F.concat(F.regexp_replace(paths.stem(F.col("_n")), r"(?s) \(\d{1,9}\)$", ""), paths.extension(F.col("_n"))))
-    numbers = taken.where(number != "").groupBy("_folder", base.alias("_base")).agg(F.collect_set(number.cast("int")).alias("_taken"))
-    nth = F.row_number().over(Window.partitionBy("_folder", "_base", "outcome").orderBy("path"))
-    placed = told.withColumn("_base", F.lower("_name")).join(numbers, ["_folder", "_base"], "left").withColumn("_nth", nth).withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
-    free = F.get(F.array_except(F.sequence(F.lit(1), F.size("_taken") + F.col("_nth")), F.col("_taken")), F.col("_nth") - 1)
-    renamed = F.concat_ws("/", F.when(F.col("_folder") != "", F.col("_folder")), paths.numbered(F.col("_name"), free))
-    final = F.when(F.col("outcome") == "transferred", F.col("dest")).when(F.col("outcome") == "renamed", renamed)
-    return placed.withColumn("final", final).drop("_folder", "_name", "_base", "_taken", "_nth")
+    numbers = _numbers(taken, F.col("_n"), "_folder").withColumnRenamed("base", "_base")
+    clash = told.where("outcome = 'renamed'")
+    numbers = numbers.join(clash.select("_folder", "_base").distinct(), ["_folder", "_base"], "left_semi")
+    dealt = free_numbers(clash, numbers, ["_folder", "_base"], ["path"])
+    renamed = F.concat_ws("/", F.when(F.col("_folder") != "", F.col("_folder")), paths.numbered(F.col("_name"), F.col("number")))
+    straight = told.where("outcome <> 'renamed'").withColumn("final", F.when(F.col("outcome") == "transferred", F.col("dest")))
+    return straight.unionByName(dealt.withColumn("final", renamed).drop("number")).drop("_folder", "_name", "_base")
 
 
 def ledger_events(reconciled: DataFrame) -> DataFrame:
-    """What a run writes down of ``reconciled``: a file event for each row that is written, ``seq`` by path from 2 on within a range of paths.
-
-    ``(part, seq, type, src, dst, size)``: events are in order by part and seq, so no task numbers all rows.
-    """
-    ranged = reconciled.where("final is not null").select("path", "final", "size").repartitionByRange("path").withColumn("part", F.spark_partition_id())
-    seq = F.row_number().over(Window.partitionBy("part").orderBy("path")) + 1
-    return ranged.select("part", seq.cast("long").alias("seq"), F.lit("file").alias("type"), F.col("path").alias("src"), F.col("final").alias("dst"), "size")
+    """What a run writes down of ``reconciled``: ``(seq, type, src, dst, size)``, a file event for each row that is written, by path; 1 is the header's number."""
+    written = reconciled.where("final is not null").select(F.lit(0).alias("_all"), F.col("path").alias("src"), F.col("final").alias("dst"), "size")
+    numbered = running(written, ["_all"], ["src"])
+    return numbered.select((F.col("rank") + 1).alias("seq"), F.lit("file").alias("type"), "src", "dst", "size")
 
 
-def progress(planned: DataFrame, parts: int = 64) -> DataFrame:
+def progress(planned: DataFrame) -> DataFrame:
     """Files and bytes done before each actionable file, in scan order.
 
     Rows are dealt into ranges of that order; sums of whole ranges come first, so no task holds all rows.
     """
-    act = planned.where("actionable").select("path", "name", "size", paths.scan_order(F.col("path")).alias("ord"))
-    ranged = act.repartitionByRange(parts, "ord", "name", "path").withColumn("part", F.spark_partition_id())
-    from cairn.session import materialize
-
-    ranged = materialize(ranged, "progress")
-    sums = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    sums = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"))
-    inside = Window.partitionBy("part").orderBy("ord", "name", "path").rowsBetween(Window.unboundedPreceding, -1)
-    own = ranged.select("*", F.count(F.lit(1)).over(inside).alias("n1"), F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("b1"))
-    return own.join(F.broadcast(sums), "part").select("path", "size", (F.col("n0") + F.col("n1")).alias("files_before"), (F.col("b0") + F.col("b1")).alias("bytes_before"))
+    order = [paths.scan_order(F.col("path")), "name", "path"]
+    act = planned.where("actionable").select("path", "name", "size", F.lit(0).alias("_all"))
+    counted = running(running(act, ["_all"], order, name="_files"), ["_all"], order, F.col("size"), "_bytes")
+    return counted.select("path", "size", (F.col("_files") - 1).alias("files_before"), (F.col("_bytes") - F.coalesce("size", F.lit(0))).alias("bytes_before"))

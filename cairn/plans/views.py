@@ -55,7 +55,13 @@ with e as (select user_id, event_id, ts, event_type, value, row_number() over (p
 select * from own
 union all
 select run_id, max(seq) + 1, 'undo', null, null, null, null, null, null, null, max(started) + INTERVAL '1' DAY
-from own where cast(run_id as bigint) % 7 = 0 group by run_id"""
+from own where cast(run_id as bigint) % 7 = 0 group by run_id
+union all
+select run_id, max(seq) + 2, 'undo', null, null, null, null, null, null, null, max(started) + INTERVAL '2' DAY
+from own where cast(run_id as bigint) % 21 = 0 group by run_id
+union all
+select run_id, max(seq) + 3, 'file', null, null, concat('/lib/', cast(900000 + cast(run_id as bigint) as varchar(20))), concat('/sorted/', cast(900000 + cast(run_id as bigint) as varchar(20))), cast(7 as bigint), null, null, null
+from own where cast(run_id as bigint) % 16 = 1 group by run_id"""
 
 PRESENT = """
 select concat('/lib/', cast(x as varchar(20))) as path, cast(x as bigint) as size from {numbers} where x < 500 and x % 3 = 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import bits, dates, paths, windows
-from cairn.operators import components, exact, groups, hamming, ledger, partial, report, review
+from cairn.operators import components, exact, groups, hamming, ledger, partial, ranks, report, review
 from cairn.plans import layout, views
 from cairn.session import materialize, scratch_path
 from cairn.sources import inventory, store
@@ -89,10 +89,9 @@ def scan_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{FILES} select path, row_number() over (partition by string_split(path, '/')[3] order by string_split(regexp_replace(path, '/[^/]*$', ''), '/'), regexp_replace(path, '^.*/', '')) as position from files")
 def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(F.split("path", "/")[2]).orderBy(paths.scan_order(F.col("path")), paths.name(F.col("path")))
-    return views.files(spark, sf_dir).select("path", F.row_number().over(order).cast("long").alias("position"))
+    """Each file's place in its source's scan order."""
+    placed = views.files(spark, sf_dir).select("path", F.split("path", "/")[2].alias("source"))
+    return ranks.running(placed, ["source"], [paths.scan_order(F.col("path")), paths.name(F.col("path"))], name="position").select("path", "position")
 
 
 @query(f"{FILES}, more as (select * from files where file_id % 2 = 0) select path, max(size) as size from (select path, size from files where file_id % 3 <> 0 union all select path, size from more) group by path")
@@ -260,16 +259,40 @@ def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.progress(_plan(spark, sf_dir))
 
 
-@query(f"""{PLANNED}, s as (select path, sha256(content) as s from files where file_id % 9 <> 0), d as (select '/sorted/x/' || (file_id % 200)::varchar as dest, min(sha256(content)) as d from files where file_id % 3 = 0 group by 1),
-act as (select p.path, '/sorted/x/' || (file_id % 200)::varchar as dest from planned p where status <> 'already_there')
-select act.path, case when s is null then 'failed' when d is null then 'transferred' when s = d then 'skipped' else 'renamed' end as outcome from act left join s using (path) left join d using (dest)""")
+_RESULTS = f"""{PLANNED}, act as (select *, dest_folder || '/' || dest_name as dest, regexp_extract(dest_name, '^(.*)(\\.[^.]*)$', 1) as stem, regexp_extract(dest_name, '^(.*)(\\.[^.]*)$', 2) as ext from planned where status <> 'already_there'),
+there as (select dest as path, case when file_id % 2 = 0 then sha256(content) else 'other' end as digest from act where file_id % 5 = 0
+  union all select dest_folder || '/' || stem || ' (2)' || ext, 'other' from act where file_id % 10 = 5
+  union all select dest_folder || '/' || stem || ' (1)' || ext, 'other' from act where file_id % 20 = 5 and dest_folder || '/' || stem || ' (1)' || ext not in (select dest from act)),
+now as (select act.*, case when file_id % 9 = 0 then null else sha256(content) end as s, d.digest as d from act left join there d on d.path = dest),
+told as (select *, case when s is null then 'failed' when d is null then 'transferred' when s = d then 'skipped' else 'renamed' end as outcome from now),
+taken as (select distinct lower(path) as p from (select path from there union all select dest from act)),
+free as (select path, min(n) as n from (select t.path, dest_folder, stem, ext, unnest(range(1, 12)) as n from told t where outcome = 'renamed') where lower(dest_folder || '/' || stem || ' (' || n || ')' || ext) not in (select p from taken) group by path),
+results as (select told.path, size, outcome, case outcome when 'transferred' then dest when 'renamed' then dest_folder || '/' || stem || ' (' || free.n || ')' || ext end as final from told left join free using (path))"""
+
+
+def _reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan met with what both sides hold now: at every fifth destination equal or other content, at some also numbered names; every ninth file is gone."""
+    digests = views.files(spark, sf_dir).select("path", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+    planned = materialize(_plan(spark, sf_dir), "plan")
+    met = planned.where("actionable").join(digests, "path").select("file_id", "dest", "dest_folder", "dest_name", "digest")
+    own = met.where("file_id % 5 = 0").select(F.col("dest").alias("path"), F.when(F.col("file_id") % 2 == 0, F.col("digest")).otherwise("other").alias("digest"))
+    name = lambda n: F.concat_ws("/", "dest_folder", paths.numbered(F.col("dest_name"), F.lit(n))).alias("path")
+    second = met.where("file_id % 10 = 5").select(name(2), F.lit("other").alias("digest"))
+    first = met.where("file_id % 20 = 5").select(name(1), F.lit("other").alias("digest")).join(met.select(F.col("dest").alias("path")), "path", "left_anti")
+    left = views.files(spark, sf_dir).where("file_id % 9 <> 0").select("path").join(digests, "path")
+    return layout.reconcile(planned, left, own.unionByName(second).unionByName(first))
+
+
+@query(f"{_RESULTS} select path, outcome, final from results")
 def reconcile_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan's files to two hundred fixed destinations, against what both sides hold now."""
-    every = views.files(spark, sf_dir).select("file_id", "path", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
-    spot = F.concat(F.lit("/sorted/x/"), (F.col("file_id") % 200).cast("string"))
-    planned = _plan(spark, sf_dir).withColumn("dest", spot)
-    there = every.where("file_id % 3 = 0").groupBy(spot.alias("path")).agg(F.min("digest").alias("digest"))
-    return layout.reconcile(planned, every.where("file_id % 9 <> 0"), there).select("path", "outcome")
+    """What a run of the plan does with each file, and where it ends up."""
+    return _reconciled(spark, sf_dir).select("path", "outcome", "final")
+
+
+@query(f"{_RESULTS} select row_number() over (order by path) + 1 as seq, 'file' as type, path as src, final as dst, size from results where final is not null")
+def run_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that such a run writes down."""
+    return layout.ledger_events(_reconciled(spark, sf_dir))
 
 
 # Exact copies
@@ -379,12 +402,15 @@ e as (select a as keeper, b as item_id, of_a as mine, of_b as theirs from crops
 r as (select *, case when rank = 1 then 'keeper' when digest = k_digest then 'exact' when mine < 0.9 and theirs >= 0.85 then 'cropped' when theirs < 0.9 and mine >= 0.85 then 'contains' when pixels < 0.9 * k_pixels then 'smaller' else 'similar' end as relation from m join k using (group_id) left join e using (keeper, item_id))"""
 
 
+def _crops(links: DataFrame) -> DataFrame:
+    """Evidence for two links of three."""
+    share = lambda c: (F.expr(c) % 8) / F.lit(8.0) + 0.125
+    return links.where("(a + b) % 3 > 0").select("a", "b", ((F.col("a") + F.col("b")) % 7 / F.lit(8.0) + 0.125).alias("coverage_of_a"), share("a * 3 + b").alias("coverage_of_b"))
+
+
 def _cropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members with crop evidence for two links of three."""
     links = _links(spark, sf_dir)
-    share = lambda c: (F.expr(c) % 8) / F.lit(8.0) + 0.125
-    crops = links.where("(a + b) % 3 > 0").select("a", "b", ((F.col("a") + F.col("b")) % 7 / F.lit(8.0) + 0.125).alias("coverage_of_a"), share("a * 3 + b").alias("coverage_of_b"))
-    return groups.members(views.items(spark, sf_dir), links, crops)
+    return groups.members(views.items(spark, sf_dir), links, _crops(links))
 
 
 @query(f"{_CROPS} select group_id, item_id, rank, relation, case relation when 'cropped' then mine when 'smaller' then width / k_width end as share from r")
@@ -624,9 +650,12 @@ def quarantine_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.quarantine(*_review(spark, sf_dir), "/lib/src1")
 
 
-@query(f"{FILES} select '/lib/src3' as folder from files where starts_with(path, '/lib/src3/') having count(distinct regexp_replace(path, '/[^/]*$', '')) > 1")
+@query(f"""{FILES}, x as (select string_split(path, '/')[3] as source, string_split(regexp_replace(path, '/[^/]*$', ''), '/') as p from files), n as (select source, min(len(p)) as most from x group by source),
+same as (select source, i, count(distinct p[i]) as c from x join n using (source), range(1, 30) t(i) where i <= most group by all), cut as (select source, coalesce(min(i) filter (c > 1), max(i) + 1) - 1 as k from same group by source)
+select source, array_to_string(any_value(p)[1:any_value(k)], '/') as folder from x join cut using (source) group by source""")
 def common_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.common_parent(views.files(spark, sf_dir).where("path like '/lib/src3/%'"))
+    """The folder that all files of a source have in common, for every source."""
+    return review.common_parent(views.files(spark, sf_dir).select("path", F.split("path", "/")[2].alias("source")), "source")
 
 
 # Feature store
@@ -645,6 +674,15 @@ def feature_todo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.to_do(*_store(spark, sf_dir), 2).select("path")
 
 
+@query(f"""{FILES}, store as (select *, file_id % 2 = 0 as flat, case when file_id % 3 = 0 then 'broken' end as error, case when file_id % 5 = 0 then 0 when file_id % 7 > 0 then 9 end as n_descriptors from files where file_id % 11 > 0)
+select path from files where path not in (select path from store where flat or error is not null or coalesce(n_descriptors, 0) > 0)""")
+def feature_todo_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without a row, and those whose row has no descriptors though it is neither flat nor broken."""
+    every = views.files(spark, sf_dir).select("file_id", "path", "size", "mtime")
+    kept = every.where("file_id % 11 > 0").select("path", "size", "mtime", F.lit(2).alias("version"), F.expr("file_id % 2 = 0").alias("flat"), F.expr("case when file_id % 3 = 0 then 'broken' end").alias("error"), F.expr("case when file_id % 5 = 0 then 0 when file_id % 7 > 0 then 9 end").alias("n_descriptors"))
+    return store.to_do(every, kept, 2, with_descriptors=True).select("path")
+
+
 @query(f"{_STORE}, fresh as (select path, size, 2 as version from files f where not exists (select 1 from store s where s.path = f.path and s.size = f.size and s.mtime = f.mtime and version = 2)) select path, size, version from fresh union all select path, size, version from store where path not in (select path from fresh)")
 def feature_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     every, old = _store(spark, sf_dir)
@@ -655,21 +693,39 @@ def feature_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streams, over what Spark writes in several files
 
 
-@query(f"{_JOURNAL} select run_id, count(*) filter (type = 'file') as transferred, coalesce(sum(size) filter (type = 'file'), 0)::bigint as bytes, case when arg_min(type, seq) <> 'run' then 'invalid' when count(*) filter (type = 'undo') > 0 then 'undone' when count(*) filter (type = 'end') > 0 then 'finished' else 'open' end as state from journal group by run_id")
+_STATES = f"""{_JOURNAL}, told as (select run_id, count(*) filter (type = 'file') as transferred, coalesce(sum(size) filter (type = 'file'), 0)::bigint as bytes, max(seq) as last_seq,
+  arg_min(type, seq) as first, min(seq) filter (type = 'end') as ended, max(seq) filter (type in ('file', 'mkdir', 'rmdir')) as work, count(*) filter (type = 'undo') as undos from journal group by run_id),
+judged as (select *, case when first <> 'run' then 'no header' when work > ended then 'event after end' when undos > 1 then 'undone twice' end as problem from told)
+select run_id, transferred, bytes, case when problem is not null then 'invalid' when undos > 0 then 'undone' when ended is not null then 'finished' else 'open' end as state, problem, last_seq from judged"""
+
+
+@query(_STATES)
 def stream_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "ledger")
-    views.journal(spark, sf_dir).repartition(8).write.json(path)
-    return runs.drain(runs.run_status(runs.watch_ledger(spark, path)), "complete", "run-status")
+    """States of runs from events that arrive in no order, in two calls of one stream: late events, second undos, runs cut off."""
+    path, kept = scratch_path(spark, "ledger"), scratch_path(spark, "run-states")
+    j = views.journal(spark, sf_dir)
+    for odd in (1, 0):
+        j.where(F.col("seq") % 2 == odd).repartition(6).write.mode("append").json(path)
+        states = runs.keep_status(runs.watch_ledger(spark, path), kept)
+    return states.read().drop("commit")
 
 
-@query(f"{FILES} select sha256(content) as digest, count(*) as files, count(*) - 1 as copies from files group by 1")
+@query(_STATES)
+def batch_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_status(views.journal(spark, sf_dir))
+
+
+@query(f"""{FILES}, signed as (select path, mtime, sha256(content) as digest, case when file_id % 2 = 0 then 0 else 1 end as call from files),
+ordered as (select *, first_value(path) over w as first, first_value(call) over w as first_call from signed window w as (partition by digest order by call, mtime, path))
+select path, digest, case when path <> first and digest is not null then first end as copy_of from ordered""")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "arrivals")
-    signed = views.files(spark, sf_dir).select("path", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
-    signed.repartition(4).write.parquet(path)
-    arriving = spark.readStream.schema("path string, digest string").option("maxFilesPerTrigger", 2).parquet(path)
-    seen = runs.drain(runs.first_seen(arriving), "append", "first-seen")
-    return seen.groupBy("digest").agg(F.count(F.lit(1)).alias("files"), F.count("copy_of").alias("copies"))
+    """Files of even number arrive first, then the others: which are copies of what came before."""
+    path, kept = scratch_path(spark, "arrivals"), scratch_path(spark, "first-seen")
+    signed = views.files(spark, sf_dir).select("file_id", "path", F.sha2(F.col("content").cast("binary"), 256).alias("digest"), F.col("mtime").alias("seen"))
+    for odd in (0, 1):
+        signed.where(F.col("file_id") % 2 == odd).drop("file_id").write.mode("append").parquet(path)
+        runs.mark_copies(spark.readStream.schema("path string, digest string, seen timestamp").parquet(path), kept, keep="interval 100 years")
+    return runs.marked(spark, kept).drop("seen")
 
 
 @query(f"{FILES} select path, case when file_id % 3 = 0 then size + 1 else size end as size, 2 as version from files where file_id % 3 = 0 or file_id % 2 = 0")
@@ -696,3 +752,9 @@ def human_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{FILES} select file_id, case when starts_with(path, '/lib/src1/') then '~' || path[10:] else path end as label from files")
 def short_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.files(spark, sf_dir).select("file_id", paths.short_path(F.col("path"), "/lib/src1").alias("label"))
+
+
+@query(f"{_CROPS} select a, b, round_even(of_a * 100, 0)::int || '%' as label from crops")
+def percent_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of one item of a link shows in the other."""
+    return _crops(_links(spark, sf_dir)).select("a", "b", paths.percent(F.col("coverage_of_a")).alias("label"))

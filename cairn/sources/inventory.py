@@ -33,12 +33,6 @@ def read_listing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return spark.read.format(fmt).schema(LISTING).load(path)
 
 
-def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder by Spark's own reader: names beginning with a dot or underscore are left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return raw.select(F.regexp_replace("path", "^file:", "").alias("path"), F.lit("file").alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.lit(None).cast("timestamp").alias("birthtime"))
-
-
 def union_roots(*listings: DataFrame) -> DataFrame:
     """Several roots as one inventory: a path that several list counts once, as the first of them has it."""
     tagged = [x.withColumn("_root", F.lit(i)) for i, x in enumerate(listings)]

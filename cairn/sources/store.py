@@ -11,7 +11,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ["path", "size", "mtime"]
@@ -29,10 +29,10 @@ class Commit:
 
 
 class KeptStore:
-    """The store below ``path``: commits in order, each of them whole or absent, and each batch of a stream at most once."""
+    """The store below ``path``, a row a ``key``: commits in order, each of them whole or absent, and each batch of a stream at most once."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, key: str = "path"):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
         hadoop = spark._jvm.org.apache.hadoop.fs
         self._of = hadoop.Path
         conf = spark._jsc.hadoopConfiguration()
@@ -87,25 +87,30 @@ class KeptStore:
             if self._log(made):
                 return made
 
-    def read(self) -> DataFrame | None:
-        """Of each path the row of the last commit that has it; None where nothing was ever committed. ``commit`` tells which one."""
+    def read(self, only: DataFrame | None = None) -> DataFrame | None:
+        """Of each key the row of the last commit that has it; None where nothing was ever committed. ``commit`` tells which one.
+
+        With ``only``, a table of keys, just these are looked up: the others are left out before rows are grouped.
+        """
         commits = self.current()
         if not commits:
             return None
         rows = self.spark.read.option("mergeSchema", True).parquet(*[f"{self.path}/data/{c.folder}" for c in commits])
         numbers = F.broadcast(self.spark.createDataFrame([(c.folder, c.number) for c in commits], "_folder string, _number long"))  # a row a commit since the last snapshot
         named = rows.withColumn("_folder", F.regexp_extract(F.col("_metadata.file_path"), "/data/([0-9a-f]+)/[^/]*$", 1)).join(numbers, "_folder").drop("_folder")
-        columns = [c for c in rows.columns if c not in ("path", "commit")]
-        last = named.groupBy("path").agg(F.max_by(F.struct(*columns, F.col("_number").alias("commit")), "_number").alias("r"))
-        return last.select("path", "r.*")
-
-    def compact(self) -> Commit | None:
-        """A snapshot of all paths, from which readers start; older folders stay for those who read them now."""
+        if only is not None:
+            named = named.join(only.select(self.key).distinct(), self.key, "left_semi")
+        columns = [c for c in rows.columns if c not in (self.key, "commit")]
+        last = named.groupBy(self.key).agg(F.max_by(F.struct(*columns, F.col("_number").alias("commit")), "_number").alias("r"))
+        return last.select(self.key, "r.*")
+
+    def compact(self, keep: Column | None = None) -> Commit | None:
+        """A snapshot of all keys, of rows that ``keep`` holds for, from which readers start; older folders stay for those who read them now."""
         rows, commits = self.read(), self.current()
         if rows is None or len(commits) == 1:
             return None
         folder = uuid.uuid4().hex
-        rows.drop("commit").write.parquet(f"{self.path}/data/{folder}")
+        (rows if keep is None else rows.where(keep)).drop("commit").write.parquet(f"{self.path}/data/{folder}")
         last = commits[-1].number
         made = Commit(last + 1, "snapshot", last, folder, True)
         # a commit that came meanwhile has the number, and isn't in the snapshot: then the snapshot isn't one

@@ -2,63 +2,96 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cairn.operators.ledger import LEDGER
-from cairn.session import scratch_path
+from cairn.session import join_counted, materialize
 from cairn.sources import store
 from cairn.sources.store import KeptStore
 
 
+#: What makes a run invalid, in the order in which it is told.
+NO_HEADER, AFTER_END, UNDONE_TWICE = "no header", "event after end", "undone twice"
+
+
 def run_status(events: DataFrame) -> DataFrame:
-    """Live state of each run, from a stream (or table) of ledger events: a row of state per run.
+    """Live state of each run, from a stream (or table) of ledger events: ``(run_id, transferred, bytes, state, problem, last_seq)``.
 
-    A run whose first event isn't its header, or that was undone twice, is ``invalid``; one without trailer is ``open``.
+    ``invalid``: its least event isn't a header, a file or folder event follows its end, or it was undone twice (``problem`` tells which); else ``undone``, ``finished``
+    after its end, or ``open``. All of it follows from counts and from the least and greatest ``seq`` of each kind, so events may come in any order and in any
+    batches: a late one corrects what was told before. A run costs one row of state.
     """
-    is_ = lambda kind: F.col("type") == kind
+    is_ = lambda *kinds: F.col("type").isin(*kinds)
+    at = lambda how, *kinds: how(F.when(is_(*kinds), F.col("seq")))
     out = events.groupBy("run_id").agg(
-        F.min_by("type", "seq").alias("first"), F.count_if(is_("file")).alias("transferred"),
-        F.coalesce(F.sum(F.when(is_("file"), F.col("size"))), F.lit(0)).alias("bytes"), F.count_if(is_("end")).alias("ends"), F.count_if(is_("undo")).alias("undos"),
+        F.min_by("type", "seq").alias("first"), F.count_if(is_("file")).alias("transferred"), F.coalesce(F.sum(F.when(is_("file"), F.col("size"))), F.lit(0)).alias("bytes"),
+        at(F.min, "end").alias("end"), at(F.max, "file", "mkdir", "rmdir").alias("work"), F.count_if(is_("undo")).alias("undos"), F.max("seq").alias("last_seq"),
     )
-    state = F.when((F.col("first") != "run") | (F.col("undos") > 1), "invalid").when(F.col("undos") > 0, "undone").when(F.col("ends") > 0, "finished").otherwise("open")
-    return out.select("run_id", "transferred", "bytes", state.alias("state"))
+    problem = F.when(F.col("first") != "run", NO_HEADER).when(F.col("work") > F.col("end"), AFTER_END).when(F.col("undos") > 1, UNDONE_TWICE)
+    state = F.when(problem.isNotNull(), "invalid").when(F.col("undos") > 0, "undone").when(F.col("end").isNotNull(), "finished").otherwise("open")
+    return out.select("run_id", "transferred", "bytes", state.alias("state"), problem.alias("problem"), "last_seq")
 
 
 def watch_ledger(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
     return spark.readStream.schema(LEDGER).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def drain(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs ``stream`` over all that has arrived and returns the table that it leaves in the shared folder."""
-    spark = stream.sparkSession
-    out, progress = scratch_path(spark, name), scratch_path(spark, f"{name}-progress")
+def keep_status(events: DataFrame, path: str, stream: str = "ledger") -> KeptStore:
+    """Takes what has arrived into the store of run states below ``path``: of each batch only runs whose state it changed are written.
 
-    def keep(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={n}")
+    Later calls go on where the last one ended; a batch that is tried again counts once.
+    """
+    kept = KeptStore(events.sparkSession, path, "run_id")
+    changed = run_status(events)
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True).foreachBatch(keep).start()
-    query.awaitTermination()
-    return spark.read.parquet(out) if mode == "complete" else spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    def take_in(batch: DataFrame, n: int) -> None:
+        kept.commit(batch, stream, n)
 
+    changed.writeStream.outputMode("update").option("checkpointLocation", f"{kept.path}/progress/{stream}").trigger(availableNow=True).foreachBatch(take_in).start().awaitTermination()
+    return kept
 
-def _first_seen(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        batch = batch.sort_values("path")
-        copies = [True] * len(batch)
-        if not state.exists and len(batch):
-            copies[0] = False
-            state.update((batch["path"].iloc[0],))
-        yield pd.DataFrame({"path": batch["path"], "digest": key[0], "copy_of": [state.get[0] if c else None for c in copies]})
 
+def mark_copies(arrivals: DataFrame, path: str, keep: str = "interval 30 days", stream: str = "arrivals", compact_every: int = 16) -> None:
+    """Tells of files (path, digest, seen) as they arrive which are copies; ``marked`` reads ``(path, digest, seen, copy_of)`` from below ``path``.
 
-def first_seen(files: DataFrame) -> DataFrame:
-    """``(path, digest, copy_of)`` as files (path, digest) arrive: the first of a digest has no copy_of."""
-    return files.groupBy("digest").applyInPandasWithState(_first_seen, "path string, digest string, copy_of string", "first string", "append", GroupStateTimeout.NoTimeout)
+    The first file of a digest has no ``copy_of``, all later ones name it; within a batch the first is that with the least (seen, path). A batch is reduced to a row a digest
+    before it meets what is known, so a digest that a third of a batch has costs a row a task; known digests are a store of which only the batch's own
+    are looked up. A digest that wasn't seen for ``keep`` before the newest file is forgotten, when the store is compacted and in what is told, which bounds
+    the store by the digests of that time. Files without digest are no copies. A batch that is tried again counts once.
+    """
+    spark = arrivals.sparkSession
+    kept = KeptStore(spark, f"{path}/digests", "digest")
+
+    def take_in(batch: DataFrame, n: int) -> None:
+        if kept.has(stream, n):
+            return
+        batch = materialize(batch.select("path", "digest", "seen"), "arrivals")
+        new = batch.where("digest is not null").groupBy("digest").agg(F.min(F.struct("seen", "path")).alias("f"), F.max("seen").alias("last"), F.count(F.lit(1)).alias("n"))
+        new = materialize(new.select("digest", F.col("f.path").alias("first"), "last", "n"), "digests")
+        known = kept.read(only=new)
+        if known is None:
+            known = new.limit(0)
+        # by the clock of the files themselves: what the newest of a digest's batch comes too late for is forgotten
+        old = known.select("digest", F.col("first").alias("old"), F.col("last").alias("old_last"))
+        met = new.join(old, "digest", "left").withColumn("known", F.coalesce(F.col("old_last") >= F.col("last") - F.expr(keep), F.lit(False)))
+        owners = materialize(met.select("digest", F.when(F.col("known"), F.col("old")).otherwise(F.col("first")).alias("owner"), "known", F.greatest("last", F.coalesce("old_last", "last")).alias("last"), "n"), "owners")
+        named = join_counted(batch, owners.drop("last"), "digest", "n", batch.count())
+        copy = F.when(F.col("owner") != F.col("path"), F.col("owner"))
+        named.select("path", "digest", "seen", copy.alias("copy_of")).write.mode("overwrite").parquet(f"{path}/marked/batch={n}")
+        made = kept.commit(owners.select("digest", F.col("owner").alias("first"), "last"), stream, n)
+        if made and made.number % compact_every == 0:
+            newest = kept.read().agg(F.max("last")).first()[0]
+            kept.compact(F.col("last") >= F.lit(newest) - F.expr(keep))
+
+    arrivals.writeStream.option("checkpointLocation", f"{path}/progress/{stream}").trigger(availableNow=True).foreachBatch(take_in).start().awaitTermination()
+
+
+def marked(spark: SparkSession, path: str) -> DataFrame:
+    """What ``mark_copies`` has told so far."""
+    return spark.read.parquet(f"{path}/marked").drop("batch")
 
 
 def refresh_store(listing: DataFrame, path: str, version: int, compute: Callable[[DataFrame], DataFrame], stream: str = "listings") -> None:

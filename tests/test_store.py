@@ -100,3 +100,31 @@ def test_what_is_to_do(spark):
     todo = lambda **k: sorted(r.path for r in store.to_do(files, have, 2, **k).collect())
     assert todo() == ["e"] and todo(with_descriptors=True) == ["d", "e"]
     assert store.to_do(files, have, 3).count() == 5 and store.known(files, have, 2).count() == 4
+
+
+def test_walk_of_a_real_folder(spark, tmp_path):
+    """Links, hidden files, packages, the excluded folder, pipes, and names that are hard to read."""
+    import os
+
+    from cairn.sources.folders import walk
+
+    root = tmp_path / ".root.app"
+    for name in ("a/b/c/d.txt", "a/.hidden/x", "a/.dot", "_under/y", "Trip.PhotosLibrary/p.jpg", "keep.app.d/z", "sorted/s", "a/sorted/t", "ümläut/é.jpg", "empty.app"):
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(name)
+    (root / "void").mkdir()
+    os.symlink(root / "a", root / "link")
+    os.symlink(root / "a/b/c/d.txt", root / "a/to_file")
+    os.symlink(root, root / "a/loop")
+    os.symlink(root / "gone", root / "a/broken")
+    os.mkfifo(root / "a/pipe")
+    with open(os.path.join(os.fsencode(root), b"bad\xff"), "w"):
+        pass
+    rel = lambda df: sorted(r.path[len(str(root)) + 1 :] for r in df.collect())
+    assert rel(walk(spark, f"{root}/", exclude=str(root / "sorted"))) == ["_under/y", "a/b/c/d.txt", "a/sorted/t", "empty.app", "keep.app.d/z", "ümläut/é.jpg"]
+    assert rel(walk(spark, str(root), include_hidden=True)) == ["_under/y", "a/.dot", "a/.hidden/x", "a/b/c/d.txt", "a/sorted/t", "empty.app", "keep.app.d/z", "sorted/s", "ümläut/é.jpg"]
+    (d,) = walk(spark, str(root / "a/b")).collect()
+    s = os.lstat(root / "a/b/c/d.txt")
+    assert (d.kind, d.size) == ("file", s.st_size) and abs(d.mtime.timestamp() - s.st_mtime) < 0.001
+    assert walk(spark, str(root / "nowhere")).count() == 0 and walk(spark, str(root / "void")).count() == 0
