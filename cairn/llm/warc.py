@@ -5,8 +5,11 @@ archive, then every record as a frame of its own, compressed with it. A reader t
 dictionary from the first frame and can decode any record alone.
 
 Pages with equal payloads are stored once: the smallest page_id keeps the payload, the others
-become revisit records that refer to it. Which is which comes from an aggregation over digests;
-only the payloads that are kept are written.
+become revisit records that refer to it. Which is which comes from an aggregation over digests, and a digest
+that very many pages have is joined by broadcast; only the payloads that are kept are written.
+
+An archive begins with a ``warcinfo`` record. A response's block is an HTTP response whose body is the
+payload; a record's id is made from its archive and its place there, so no two are alike, and the page's number has a header of its own.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 from io import BytesIO
 
@@ -23,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import materialize, scratch_path
+from cairn.session import BROADCAST_BYTES, join_counted, materialize, scratch_path
 
 #: A skippable frame's number as the .warc.zst convention has it; the dictionary's largest size.
 SKIPPABLE, DICTIONARY_BYTES = 0x184D2A5D, 64 << 10
@@ -59,34 +63,48 @@ def plan_records(pages: DataFrame, least_bytes: int = 0, page_id: str = "page_id
     given = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
     signed = given.withColumn("digest", F.sha1("payload"))
     first = signed.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
-    shared = materialize(first.where("n > 1").select("digest", "first"), "warc-shared")
-    joined = signed.join(shared, "digest", "left")
+    shared = materialize(first.where("n > 1").select("digest", "first", "n"), "warc-shared")
+    if shared.count() * 64 <= BROADCAST_BYTES:
+        joined = signed.join(F.broadcast(shared), "digest", "left")
+    else:
+        joined = join_counted(signed, shared, "digest", "n", signed.count())
     other = F.when(F.col("first") != F.coalesce("page_id", F.lit(-(1 << 63))), F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", other.alias("refers_to"))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit's block is empty; its headers tell the full payload's size."""
-    name = "null" if page_id is None else str(page_id)
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {DATE}"]
+def _headers(kind: str, name: str, more: list[str], block: bytes) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {DATE}", *more, f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
+
+
+def info(name: str) -> bytes:
+    """The record that an archive begins with."""
+    return _headers("warcinfo", name, ["Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\nsoftware: cairn\r\n")
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, name: str) -> bytes:
+    """One WARC/1.1 record, whose id is made from ``name``. A revisit's block is empty; its headers tell the full payload's size and the page that has it."""
+    more = [f"X-Page-ID: {'null' if page_id is None else page_id}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
-    lines.append(f"WARC-Payload-Digest: sha1:{digest}")
+        more.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+    more.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>", f"X-Payload-Length: {len(payload)}"]
-        payload = b""
-    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}", "", ""]
-    return "\r\n".join(lines).encode() + payload + b"\r\n\r\n"
+        more += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers_to}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http;msgtype=response"]
+        return _headers("revisit", name, more, b"")
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
+    return _headers("response", name, [*more, "Content-Type: application/http;msgtype=response"], head.encode() + payload)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """A record's headers, and its block; of a response the HTTP body."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    block = rest[: int(fields["Content-Length"])]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields["WARC-Type"] == "response" else block
 
 
 def train(records: list[bytes]) -> bytes:
-    """A dictionary for ``records``; raw ones of their bytes where too few to train on."""
+    """A dictionary for ``records``, of which the first 64 KB each are looked at; raw ones of their bytes where too few to train on. What is compressed is always whole."""
     samples = [r[:65536] for r in records]
     size = min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 10))
     try:
@@ -106,6 +124,7 @@ class _Archive:
         self.out.write(struct.pack("<II", SKIPPABLE, len(trained)) + trained)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained), write_content_size=True)
         self.size = 0
+        self.add(info(name))
 
     def add(self, data: bytes) -> None:
         frame = self.compressor.compress(data)
@@ -142,7 +161,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
             return _Archive(folder, f"{task.partitionId():06d}-{n:04d}", task.taskAttemptId(), held)
 
         for row in rows():
-            data = record(*row)
+            data = record(*row, f"{task.partitionId():06d}-{n:04d}/{count}")
             count += 1
             if archive is None:
                 held.append(data)
@@ -204,13 +223,15 @@ def read_archives(archives: DataFrame, folder: str, with_payload: bool = True) -
                     rows = []
                     for data in frames(stream):
                         head, payload = parse(data)
-                        number = lambda urn: None if urn is None or urn == "<urn:page:null>" else int(urn[10:-1])
-                        refers = head.get("WARC-Refers-To")
+                        if head["WARC-Type"] == "warcinfo":
+                            continue
+                        number = lambda text: None if text is None or text == "null" else int(text)
+                        refers = head.get("X-Refers-To-Page")
                         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                         if refers is None and (own := base64.b32encode(hashlib.sha1(payload).digest()).decode()) != digest:
                             raise ValueError(f"{head['WARC-Record-ID']}: digest {own} isn't {digest}")
                         size = len(payload) if refers is None else int(head["X-Payload-Length"])
-                        rows.append((number(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Type"], number(refers), size, digest, payload if with_payload and refers is None else None))
+                        rows.append((number(head["X-Page-ID"]), head.get("WARC-Target-URI"), head["WARC-Type"], number(refers), size, digest, payload if with_payload and refers is None else None))
                         if len(rows) == 500:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), READ.types, strict=True)], READ.names)
                             rows = []

@@ -106,8 +106,21 @@ def test_a_record_decodes_alone(spark):
     magic, size = struct.unpack("<II", data[:8])
     assert magic == warc.SKIPPABLE
     one = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size])).decompressobj().decompress(data[8 + size :])
-    assert one.startswith(b"WARC/1.1\r\n") and warc.parse(one)[1].startswith(b"<html>")
-    assert len(list(warc.frames(open(written[0].path, "rb")))) == 300
+    assert one.startswith(b"WARC/1.1\r\n") and warc.parse(one)[0]["WARC-Type"] == "warcinfo"
+    records = list(warc.frames(open(written[0].path, "rb")))
+    assert len(records) == 301 and len({warc.parse(r)[0]["WARC-Record-ID"] for r in records}) == 301
+    head, body = warc.parse(records[1])
+    assert head["Content-Type"] == "application/http;msgtype=response" and b"HTTP/1.1 200 OK\r\n" in records[1] and body.startswith(b"<html>") and body.endswith(b"</html>")
+
+
+def test_payloads_that_do_not_fit_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+    rows = [(i, "u", None if i % 3 == 0 else f"p{i % 50}") for i in range(2000)]
+    got = {r.page_id: r.refers_to for r in warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h or "", i)
+    assert got == {i: None if first[h or ""] == i else first[h or ""] for i, _, h in rows}
 
 
 ITEMS = [(1, "Anna has 3 apples and gives 2 apples to Tom. How many apples does Anna have now?"), (2, "Anna met Bob before Anna saw Carl while Bob walked to town"), (3, None), (4, "too short"), (None, "a null item of some words that stands in no report at all")]
