@@ -201,3 +201,21 @@ def test_decoding_in_blocks_and_unknown_ids(spark, encoding, monkeypatch):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     plain = decode(encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
     assert {r.doc_id: bytes(r.decoded).decode() for r in plain.collect()} == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of texts at a similarity of just over 75 %, and of just under it: all of the first are linked, none of the second."""
+    rng = random.Random(12)
+    texts, linked = [], []
+    for i in range(600):
+        n = rng.randint(110, 140)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        away = 3 if i % 2 else 4
+        other = list(words)
+        for k in range(away):
+            other[6 + k * (n - 12) // away + rng.randrange(5)] = f"v{rng.randrange(10**6)}"
+        a, b = ({tuple(t[j : j + 5]) for j in range(n - 4)} for t in (words, other))
+        linked.append(100 * len(a & b) >= 75 * len(a | b))
+        texts += [" ".join(words), " ".join(other)]
+    found = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(linked) >= 250 and [found[2 * i + 1] == 2 * i for i in range(600)] == linked
