@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,10 +43,24 @@ def numbered(file_name: Column, n: Column) -> Column:
     return F.concat(stem(file_name), F.lit(" ("), n.cast("string"), F.lit(")"), extension(file_name))
 
 
+#: What case folding makes of characters that lower-casing leaves: of one for one, and of one for several.
+_FOLDS = {c: c.casefold() for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x1F000))) if c.lower() == c != c.casefold()}
+_ONE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+
+
+def folded(text: Column) -> Column:
+    """Full Unicode case folding, as ``str.casefold``: what names are compared by, so that ß meets SS."""
+    lower = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
+    several = {c: f for c, f in _FOLDS.items() if c not in _ONE}
+    whole = reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(several[c])), several, lower)
+    some = F.when(lower.rlike("[" + "".join(several) + "]"), whole).otherwise(lower)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), some).otherwise(F.lower(text))
+
+
 def clash_root(file_name: Column) -> Column:
     """What a folded name and all its numberings have in common: names of different roots never meet."""
-    folded = F.lower(file_name)
-    return F.concat(F.regexp_replace(stem(folded), r"( \(\d+\))+$", ""), F.lit("\0"), extension(folded))
+    fold = folded(file_name)
+    return F.concat(F.regexp_replace(stem(fold), r"( \(\d+\))+$", ""), F.lit("\0"), extension(fold))
 
 
 def scan_order(path: Column) -> Column:

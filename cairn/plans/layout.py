@@ -58,7 +58,7 @@ def _glob(pattern: str) -> str:
 def name_predicate(file_name: Column, pattern: str, mode: str) -> Column:
     """Whether a name meets ``pattern``, whatever its case. An empty pattern meets all."""
     pattern = pattern.strip()
-    folded, wanted = F.lower(file_name), pattern.lower()
+    folded, wanted = paths.folded(file_name), pattern.casefold()
     if not pattern:
         return F.lit(True)
     if mode == "contains":
@@ -112,7 +112,7 @@ class _Root:
 
     def settle(self, name: str, size: int, mtime: int) -> tuple[str, str]:
         """A file's name and status; names once taken stay so, so the numbers below the last one never come free."""
-        fold, found = name.lower(), self.there.get(name.lower())
+        fold, found = name.casefold(), self.there.get(name.casefold())
         if found and found[0] == size and fold not in self.claimed:
             self.claimed.add(fold)
             return name, "already_there" if abs(found[1] - mtime) <= TOLERANCE_S * 1_000_000 else "check_first"
@@ -120,12 +120,12 @@ class _Root:
         if fold in self.there or fold in self.claimed:
             head = re.match(r"(?s)^(\.*[^.].*?|\.*)(\.[^.]*)?$", name)
             stem, ext = head[1], head[2] or ""
-            key, state = (stem.lower(), ext.lower()), "renamed"
+            key, state = (stem.casefold(), ext.casefold()), "renamed"
             n = self.next.get(key, 1)
-            while (final := f"{stem} ({n}){ext}").lower() in self.there or final.lower() in self.claimed:
+            while (final := f"{stem} ({n}){ext}").casefold() in self.there or final.casefold() in self.claimed:
                 n += 1
             self.next[key] = n + 1
-        self.claimed.add(final.lower())
+        self.claimed.add(final.casefold())
         return final, state
 
 
@@ -139,9 +139,9 @@ def _claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (folder, stem) != key:
                 key, root = (folder, stem), _Root()
             if turn == 0:
-                root.there[name.lower()] = (size, mtime)
+                root.there[name.casefold()] = (size, mtime)
             elif turn == 1:
-                root.claimed.add(name.lower())
+                root.claimed.add(name.casefold())
                 out.append((path, name, "in_place"))
             else:
                 out.append((path, *(root.settle(name, size, mtime) if included else (name, "ready"))))
@@ -173,7 +173,7 @@ def _numbers(df: DataFrame, name: Column, *keep: str) -> DataFrame:
     """``keep``, ``number`` and ``base`` of the names that end in a number as ``paths.numbered`` writes it; base is the folded name without it."""
     ending = r"(?s) \((\d{1,9})\)$"
     number = F.regexp_extract(paths.stem(name), ending, 1)
-    base = F.lower(F.concat(F.regexp_replace(paths.stem(name), ending, ""), paths.extension(name)))
+    base = paths.folded(F.concat(F.regexp_replace(paths.stem(name), ending, ""), paths.extension(name)))
     return df.select(*keep, base.alias("base"), number.alias("number")).where("number <> '' and number not like '0%'").withColumn("number", F.col("number").cast("long"))
 
 
@@ -202,11 +202,11 @@ def plan(files: DataFrame, dest_files: DataFrame, options: Options, excluded: Da
     keyed = placed.select(
         "path", "name", "size", F.unix_micros("mtime").alias("mtime_us"), "dest_folder", "included",
         paths.scan_order(F.col("path")).alias("ord"), paths.clash_root(F.col("name")).alias("root"),
-        (F.concat_ws("/", "dest_folder", "name") == F.col("path")).alias("in_place"),
+        (F.concat_ws("/", "dest_folder", "name") == F.col("path")).alias("in_place"), paths.folded(F.col("name")).alias("fold"),
     )
     key = ["dest_folder", "root"]
-    at_dest = dest_files.select(F.col("folder").alias("dest_folder"), paths.clash_root(F.col("name")).alias("root"), F.lower("name").alias("name_fold"), F.col("size").alias("d_size"), F.unix_micros("mtime").alias("d_mtime"))
-    groups = keyed.groupBy(*key).agg(F.min(F.lower("name")).alias("lo"), F.max(F.lower("name")).alias("hi"), F.max("in_place").alias("held"))
+    at_dest = dest_files.select(F.col("folder").alias("dest_folder"), paths.clash_root(F.col("name")).alias("root"), paths.folded(F.col("name")).alias("name_fold"), F.col("size").alias("d_size"), F.unix_micros("mtime").alias("d_mtime"))
+    groups = keyed.groupBy(*key).agg(F.min("fold").alias("lo"), F.max("fold").alias("hi"), F.max("in_place").alias("held"))
     marked = keyed.join(groups.select(*key, (F.col("lo") != F.col("hi")).alias("knotty"), "lo", "held"), key)
     named = _alike(marked.where("not knotty"), at_dest, key).unionByName(_mixed(marked.where("knotty"), at_dest, key))
     done = placed.join(named, "path")
@@ -239,8 +239,9 @@ def relative_dest(dest_folder: Column, file_name: Column, dest_name: Column, roo
 
 def search(planned: DataFrame, needle: str) -> DataFrame:
     """Rows whose name, destination or path has ``needle``, whatever its case."""
-    wanted = F.lit(needle.lower())
-    return planned.where(F.contains(F.lower("name"), wanted) | F.contains(F.lower("dest"), wanted) | F.contains(F.lower("path"), wanted))
+    wanted = F.lit(needle.casefold())
+    has = lambda column: F.contains(paths.folded(F.col(column)), wanted)
+    return planned.where(has("name") | has("dest") | has("path"))
 
 
 def sorted_plan(planned: DataFrame, by: str, descending: bool = False) -> DataFrame:
@@ -282,7 +283,7 @@ def reconcile(planned: DataFrame, source: DataFrame, dest: DataFrame) -> DataFra
     met = now.join(dest.select(F.col("path").alias("dest"), F.col("digest").alias("d")), "dest", "left")
     outcome = F.when(F.col("s").isNull(), "failed").when(F.col("d").isNull(), "transferred").when(F.col("s") == F.col("d"), "skipped").otherwise("renamed")
     told = met.withColumn("outcome", outcome).drop("s", "d").withColumn("_folder", paths.parent(F.col("dest"))).withColumn("_name", paths.name(F.col("dest")))
-    told = materialize(told.withColumn("_base", F.lower("_name")), "outcomes")
+    told = materialize(told.withColumn("_base", paths.folded(F.col("_name"))), "outcomes")
     # numbers taken: of names that lie there, or that other rows go to
     taken = dest.select("path").union(told.select(F.col("dest").alias("path"))).select(paths.parent(F.col("path")).alias("_folder"), paths.name(F.col("path")).alias("_n"))
     numbers = _numbers(taken, F.col("_n"), "_folder").withColumnRenamed("base", "_base")

@@ -3,16 +3,15 @@ import json
 import os
 import random
 import re
+import unicodedata
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from cairn.functions import dates, paths
-from cairn.operators import components, groups, hamming, ledger, partial, review
-from cairn.plans import layout, views
-from cairn.queries import QUERIES
-from cairn.sources import inventory, store
-from cairn.streaming import runs
+from cairn.operators import components, groups, hamming, ledger, review
+from cairn.plans import layout
+from cairn.sources import inventory
 
 JAN = dt.datetime(2021, 1, 15, 12)
 LISTING = "path string, kind string, size long, mtime timestamp, birthtime timestamp"
@@ -127,8 +126,8 @@ def test_reconciled_names_and_events(spark):
     there = spark.createDataFrame([("/d/a.jpg", "o"), ("/d/A (2).jpg", "o"), ("/d/c.jpg", "z")], "path string, digest string")
     got = layout.reconcile(planned, source, there)
     assert {r.path: (r.outcome, r.final) for r in got.collect()} == {"/s/a.jpg": ("renamed", "/d/a (1).jpg"), "/s/b/a.jpg": ("renamed", "/d/a (3).jpg"), "/s/c.jpg": ("skipped", None), "/s/e": ("transferred", "/d/e"), "/s/f": ("failed", None)}
-    events = layout.ledger_events(got).orderBy("part", "seq").collect()
-    assert [(e.src, e.dst) for e in events] == [("/s/a.jpg", "/d/a (1).jpg"), ("/s/b/a.jpg", "/d/a (3).jpg"), ("/s/e", "/d/e")]
+    events = layout.ledger_events(got).orderBy("seq").collect()
+    assert [(e.seq, e.src, e.dst) for e in events] == [(2, "/s/a.jpg", "/d/a (1).jpg"), (3, "/s/b/a.jpg", "/d/a (3).jpg"), (4, "/s/e", "/d/e")]
 
 
 def test_settled_rows_are_neither_skipped_nor_unticked(spark):
@@ -246,3 +245,12 @@ def test_review(spark):
 
 def test_wildcards_are_anchored():
     assert re.fullmatch(layout._glob("a?[!b]*").replace(r"\z", r"\Z"), "axc.txt") and not re.fullmatch(layout._glob("a?[!b]*").replace(r"\z", r"\Z"), "axb")
+
+
+def test_names_are_folded_as_python_does(spark):
+    texts = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x1F000)) if chr(c) != "İ" and unicodedata.category(chr(c)) != "Cn"] + ["Straße.JPG", "ΣΑΣ ΟΔΥΣΣΕΥΣ", "ﬁle ŉ", "plain ASCII.txt", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", paths.folded(F.col("t")).alias("f")).collect()
+    assert not [(r.t, r.f) for r in got if r.f != (r.t.casefold() if r.t is not None else None)]
+    names = spark.createDataFrame([("STRASSE.jpg",), ("straße.JPG",), ("strase.jpg",)], "name string")
+    assert names.where(layout.name_predicate(F.col("name"), "straße", "contains")).count() == 2
+    assert names.where(layout.name_predicate(F.col("name"), "STRASSE", "exact")).count() == 2
