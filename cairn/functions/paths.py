@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +50,8 @@ def folded(text: Column) -> Column:
     """Full Unicode case folding, as ``str.casefold``: what names are compared by, so that ß meets SS."""
     lower = F.translate(F.lower(text), "".join(_ONE), "".join(_ONE.values()))
     several = {c: f for c, f in _FOLDS.items() if c not in _ONE}
-    whole = reduce(lambda x, c: F.replace(x, F.lit(c), F.lit(several[c])), several, lower)
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])  # a constant, so code stays small
+    whole = F.array_join(F.transform(F.split(lower, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
     some = F.when(lower.rlike("[" + "".join(several) + "]"), whole).otherwise(lower)
     return F.when(text.rlike(r"[^\x00-\x7F]"), some).otherwise(F.lower(text))
 

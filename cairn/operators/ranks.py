@@ -39,8 +39,10 @@ def free_numbers(claims: DataFrame, taken: DataFrame, keys: list[str], order: li
     The k-th taken number t leaves t - k free ones below it, so the n-th claim's number is n and one more for each taken number with t - k < n:
     a running count over claims and taken numbers in one order. Nothing is gathered, neither a key's claims nor its numbers.
     """
+    known = materialize(taken.where("number >= 1").select(*keys, F.col("number").cast("long").alias("number")).distinct(), "taken")
+    if known.isEmpty():
+        return running(claims, keys, order, name=name)
     ranked = running(claims, keys, order, name="_n")
-    known = taken.where("number >= 1").select(*keys, F.col("number").cast("long").alias("number")).distinct()
     gaps = running(known, keys, ["number"], name="_k").select(*keys, (F.col("number") - F.col("_k")).alias("_n"), F.lit(1).cast("long").alias("_gap"))
     line = ranked.withColumn("_gap", F.lit(0).cast("long")).unionByName(gaps, allowMissingColumns=True)
     passed = running(line, keys, ["_n", "_gap"], F.col("_gap"), "_passed")  # a claim comes before gaps that leave as many as it needs
