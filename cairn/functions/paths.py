@@ -58,8 +58,8 @@ def folded(text: Column) -> Column:
 
 def clash_root(file_name: Column) -> Column:
     """What a folded name and all its numberings have in common: names of different roots never meet."""
-    fold = folded(file_name)
-    return F.concat(F.regexp_replace(stem(fold), r"( \(\d+\))+$", ""), F.lit("\0"), extension(fold))
+    root = lambda fold: F.concat(F.regexp_replace(stem(fold), r"( \(\d+\))+$", ""), F.lit("\0"), extension(fold))
+    return F.transform(F.array(folded(file_name)), root)[0]  # folded once
 
 
 def scan_order(path: Column) -> Column:
