@@ -220,6 +220,32 @@ def test_hamming_is_lossless(spark):
         assert {(r.a, r.b) for r in hamming.hamming_pairs(df, level).collect()} == want
 
 
+def test_blocks_of_signatures_meet_once_and_no_side_is_broadcast(spark, monkeypatch):
+    """Many blocks of several aspects, some within the ratio of another, one of height 0: all pairs as by brute force, and no side goes through the driver."""
+    monkeypatch.setattr(hamming, "BLOCK", 16)
+    rng, rows = np.random.default_rng(5), []
+    base = [int(x) for x in rng.integers(-(2**62), 2**62, 10)]
+    for i in range(400):
+        p, d = base[i % 10], base[(i + 1) % 10]
+        for x in rng.choice(62, rng.integers(0, 9), replace=False).tolist():
+            p, d = p ^ (1 << x), d ^ (1 << (61 - x))
+        rows.append((i, p, d, int(rng.choice([400, 425, 440, 460, 800, 0])), 0 if i % 50 == 0 else 300, i % 31 == 0))
+    rows += [(400 + k, *rows[k][1:]) for k in range(20)]
+    df = spark.createDataFrame(rows, "item_id long, phash long, dhash long, width long, height long, flat boolean")
+    reps = {}
+    for r in rows:
+        if not r[5]:
+            reps.setdefault(r[1:5], r[0])
+    far = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    aspect = lambda r: r[2] / r[3] if r[3] else 0.0
+    alike = lambda r, s: max(aspect(r), aspect(s)) / max(min(aspect(r), aspect(s)), 1e-6) < 1.08
+    want = {(min(a, b), max(a, b)) for r, a in reps.items() for s, b in reps.items() if a != b and far(r[0], s[0]) <= 14 and far(r[1], s[1]) <= 20 and alike(r, s)}
+    found = hamming.hamming_pairs(df, "loose")
+    got = [(r.a, r.b) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    assert set(re.findall(r"BroadcastHashJoin \[(\w+)#", found._jdf.queryExecution().executedPlan().toString())) <= {"shape"}  # a row an aspect
+
+
 def test_relations(spark):
     rows = [(1, "/a", 100, JAN, 400, 300, "x"), (2, "/b", 90, JAN, 400, 300, "x"), (3, "/c", 50, JAN, 200, 150, "y"), (4, "/d", 60, JAN, 390, 300, "z"), (5, "/e", 60, JAN, 390, 300, "w")]
     items = spark.createDataFrame(rows, "item_id long, path string, size long, mtime timestamp, width long, height long, digest string")
