@@ -54,13 +54,13 @@ def keep_status(events: DataFrame, path: str, stream: str = "ledger") -> KeptSto
     return kept
 
 
-def mark_copies(arrivals: DataFrame, path: str, keep: str = "interval 30 days", stream: str = "arrivals", compact_every: int = 16) -> None:
+def mark_copies(arrivals: DataFrame, path: str, keep: str | None = "interval 30 days", stream: str = "arrivals", compact_every: int = 16) -> None:
     """Tells of files (path, digest, seen) as they arrive which are copies; ``marked`` reads ``(path, digest, seen, copy_of)`` from below ``path``.
 
     The first file of a digest has no ``copy_of``, all later ones name it; within a batch the first is that with the least (seen, path). A batch is reduced to a row a digest
     before it meets what is known, so a digest that a third of a batch has costs a row a task; known digests are a store of which only the batch's own
     are looked up. A digest that wasn't seen for ``keep`` before the newest file is forgotten, when the store is compacted and in what is told, which bounds
-    the store by the digests of that time. Files without digest are no copies. A batch that is tried again counts once.
+    the store by the digests of that time; with None nothing is forgotten. Files without digest are no copies. A batch that is tried again counts once.
     """
     spark = arrivals.sparkSession
     kept = KeptStore(spark, f"{path}/digests", "digest")
@@ -76,7 +76,8 @@ def mark_copies(arrivals: DataFrame, path: str, keep: str = "interval 30 days",
             known = new.limit(0)
         # by the clock of the files themselves: what the newest of a digest's batch comes too late for is forgotten
         old = known.select("digest", F.col("first").alias("old"), F.col("last").alias("old_last"))
-        met = new.join(old, "digest", "left").withColumn("known", F.coalesce(F.col("old_last") >= F.col("last") - F.expr(keep), F.lit(False)))
+        recent = F.col("old").isNotNull() if keep is None else F.col("old_last") >= F.col("last") - F.expr(keep)
+        met = new.join(old, "digest", "left").withColumn("known", F.coalesce(recent, F.lit(False)))
         owners = materialize(met.select("digest", F.when(F.col("known"), F.col("old")).otherwise(F.col("first")).alias("owner"), "known", F.greatest("last", F.coalesce("old_last", "last")).alias("last"), "n"), "owners")
         named = join_counted(batch, owners.drop("last"), "digest", "n", batch.count())
         copy = F.when(F.col("owner") != F.col("path"), F.col("owner"))
@@ -84,7 +85,7 @@ def mark_copies(arrivals: DataFrame, path: str, keep: str = "interval 30 days",
         made = kept.commit(owners.select("digest", F.col("owner").alias("first"), "last"), stream, n)
         if made and made.number % compact_every == 0:
             newest = kept.read().agg(F.max("last")).first()[0]
-            kept.compact(F.col("last") >= F.lit(newest) - F.expr(keep))
+            kept.compact(None if keep is None else F.col("last") >= F.lit(newest) - F.expr(keep))
 
     arrivals.writeStream.option("checkpointLocation", f"{path}/progress/{stream}").trigger(availableNow=True).foreachBatch(take_in).start().awaitTermination()
 

@@ -65,6 +65,21 @@ def test_copies_over_calls(spark, tmp_path):
     assert [r.digest for r in kept.read().collect()] == ["w"] and len(kept.current()) == 1
 
 
+def test_first_seen_forgets_nothing(spark, tmp_path):
+    """Copies that are centuries apart are copies: the table is as the SQL has it, whatever the files' times."""
+    import duckdb
+
+    from cairn.queries import ORACLES, QUERIES
+
+    rows = [(i, f"text {i % 3}" if i != 7 else None, "src1", 9) for i in (0, 1, 2, 7, 300_000, 300_001, 500_003, 500_004)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = {(r.path, r.digest, r.copy_of) for r in QUERIES["stream_first_seen"](spark, str(tmp_path)).collect()}
+    want = {tuple(r) for r in con.execute(f"select path, digest, copy_of from ({ORACLES['stream_first_seen']})").fetchall()}
+    assert got == want and sum(r[2] is not None for r in want) == 4
+
+
 def test_a_hot_digest_is_spread(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
     rows = spark.range(6000).select(F.concat(F.lit("p"), F.format_string("%05d", "id")).alias("path"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("digest"), F.lit(JAN).alias("seen"))
