@@ -13,8 +13,8 @@ LEDGER = f"run_id string, seq long, {EVENT}"
 
 
 def append(events: DataFrame, path: str) -> None:
-    """Adds events (``run_id``, ``seq`` and those of ``EVENT``) to a ledger, a folder to a run."""
-    events.write.mode("append").partitionBy("run_id").json(path)
+    """Adds events (``run_id``, ``seq`` and those of ``EVENT``) to a ledger: as many files as there are tasks, however many runs."""
+    events.write.mode("append").json(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -80,6 +80,15 @@ def test_first_seen_forgets_nothing(spark, tmp_path):
     assert got == want and sum(r[2] is not None for r in want) == 4
 
 
+def test_a_ledger_has_no_folder_a_run(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    for first in (0, 300):
+        events = spark.range(first, first + 300, 1, 3).select(F.col("id").cast("string").alias("run_id"), F.lit(1).cast("long").alias("seq"), F.lit("run").alias("type"))
+        ledger.append(events, path)
+    assert sorted(int(r.run_id) for r in ledger.read_ledger(spark, path).collect()) == list(range(600))
+    assert len(list((tmp_path / "ledger").rglob("*.json"))) == 6
+
+
 def test_a_hot_digest_is_spread(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
     rows = spark.range(6000).select(F.concat(F.lit("p"), F.format_string("%05d", "id")).alias("path"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("digest"), F.lit(JAN).alias("seen"))
