@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import paths
 from cairn.session import materialize, small_side
+from cairn.sources import journals
 
 EVENT = "type string, id string, operation string, source string, dest string, started timestamp, path string, src string, dst string, size long, finished timestamp, transferred long, skipped long, failed long, bytes long, cancelled boolean, at timestamp, restored long, problems long"
 LEDGER = f"run_id string, seq long, {EVENT}"
@@ -24,11 +25,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def read_journals(spark: SparkSession, path: str) -> DataFrame:
     """Foreign journals, a JSON-lines file to a run: blank lines are passed over, all from the first broken line on is left out.
 
-    ``run_id`` is the file, ``seq`` the line. Spark cuts long files at line ends; a line's number is its place in its own piece and
+    ``run_id`` is the file, ``seq`` the line. Long files are cut at line ends; a line's number is its place in its own piece and
     the number of lines in the pieces before, so a file of any length is read by many tasks.
     """
-    file, piece = F.col("_metadata.file_path").alias("run_id"), F.col("_metadata.file_block_start").alias("piece")
-    lines = spark.read.option("lineSep", "\n").text(path).select(file, piece, F.monotonically_increasing_id().alias("at"), "value")
+    lines = journals.lines(spark, path)
     event = F.from_json("value", EVENT + ", _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
     parsed = lines.withColumn("e", F.when(F.trim("value") != "", event)).withColumn("broken", (F.trim("value") != "") & (F.col("e").isNull() | F.col("e._corrupt_record").isNotNull()))
     parsed = materialize(parsed.drop("value"), "journal-lines")

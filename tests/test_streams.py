@@ -1,12 +1,15 @@
 """Run states and first sightings over several calls, with odd events; long journals in pieces."""
 
 import datetime as dt
+import gzip
+import io
 import json
 import random
 
 from pyspark.sql import functions as F
 
 from cairn.operators import ledger
+from cairn.sources import journals
 from cairn.streaming import runs
 
 JAN = dt.datetime(2024, 1, 1)
@@ -128,3 +131,41 @@ def test_long_journals_are_read_in_pieces(spark, tmp_path):
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert pieces["20k"] > 10
+
+
+def test_journals_are_written_and_listed_without_a_folder_to_a_run(spark, tmp_path):
+    """As many files as runs in a bounded number of folders; names, hidden files, packed files and bytes are read as Spark's reader has them."""
+    n = 2 * journals.FOLDERS
+    assert journals.write(spark.range(3 * n).select((F.col("id") % n).cast("string").alias("run_id"), (F.col("id") / n).cast("long").alias("seq"), F.col("id").cast("string").alias("value")), f"file://{tmp_path}/w") == n
+    files = [p for p in (tmp_path / "w").rglob("*") if p.is_file()]
+    assert sorted(p.name for p in files) == sorted(f"{k}.jsonl" for k in range(n))
+    assert all(p.read_text() == f"{int(p.stem)}\n{int(p.stem) + n}\n{int(p.stem) + 2 * n}\n" for p in files)
+    assert len({p.parent for p in files}) <= journals.FOLDERS
+    odd = tmp_path / "odd"
+    (odd / "sub" / "_p=1").mkdir(parents=True)
+    (odd / "sub" / ".hidden").mkdir()
+    for name in ("a b%20ü#[x]", "sub/_p=1/plain", "sub/.hidden/no", "sub/_no", "sub/empty"):
+        (odd / name).write_bytes(b"" if name == "sub/empty" else b"x\r\n\n\xff y")
+    (odd / "packed.gz").write_bytes(gzip.compress(b"one\ntwo") + gzip.compress(b"more\n"))
+    seen = lambda df: sorted((r.run_id, bytes(r.v)) for r in df.select("run_id", F.col("value").cast("binary").alias("v")).collect())
+    by_spark = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(str(odd)).select(F.col("_metadata.file_path").alias("run_id"), "value")
+    for path in (str(odd), f"file://{odd}/"):
+        assert seen(journals.lines(spark, path)) == seen(by_spark)
+    assert seen(journals.lines(spark, str(odd / "sub" / "_p=1" / "plain"))) == seen(journals.lines(spark, str(odd / "sub" / "_p=1" / "pl*")))
+
+
+def test_lines_of_pieces(monkeypatch):
+    """Every line lies in one piece, wherever a file is cut and however much is read at a time."""
+    rng = random.Random(4)
+    data = b"\n".join(b"x" * rng.choice([0, 0, 1, 7, 40]) for _ in range(60))
+    for ending in (b"", b"\n", b"\n\n"):
+        whole = (data + ending).split(b"\n")
+        whole = whole[:-1] if whole[-1] == b"" else whole
+        for chunk, size in ((1, 3), (5, 7), (64, 1), (1 << 20, 50), (16, 1 << 20)):
+            monkeypatch.setattr(journals, "CHUNK", chunk)
+            got = []
+            for start in range(0, len(data + ending), size):
+                f = io.BytesIO(data + ending)
+                f.seek(max(0, start - 1))
+                got += [x for own in journals._begun(f, start, start + size) for x in own]
+            assert got == whole
