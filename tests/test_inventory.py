@@ -280,3 +280,22 @@ def test_names_are_folded_as_python_does(spark):
     names = spark.createDataFrame([("STRASSE.jpg",), ("straße.JPG",), ("strase.jpg",)], "name string")
     assert names.where(layout.name_predicate(F.col("name"), "straße", "contains")).count() == 2
     assert names.where(layout.name_predicate(F.col("name"), "STRASSE", "exact")).count() == 2
+
+
+def test_a_plan_reads_its_files_twice_at_most(spark):
+    """Once for their names, once for what the plan's rows have besides; not again for each of its steps."""
+    n, read = 40, spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    names = [f"/s/{k}/{'ab'[k % 2]}{' (1)' * (k % 5 == 0)}.txt" for k in range(n)]
+    rows = [(p, p.rpartition("/")[2], "documents", k, JAN) for k, p in enumerate(names)]
+    files = spark.createDataFrame(rows, "path string, name string, category string, size long, mtime timestamp")
+    files = files.mapInPandas(counted, files.schema).withColumn("birthtime", F.lit(None).cast("timestamp"))
+    there = spark.createDataFrame([("/d", "a.txt", 1, JAN)], "folder string, name string, size long, mtime timestamp")
+    planned = layout.plan(files, there, layout.Options(source="/s", dest="/d", categories=("documents",), by_type=False, by_date=False)).collect()
+    assert len({r.dest.lower() for r in planned}) == n
+    assert read.value <= 2 * n
