@@ -8,8 +8,9 @@ import unicodedata
 import numpy as np
 from pyspark.sql import functions as F
 
+from cairn import session
 from cairn.functions import dates, paths
-from cairn.operators import components, groups, hamming, ledger, review
+from cairn.operators import components, groups, hamming, ledger, report, review
 from cairn.plans import layout
 from cairn.sources import inventory
 
@@ -257,6 +258,24 @@ def test_relations(spark):
     assert (g.title, g.members, g.reclaimable, g.keeper) == ("Includes cropped versions", 5, 260, "/a")
 
 
+def test_sides_that_grow_are_counted_before_they_are_broadcast(spark, monkeypatch):
+    """Beyond ``SENT_BYTES`` neither links, classes, keepers, crops nor items go through the driver, though each is under Spark's threshold; the rows are the same."""
+    rows = [(i, f"/{i}", i % 9, JAN, 400 + i % 2, 300, str(i % 40), i % 30, i % 20, False) for i in range(300)]
+    items = spark.createDataFrame(rows, "item_id long, path string, size long, mtime timestamp, width long, height long, digest string, phash long, dhash long, flat boolean")
+    links = session.materialize(spark.createDataFrame([(i, i + 10) for i in range(290)], "a long, b long"), "links")
+    crops = links.select("a", "b", (F.col("a") % 7 / F.lit(8.0)).alias("coverage_of_a"), (F.col("b") % 8 / F.lit(8.0) + 0.125).alias("coverage_of_b"))
+    made = {
+        "members": lambda: groups.members(items, links, crops), "classes": lambda: hamming.signature_classes(items), "digests": lambda: report.exact_links(items),
+        "large": lambda: components._large_star(links.toDF("v", "u"), 290), "small": lambda: components._small_star(links.toDF("v", "u"), 290), "nodes": lambda: components.connected_components(links),
+    }
+    before = {k: sorted(map(str, f().collect())) for k, f in made.items()}
+    monkeypatch.setattr(session, "SENT_BYTES", 256)
+    for k, f in made.items():
+        assert sorted(map(str, (df := f()).collect())) == before[k] and before[k]
+        # the sums before a range are as many as ranges
+        assert set(re.findall(r"BroadcastHashJoin \[(\w+)#", df._jdf.queryExecution().executedPlan().toString())) <= {"_part"}, k
+
+
 def test_review(spark):
     members = spark.createDataFrame([("g", "/1", 1, 5), ("g", "/2", 2, 6), ("h", "/3", 1, 7), ("h", "/4", 2, 8), ("h", "/5", 3, 9)], "group_id string, path string, rank int, size long")
     paths_of = lambda df: sorted(r.path for r in df.collect())
