@@ -262,7 +262,7 @@ def test_sides_that_grow_are_counted_before_they_are_broadcast(spark, monkeypatc
     """Beyond ``SENT_BYTES`` neither links, classes, keepers, crops nor items go through the driver, though each is under Spark's threshold; the rows are the same."""
     rows = [(i, f"/{i}", i % 9, JAN, 400 + i % 2, 300, str(i % 40), i % 30, i % 20, False) for i in range(300)]
     items = spark.createDataFrame(rows, "item_id long, path string, size long, mtime timestamp, width long, height long, digest string, phash long, dhash long, flat boolean")
-    links = session.materialize(spark.createDataFrame([(i, i + 10) for i in range(290)], "a long, b long"), "links")
+    links = session.materialize(spark.createDataFrame([(i % 10, i + 10) for i in range(290)], "a long, b long"), "links")
     crops = links.select("a", "b", (F.col("a") % 7 / F.lit(8.0)).alias("coverage_of_a"), (F.col("b") % 8 / F.lit(8.0) + 0.125).alias("coverage_of_b"))
     made = {
         "members": lambda: groups.members(items, links, crops), "classes": lambda: hamming.signature_classes(items), "digests": lambda: report.exact_links(items),
