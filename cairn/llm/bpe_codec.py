@@ -36,6 +36,10 @@ from cairn.session import bounded_batches, materialize
 CHUNK_BYTES, SOME_TEXTS, BLOCK_IDS, PORTION_IDS = 6 << 20, 64, 1 << 16, 1 << 18
 #: Words whose ids a worker keeps while it answers; beyond it the store starts anew.
 KEPT_WORDS = 100_000
+#: Encoded portions to a row group.
+GROUP_PORTIONS = 8
+#: A portion of encoded texts in one row.
+PACKED = "doc_ids array<bigint>, sizes binary, ids binary"
 
 
 def _packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,10 +293,23 @@ def _ask_tokens(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.nulls(1, rows.type), rows]), asked], ["row", "asked"])
 
 
-def _whole_portions(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[pa.RecordBatch]:
-    """``(rows, asked)``: a portion and its distinct ids in one row, which no reader of a table can part."""
+def _packed_portions(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[pa.RecordBatch]:
+    """``(doc_ids, sizes, ids, asked)``: a portion and its distinct ids in one row, which no reader of a table can part; ids as two or four bytes each."""
     for rows, distinct in _portions(batches, ids):
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part) for part in (rows, pa.array(distinct))], ["rows", "asked"])
+        own, ends = _ids_of(rows.field(rows.type.get_field_index(ids)))
+        kind = np.uint16 if distinct.max(initial=0) < 1 << 16 else np.uint32
+        columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (rows.field(0).cast(pa.int64()), pa.array(distinct))]
+        yield pa.RecordBatch.from_arrays([columns[0], pa.array([pack_numbers(np.diff(ends))]), pa.array([own.astype(kind).tobytes()]), columns[1]], ["doc_ids", "sizes", "ids", "asked"])
+
+
+def _unpacked_portions(rows: pa.StructArray) -> Iterator[pa.StructArray]:
+    """The texts (doc_id, ids, head) of each of some rows of ``_packed_portions``."""
+    for row in rows:
+        sizes, data = unpack_numbers(row["sizes"].as_py()), row["ids"].as_buffer()
+        n = int(sizes.sum())
+        own = np.frombuffer(data, np.uint16 if data.size == 2 * n else np.uint32).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        yield pa.StructArray.from_arrays([row["doc_ids"].values, pa.ListArray.from_arrays(pa.array(ends), pa.array(own)), pa.array([True] * len(sizes))], ["doc_id", "ids", "head"])
 
 
 def _joined(each: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -324,8 +341,8 @@ class _Tokens:
         return gather(flat, starts[ids], lengths[ids]), lengths[ids]
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(rows, ids, ends, bytes, byte ends)`` of some rows of ``_joined`` at a time."""
+def _decoded(batches: Iterator[pa.RecordBatch], ids: str, packed: bool = False) -> Iterator[tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(rows, ids, ends, bytes, byte ends)`` of some rows of ``_joined`` at a time; its rows are texts, or ``packed`` portions of them."""
     tokens, served = _Tokens(), False
     for batch in batches:
         asked = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
@@ -340,12 +357,13 @@ def _decoded(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[tuple[pa.S
                 tokens.add(batch.column(1).slice(a, b - a).to_numpy(), batch.column(2).slice(a, b - a))
                 continue
             served = True
-            texts = batch.column(0).slice(a, b - a).filter(pa.array(~bare[a:b]))
-            for i in range(0, len(texts), SOME_TEXTS):
-                rows = texts.slice(i, SOME_TEXTS)
-                own, ends = _ids_of(rows.flatten()[[f.name for f in rows.type].index(ids)])
-                data, lengths = tokens.decode(own)
-                yield rows, own, ends, data, np.concatenate([[0], np.cumsum(lengths)])[ends]
+            found = batch.column(0).slice(a, b - a).filter(pa.array(~bare[a:b]))
+            for texts in _unpacked_portions(found) if packed else [found]:
+                for i in range(0, len(texts), SOME_TEXTS):
+                    rows = texts.slice(i, SOME_TEXTS)
+                    own, ends = _ids_of(rows.flatten()[[f.name for f in rows.type].index(ids)])
+                    data, lengths = tokens.decode(own)
+                    yield rows, own, ends, data, np.concatenate([[0], np.cumsum(lengths)])[ends]
 
 
 def _sql_of(df: DataFrame) -> str:
@@ -399,7 +417,7 @@ class _Digests:
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digested(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def _digested(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...], packed: bool = False) -> Iterator[pa.RecordBatch]:
     """Each text's columns ``keep`` and digests; its rows follow each other, the first one has ``head``."""
     state, mine, out = None, [], []
 
@@ -408,7 +426,7 @@ def _digested(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...]) -> Itera
         kept = [rows.field(rows.type.get_field_index(k)) for k in keep]
         return pa.RecordBatch.from_arrays([*kept, *map(pa.array, zip(*out, strict=True))], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    for rows, ids, ends, data, byte_ends in _decoded(batches, "ids"):
+    for rows, ids, ends, data, byte_ends in _decoded(batches, "ids", packed):
         heads = rows.field(rows.type.get_field_index("head")).to_pylist()
         for k, head in enumerate(heads):
             if head:
@@ -442,14 +460,11 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, doc_id: str = "d
     stored before it is decoded, so a task never has workers for both. Rows as for ``encode``.
     """
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _put_together(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([True] * batch.num_rows)], ["doc_id", "ids", "head"])
-
-    row = "struct<doc_id: long, ids: array<int>, head: boolean>"
     parts = _parts(docs, path, pattern, doc_id, text, stored, chunk_bytes)
-    portions = materialize(parts.mapInArrow(tidy(lambda batches: _whole_portions(heads(batches), "ids")), f"rows array<{row}>, asked array<int>"), "encoded")
-    asked = F.transform("asked", lambda i: F.struct(F.lit(None).cast(row).alias("row"), i.alias("id")))
-    rows = F.transform("rows", lambda r: F.struct(r.alias("row"), F.lit(None).cast("int").alias("id")))
-    each = portions.select(F.explode(F.concat(asked, rows)).alias("at")).select("at.row", "at.id")
-    return _joined(each, token_bytes(docs.sparkSession, path, pattern)).mapInArrow(tidy(lambda batches: _digested(batches, ("doc_id", "ids"))), f"doc_id long, ids array<int>, {DIGESTS}")
+    packed = parts.mapInArrow(tidy(lambda batches: _packed_portions(_put_together(batches), "ids")), f"{PACKED}, asked array<int>")
+    # a reader of columns holds a row group, and a portion is a large row
+    portions = materialize(packed, "encoded", {"parquet.block.row.count.limit": GROUP_PORTIONS})
+    row = F.struct("doc_ids", "sizes", "ids")
+    each = portions.select(F.explode(F.concat(F.transform("asked", lambda i: F.struct(F.lit(None).cast(f"struct<{PACKED}>").alias("row"), i.alias("id"))), F.array(F.struct(row.alias("row"), F.lit(None).cast("int").alias("id"))))).alias("at"))
+    joined = _joined(each.select("at.row", "at.id"), token_bytes(docs.sparkSession, path, pattern))
+    return joined.mapInArrow(tidy(lambda batches: _digested(batches, ("doc_id", "ids"), True)), f"doc_id long, ids array<int>, {DIGESTS}")

@@ -203,6 +203,24 @@ def test_decoding_in_blocks_and_unknown_ids(spark, encoding, monkeypatch):
     assert {r.doc_id: bytes(r.decoded).decode() for r in plain.collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_encoded_portions_are_read_a_few_at_a_time(spark, encoding, monkeypatch):
+    """A reader of columns holds a row group, so one of many portions is held whole by the JVM."""
+    import pyarrow.parquet as pq
+
+    from cairn.llm import bpe_codec
+
+    monkeypatch.setattr(bpe_codec, "GROUP_PORTIONS", 1, raising=False)
+    written, plain = [], bpe_codec.materialize
+    monkeypatch.setattr(bpe_codec, "materialize", lambda *a: written.append(plain(*a)) or written[-1])
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(100)) for _ in range(1500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = bpe_codec.encode_and_decode(df, RANKS, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: encoding.encode_ordinary(t) for i, t in enumerate(texts)}
+    groups = [f.metadata.row_group(k).num_rows for name in written[-1].inputFiles() for f in [pq.ParquetFile(name.removeprefix("file://"))] for k in range(f.num_row_groups)]
+    assert sum(groups) >= 2 and max(groups) == 1
+
+
 def test_recall_near_the_threshold(spark):
     """Pairs of texts at a similarity of just over 75 %, and of just under it: all of the first are linked, none of the second."""
     rng = random.Random(12)
